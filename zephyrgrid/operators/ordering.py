@@ -25,15 +25,19 @@ def time_slice(ts, seconds: int = SLICE_SECONDS) -> Column:
     return F.floor(seconds_since_epoch(ts) / F.lit(seconds))
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], slice_by: Column | None = None,
-             running: dict[str, Column] | None = None, position: str = "pos") -> DataFrame:
-    """Add the 1-based position of each row in its key, and optional running sums.
+def numbered(df: DataFrame, keys: list[str], order: list, slice_by: Column | None = None,
+             running: dict[str, Column] | None = None, position: str = "pos",
+             total: str | None = None) -> DataFrame:
+    """Add the 1-based position of each row in its key, optional running sums and the key's size.
 
     ``slice_by`` must grow with ``order`` and hold a bounded number of rows per key, as
     :func:`time_slice` does for series with one row per key and stamp. Without it the rows
     are range-partitioned over (keys, order) and kept as a reliable checkpoint, so that the
     partition number is a slice that stays the same when a lost executor is replaced; equal
     stamps may then be any share of the data as long as ``order`` ends in a tie-break.
+
+    The join with the slice offsets uses the partitioning of the window before it, so the
+    rows are shuffled once.
     """
     if slice_by is None:
         slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -45,32 +49,33 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], slice_by: Column
     part = sliced.groupBy(*keys, "_slice").agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()])
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    upto_slice = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
     offsets = part.select(
-        *keys, "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
-        *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}")
-          for n in sums])
+        *keys, "_slice", upto_slice("_rows").alias("_before"),
+        *[upto_slice(f"_sum_{n}").alias(f"_before_{n}") for n in sums],
+        *([F.sum("_rows").over(whole).alias(total)] if total else []))
     local = Window.partitionBy(*keys, "_slice").orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = sliced.withColumns({
         "_local": F.row_number().over(local),
         **{f"_local_{n}": F.sum(c).over(upto) for n, c in sums.items()}})
-    joined = attach(counted, offsets, [*keys, "_slice"], "inner")
-    return joined.withColumns({
+    return counted.join(offsets, [*keys, "_slice"], "inner").withColumns({
         position: F.col("_before") + F.col("_local"),
         **{n: F.col(f"_before_{n}") + F.col(f"_local_{n}") for n in sums},
     }).drop("_slice", "_local", "_before",
             *[f"_local_{n}" for n in sums], *[f"_before_{n}" for n in sums])
 
 
-def framed(df: DataFrame, keys: list[str], order: list[str], columns, before: int = 0,
-           after: int = 0, slice_by: Column | None = None, block: int = BLOCK_ROWS,
+def framed(df: DataFrame, keys: list[str], order: list, *stages, before: int = 0, after: int = 0,
+           slice_by: Column | None = None, block: int = BLOCK_ROWS,
            keep: Column | None = None) -> DataFrame:
     """Evaluate window columns whose frames reach ``before`` rows back and ``after`` ahead.
 
-    ``columns`` maps a :class:`Window` specification to the new columns. They see blocks of
-    ``block`` rows plus the neighbours, which are dropped again afterwards.
+    Each stage maps a window specification to new columns; later stages may use those of
+    earlier ones and the position ``_pos``. They see blocks of ``block`` rows plus the
+    neighbours, which are dropped again afterwards.
     """
     block = max(block, before, after, 1)
     placed = numbered(df, keys, order, slice_by, position="_pos")
@@ -83,8 +88,10 @@ def framed(df: DataFrame, keys: list[str], order: list[str], columns, before: in
         homes.append(F.when(inside < after, home - 1))
     spread = placed.withColumn("_home", home).withColumn(
         "_block", F.explode(F.array_compact(F.array(*homes))))
-    made = columns(Window.partitionBy(*keys, "_block").orderBy("_pos"))
-    result = spread.withColumns(made).filter(F.col("_block") == F.col("_home"))
+    w = Window.partitionBy(*keys, "_block").orderBy("_pos")
+    for stage in stages:
+        spread = spread.withColumns(stage(w))
+    result = spread.filter(F.col("_block") == F.col("_home"))
     if keep is not None:
         result = result.filter(keep)
     return result.drop("_pos", "_home", "_block")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zephyrgrid import constants as K
 from zephyrgrid.functions import scalars as S
 from zephyrgrid.operators import ordering
 from zephyrgrid.operators.ordering import BLOCK_ROWS, framed, time_slice
+from zephyrgrid.session import attach
 
 
 def ramp_columns(ws: str, u: str, v: str, wd: str, prefix: str = ""):
@@ -46,7 +47,7 @@ def forecast_ramps(df: DataFrame, source: str, **options) -> DataFrame:
 
 def short_gap_columns(w, column: str, filled: str, mask: str | None, steps: int) -> dict[str, Column]:
     """Linear fill by row position of null runs up to ``steps`` rows with values on both sides."""
-    spot = F.row_number().over(w)
+    spot = F.col("_pos")
     point = F.when(F.col(column).isNotNull(), F.struct(F.col(column).alias("y"), spot.alias("x")))
     left = F.last(point, ignorenulls=True).over(w.rowsBetween(-steps, -1))
     right = F.first(point, ignorenulls=True).over(w.rowsBetween(1, steps))
@@ -59,13 +60,6 @@ def short_gap_columns(w, column: str, filled: str, mask: str | None, steps: int)
     return made
 
 
-def _with_spot(df: DataFrame, w, pairs: list[tuple[str, str, str | None]], steps: int) -> dict[str, Column]:
-    made: dict[str, Column] = {}
-    for column, filled, mask in pairs:
-        made.update(short_gap_columns(w, column, filled, mask, steps))
-    return made
-
-
 def fill_short_gaps(df: DataFrame, pairs: list[tuple[str, str, str | None]], keys=("turbine",),
                     ts: str = "kst_dtm", steps: int = K.MAX_GAP, block: int = BLOCK_ROWS) -> DataFrame:
     """Fill (column, filled, mask) pairs in one pass; long runs and edges stay missing.
@@ -73,8 +67,13 @@ def fill_short_gaps(df: DataFrame, pairs: list[tuple[str, str, str | None]], key
     A run that may be filled has a value within ``steps`` rows on either side, so a frame of
     that width decides it and the length of longer runs never has to be known.
     """
-    return framed(df, list(keys), [ts], lambda w: _with_spot(df, w, pairs, steps),
-                  before=steps, after=steps, slice_by=time_slice(ts), block=block)
+    def stage(w) -> dict[str, Column]:
+        made: dict[str, Column] = {}
+        for column, filled, mask in pairs:
+            made.update(short_gap_columns(w, column, filled, mask, steps))
+        return made
+    return framed(df, list(keys), [ts], stage, before=steps, after=steps,
+                  slice_by=time_slice(ts), block=block)
 
 
 def gap_runs(df: DataFrame, column: str, keys=("turbine",), ts: str = "kst_dtm") -> DataFrame:
@@ -90,51 +89,29 @@ def gap_runs(df: DataFrame, column: str, keys=("turbine",), ts: str = "kst_dtm")
             .drop("_seen"))
 
 
-def frozen_columns(column: str, steps: int = K.FROZEN_STEPS):
+def frozen_stages(column: str, flag: str = "is_frozen_sensor", steps: int = K.FROZEN_STEPS):
     """True in runs of at least ``steps`` equal values; zero and null runs are exempt.
 
-    A row is in such a run if some window of ``steps`` rows around it is constant, so a frame
-    of ``steps - 1`` rows either way is enough.
+    A frame of ``steps - 1`` rows either way shows whether the run around a row is that long.
     """
-    def build(w) -> dict[str, Column]:
-        changed = F.when(S.known(F.col(column) == F.lag(column).over(w)), 0).otherwise(1)
-        spot = F.row_number().over(w)
-        return {"_spot": spot, "_break": changed}
-    return build
+    def breaks(w) -> dict[str, Column]:
+        same = S.known(F.col(column) == F.lag(column).over(w))
+        return {"_break": F.when(~same, F.col("_pos"))}
+
+    def runs(w) -> dict[str, Column]:
+        start = F.coalesce(F.max("_break").over(w.rowsBetween(-(steps - 1), 0)),
+                           F.col("_pos") - (steps - 1))
+        stop = F.coalesce(F.min("_break").over(w.rowsBetween(1, steps - 1)),
+                          F.max("_pos").over(w.rowsBetween(0, steps - 1)) + 1)
+        return {flag: S.known((stop - start >= steps) & (F.col(column) != 0))}
+    return breaks, runs
 
 
 def frozen_sensor(df: DataFrame, column: str = "power_raw", keys=("turbine",), ts: str = "kst_dtm",
                   steps: int = K.FROZEN_STEPS, flag: str = "is_frozen_sensor",
                   block: int = BLOCK_ROWS) -> DataFrame:
-    def build(w) -> dict[str, Column]:
-        back, ahead = w.rowsBetween(-(steps - 1), 0), w.rowsBetween(1, steps - 1)
-        spot = F.row_number().over(w)
-        same = S.known(F.col(column) == F.lag(column).over(w))
-        # the run starts at the latest break at or before this row and ends before the next one
-        start = F.coalesce(F.max(F.when(~same, spot)).over(back), spot - (steps - 1))
-        stop = F.coalesce(F.min(F.when(~same, spot)).over(ahead),
-                          F.max(spot).over(w.rowsBetween(0, steps - 1)) + 1)
-        return {"_run": stop - start}
-    return _staged_frozen(df, column, keys, ts, steps, flag, block)
-
-
-def _staged_frozen(df, column, keys, ts, steps, flag, block) -> DataFrame:
-    """Spot and break in a first window, run bounds in a second over the same sorted block."""
-    block = max(block, steps)
-    placed = ordering.numbered(df, list(keys), [ts], time_slice(ts), position="_pos")
-    home = F.floor((F.col("_pos") - 1) / F.lit(block))
-    inside = (F.col("_pos") - 1) % block
-    spread = placed.withColumn("_home", home).withColumn("_block", F.explode(F.array_compact(F.array(
-        home, F.when(inside >= block - steps, home + 1), F.when(inside < steps - 1, home - 1)))))
-    w = Window.partitionBy(*keys, "_block").orderBy("_pos")
-    same = S.known(F.col(column) == F.lag(column).over(w))
-    broken = spread.withColumn("_break", F.when(~same, F.col("_pos")))
-    back, ahead = w.rowsBetween(-(steps - 1), 0), w.rowsBetween(1, steps - 1)
-    start = F.coalesce(F.max("_break").over(back), F.col("_pos") - (steps - 1))
-    stop = F.coalesce(F.min("_break").over(ahead), F.max("_pos").over(w.rowsBetween(0, steps - 1)) + 1)
-    value = F.col(column)
-    return (broken.withColumn(flag, S.known((stop - start >= steps) & value.isNotNull() & (value != 0)))
-            .filter(F.col("_block") == F.col("_home")).drop("_pos", "_home", "_block", "_break"))
+    return framed(df, list(keys), [ts], *frozen_stages(column, flag, steps), before=steps,
+                  after=steps - 1, slice_by=time_slice(ts), block=block).drop("_break")
 
 
 def sequences(df: DataFrame, features: list[str], target: str, next_step: bool = False,
@@ -168,11 +145,8 @@ def sum_of_nulls(columns: list[str]) -> Column:
 def with_context(train: DataFrame, test: DataFrame, keys=("group",), ts: str = "forecast_kst_dtm",
                  length: int = K.SEQUENCE_LENGTH) -> DataFrame:
     """The last ``length`` train rows of each key, then the test rows; ``is_test`` tells them apart."""
-    placed = ordering.numbered(train, list(keys), [ts], time_slice(ts))
-    sizes = train.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    from zephyrgrid.session import attach
-    tail = (attach(placed, sizes, list(keys), "inner").filter(F.col("pos") > F.col("_n") - length)
-            .drop("pos", "_n"))
+    from_end = ordering.numbered(train, list(keys), [F.col(ts).desc()], -time_slice(ts))
+    tail = from_end.filter(F.col("pos") <= length).drop("pos")
     return tail.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
 
 
@@ -197,19 +171,18 @@ def causal_scales(df: DataFrame, value: str, keys=("group",), ts: str = "forecas
 
 
 def complete_axis(df: DataFrame, step_seconds: int = 600, keys=("turbine",), ts: str = "kst_dtm") -> DataFrame:
-    """Every key on the full regular axis; absent stamps become null rows.
+    """Every key on the full regular axis from the first to the last stamp; gaps become null rows.
 
-    The axis is made piece by piece: one row per key and day is expanded in parallel, so no
-    array covers the whole span.
+    One row per key is expanded to days, the days are spread over the cluster, and each is
+    expanded to its steps there.
     """
-    ends = df.groupBy().agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    span = F.sequence(S.day_of("_lo"), S.day_of("_hi"), F.expr("INTERVAL 1 DAY"))
-    members = df.select(*keys).distinct()
-    days = ends.select("_lo", "_hi", F.explode(span).alias("_day"), F.lit(1).alias("_k"))
-    per_day = days.join(members.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    steps = 86_400 // step_seconds
-    stamp = F.col("_day") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("_i") * step_seconds)
-    axis = (per_day.repartition(*keys, "_day").withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-            .withColumn(ts, stamp).filter((F.col(ts) >= F.col("_lo")) & (F.col(ts) <= F.col("_hi")))
-            .select(*keys, ts))
+    ends = df.agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi")).withColumn("_one", F.lit(1))
+    members = df.select(*keys).distinct().withColumn("_one", F.lit(1))
+    span = F.floor(F.timestamp_diff("SECOND", F.col("_lo"), F.col("_hi")) / 86_400).cast("int")
+    days = (attach(members, ends, ["_one"], "inner")
+            .withColumn("_day", F.explode(F.sequence(F.lit(0), span))).repartition(*keys, "_day"))
+    stamp = F.col("_lo") + F.make_dt_interval(
+        F.col("_day"), F.lit(0), F.lit(0), F.col("_step") * F.lit(step_seconds))
+    axis = (days.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(86_400 // step_seconds - 1))))
+            .select(*keys, "_hi", stamp.alias(ts)).filter(F.col(ts) <= F.col("_hi")).drop("_hi"))
     return axis.join(df, [*keys, ts], "left")
