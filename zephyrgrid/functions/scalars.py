@@ -218,5 +218,10 @@ def settlement_gradient(error, steepness: float = K.SOFT_STEEPNESS,
 
 
 def r6(value) -> Column:
-    """Round half up to six places by plain arithmetic, the same in every engine."""
-    return F.floor(as_col(value) * 1e6 + 0.5) / F.lit(1e6)
+    """Round to six places (three from 10 on) by plain arithmetic, the same in every engine.
+
+    The small shift keeps values that end in an exact half away from the rounding edge.
+    """
+    value = as_col(value)
+    near = lambda scale: F.floor(value * scale + 0.501) / F.lit(scale)
+    return F.when(F.abs(value) < 10, near(1e6)).otherwise(near(1e3))

@@ -58,9 +58,9 @@ def qc_has(code, flag: str, flags: list[str] = K.QC_FLAGS) -> Column:
     return S.as_col(code).bitwiseAND(1 << flags.index(flag)) > 0
 
 
-def sensor_flags(df: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+def sensor_flags(df: DataFrame, block: int = BLOCK_ROWS, position: Column | None = None) -> DataFrame:
     """All nine flags and the code, on a table with turbine columns."""
-    marked = series.frozen_sensor(sensor_limits(df), block=block)
+    marked = series.frozen_sensor(sensor_limits(df), block=block, position=position)
     return turbine_disagreement(marked).withColumn("power_qc_flag", qc_code())
 
 
@@ -77,14 +77,17 @@ def grid_jumps(df: DataFrame, ws: str = "ws10", grid: str = "grid_id", ts: str =
                 "is_ws_space_jump": S.known(F.col(f"{ws}_spatial_range") > K.SPACE_JUMP)}))
 
 
-def clean_columns(df: DataFrame) -> DataFrame:
+def clean_values() -> dict[str, Column]:
     doubt = F.lit(False)
     for name in K.DISTRUST_FLAGS:
         doubt = doubt | F.col(name)
-    return df.withColumns({
-        "power_clean": F.when(~doubt, F.col("power_raw")),
-        "ws_clean": F.when(~F.col("is_ws_out_of_range"), F.col("ws_raw")),
-        "wd_clean": S.normalise_direction("wd_raw")})
+    return {"power_clean": F.when(~doubt, F.col("power_raw")),
+            "ws_clean": F.when(~F.col("is_ws_out_of_range"), F.col("ws_raw")),
+            "wd_clean": S.normalise_direction("wd_raw")}
+
+
+def clean_columns(df: DataFrame) -> DataFrame:
+    return df.withColumns(clean_values())
 
 
 def hour_coverage(df: DataFrame, column: str = "power_clean") -> DataFrame:

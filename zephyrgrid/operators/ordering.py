@@ -25,6 +25,11 @@ def time_slice(ts, seconds: int = SLICE_SECONDS) -> Column:
     return F.floor(seconds_since_epoch(ts) / F.lit(seconds))
 
 
+def tick(ts, seconds: int) -> Column:
+    """The number of a stamp on a complete regular axis."""
+    return F.floor(seconds_since_epoch(ts) / F.lit(seconds))
+
+
 def numbered(df: DataFrame, keys: list[str], order: list, slice_by: Column | None = None,
              running: dict[str, Column] | None = None, position: str = "pos",
              total: str | None = None) -> DataFrame:
@@ -69,16 +74,22 @@ def numbered(df: DataFrame, keys: list[str], order: list, slice_by: Column | Non
 
 
 def framed(df: DataFrame, keys: list[str], order: list, *stages, before: int = 0, after: int = 0,
-           slice_by: Column | None = None, block: int = BLOCK_ROWS,
-           keep: Column | None = None) -> DataFrame:
+           slice_by: Column | None = None, position: Column | None = None,
+           block: int = BLOCK_ROWS, keep: Column | None = None) -> DataFrame:
     """Evaluate window columns whose frames reach ``before`` rows back and ``after`` ahead.
 
     Each stage maps a window specification to new columns; later stages may use those of
     earlier ones and the position ``_pos``. They see blocks of ``block`` rows plus the
     neighbours, which are dropped again afterwards.
+
+    On a complete regular axis ``position`` is the tick itself and nothing has to be counted;
+    otherwise positions come from :func:`numbered`, which reads the keys and stamps once more.
     """
     block = max(block, before, after, 1)
-    placed = numbered(df, keys, order, slice_by, position="_pos")
+    if position is not None:
+        placed = df.withColumn("_pos", position)
+    else:
+        placed = numbered(df, keys, order, slice_by, position="_pos")
     home = F.floor((F.col("_pos") - 1) / F.lit(block))
     inside = (F.col("_pos") - 1) % block
     homes = [home]

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zephyrgrid import constants as K
 from zephyrgrid.functions import scalars as S
 from zephyrgrid.operators import flags, series
 from zephyrgrid.operators.contracts import join_turbines
-from zephyrgrid.operators.ordering import BLOCK_ROWS
+from zephyrgrid.operators.ordering import BLOCK_ROWS, framed, time_slice
 from zephyrgrid.session import attach
 
 TURBINE_COLUMNS = ["turbine", "group", "model", "cap_kwh10m", "cut_out_ms", "swept_area_m2"]
@@ -32,20 +32,32 @@ def time_axis(df: DataFrame, turbines: DataFrame) -> DataFrame:
     return join_turbines(df.withColumn("hour_end", S.hour_end("kst_dtm")), turbines, TURBINE_COLUMNS)
 
 
-def repair(df: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
-    """Cleaned and gap-filled power and wind, and the coverage of each hour."""
-    filled = series.fill_short_gaps(flags.clean_columns(df), [
-        ("power_clean", "power_filled", "is_power_interpolated"),
-        ("ws_clean", "ws_filled", "is_ws_interpolated")], block=block)
-    return flags.hour_coverage(filled)
-
-
-def physics(df: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
-    """Wind vector (filled as components, never as an angle), validity, theory and actual kW."""
-    vector = df.withColumns({"_u": S.wind_u("ws_filled", "wd_clean"), "_v": S.wind_v("ws_filled", "wd_clean")})
-    filled = series.fill_short_gaps(vector, [
-        ("_u", "u_scada", "is_u_interpolated"), ("_v", "v_scada", None)], block=block).drop("_u", "_v")
-    return filled.withColumns({
+def repaired(df: DataFrame, block: int = BLOCK_ROWS, steps: int = K.MAX_GAP,
+             position: Column | None = None) -> DataFrame:
+    """Frozen flag, cleaned and gap-filled power, wind and wind vector in one sorted pass.
+
+    The wind is filled as a speed and as components, never as an angle. The neighbours cover
+    the run test and the three fills that build on each other.
+    """
+    def fill(*pairs):
+        def stage(w):
+            made = {}
+            for column, filled, mask in pairs:
+                made.update(series.short_gap_columns(w, column, filled, mask, steps))
+            return made
+        return stage
+    reach = K.FROZEN_STEPS + 3 * steps
+    return framed(
+        df, ["turbine"], ["kst_dtm"], *series.frozen_stages("power_raw"), lambda w: flags.clean_values(),
+        fill(("power_clean", "power_filled", "is_power_interpolated"), ("ws_clean", "ws_filled", "is_ws_interpolated")),
+        lambda w: {"_u": S.wind_u("ws_filled", "wd_clean"), "_v": S.wind_v("ws_filled", "wd_clean")},
+        fill(("_u", "u_scada", "is_u_interpolated"), ("_v", "v_scada", None)),
+        before=reach, after=reach, slice_by=time_slice("kst_dtm"), position=position, block=block,
+    ).drop("_break", "_u", "_v")
+
+
+def physics(df: DataFrame) -> DataFrame:
+    return df.withColumns({
         "dir_valid": S.known(F.col("ws_filled") >= K.LOW_WIND),
         "p_theory_std_kw": S.theory_power("swept_area_m2", "ws_filled"),
         "power_kw": S.ten_minute_kw("power_filled")})
@@ -119,9 +131,3 @@ def group_hourly(hourly: DataFrame, groups: list[str] = K.GROUPS) -> DataFrame:
         S.wind_direction("scada_u", "scada_v").alias("scada_wd"), "scada_dir_resultant",
         F.when(kept.isNotNull(), spread).alias("scada_dir_spread"),
         (strict / (F.col("cap_sum") * samples)).alias("capacity_factor"))
-
-
-def ten_minute_features(df: DataFrame, turbines: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
-    """Flags, repair, physics and direction cycle of long readings."""
-    flagged = flags.sensor_flags(time_axis(df, turbines), block)
-    return direction_cycle(physics(repair(flagged, block), block), ["wd_clean"])

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zephyrgrid import constants as K
 from zephyrgrid.functions import scalars as S
 from zephyrgrid.operators import ordering
 from zephyrgrid.operators.ordering import BLOCK_ROWS, framed, time_slice
-from zephyrgrid.session import attach
 
 
 def ramp_columns(ws: str, u: str, v: str, wd: str, prefix: str = ""):
@@ -61,7 +60,8 @@ def short_gap_columns(w, column: str, filled: str, mask: str | None, steps: int)
 
 
 def fill_short_gaps(df: DataFrame, pairs: list[tuple[str, str, str | None]], keys=("turbine",),
-                    ts: str = "kst_dtm", steps: int = K.MAX_GAP, block: int = BLOCK_ROWS) -> DataFrame:
+                    ts: str = "kst_dtm", steps: int = K.MAX_GAP, block: int = BLOCK_ROWS,
+                    position: Column | None = None) -> DataFrame:
     """Fill (column, filled, mask) pairs in one pass; long runs and edges stay missing.
 
     A run that may be filled has a value within ``steps`` rows on either side, so a frame of
@@ -73,7 +73,7 @@ def fill_short_gaps(df: DataFrame, pairs: list[tuple[str, str, str | None]], key
             made.update(short_gap_columns(w, column, filled, mask, steps))
         return made
     return framed(df, list(keys), [ts], stage, before=steps, after=steps,
-                  slice_by=time_slice(ts), block=block)
+                  slice_by=time_slice(ts), position=position, block=block)
 
 
 def gap_runs(df: DataFrame, column: str, keys=("turbine",), ts: str = "kst_dtm") -> DataFrame:
@@ -109,9 +109,9 @@ def frozen_stages(column: str, flag: str = "is_frozen_sensor", steps: int = K.FR
 
 def frozen_sensor(df: DataFrame, column: str = "power_raw", keys=("turbine",), ts: str = "kst_dtm",
                   steps: int = K.FROZEN_STEPS, flag: str = "is_frozen_sensor",
-                  block: int = BLOCK_ROWS) -> DataFrame:
+                  block: int = BLOCK_ROWS, position: Column | None = None) -> DataFrame:
     return framed(df, list(keys), [ts], *frozen_stages(column, flag, steps), before=steps,
-                  after=steps - 1, slice_by=time_slice(ts), block=block).drop("_break")
+                  after=steps - 1, slice_by=time_slice(ts), position=position, block=block).drop("_break")
 
 
 def sequences(df: DataFrame, features: list[str], target: str, next_step: bool = False,
@@ -176,11 +176,11 @@ def complete_axis(df: DataFrame, step_seconds: int = 600, keys=("turbine",), ts:
     One row per key is expanded to days, the days are spread over the cluster, and each is
     expanded to its steps there.
     """
-    ends = df.agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi")).withColumn("_one", F.lit(1))
-    members = df.select(*keys).distinct().withColumn("_one", F.lit(1))
+    every = Window.partitionBy()  # over one row per key
+    members = df.groupBy(*keys).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b")).select(
+        *keys, F.min("_a").over(every).alias("_lo"), F.max("_b").over(every).alias("_hi"))
     span = F.floor(F.timestamp_diff("SECOND", F.col("_lo"), F.col("_hi")) / 86_400).cast("int")
-    days = (attach(members, ends, ["_one"], "inner")
-            .withColumn("_day", F.explode(F.sequence(F.lit(0), span))).repartition(*keys, "_day"))
+    days = members.withColumn("_day", F.explode(F.sequence(F.lit(0), span))).repartition(*keys, "_day")
     stamp = F.col("_lo") + F.make_dt_interval(
         F.col("_day"), F.lit(0), F.lit(0), F.col("_step") * F.lit(step_seconds))
     axis = (days.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(86_400 // step_seconds - 1))))

@@ -30,11 +30,12 @@ def nearest_grid(turbines: DataFrame, grid: DataFrame, k: int = K.IDW_NEIGHBOURS
     turbine is settled once its k-th distance is below the distance to the edge of the cells
     looked at; the rest look twice as far, until they have seen the whole grid.
     """
-    total = grid.count()
-    if total == 0:
+    grid = stable(grid.select("grid_id", "latitude", "longitude"))
+    box = grid.agg(F.min("latitude"), F.max("latitude"), F.min("longitude"), F.max("longitude"),
+                   F.count(F.lit(1))).first()
+    if box[4] == 0:
         raise ContractError("no grid points")
-    k = max(1, min(k, total))
-    box = grid.agg(F.min("latitude"), F.max("latitude"), F.min("longitude"), F.max("longitude")).first()
+    k = max(1, min(k, box[4]))
     todo = stable(turbines.select(key, "lat", "lon").filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()))
     at = lambda c, size: F.floor(F.col(c) / F.lit(size))
     settled: DataFrame | None = None
@@ -46,7 +47,8 @@ def nearest_grid(turbines: DataFrame, grid: DataFrame, k: int = K.IDW_NEIGHBOURS
                   .withColumns({"_y": at("lat", cell) + F.col("_dy"), "_x": at("lon", cell) + F.col("_dx")}))
         near = attach(looked, points, ["_y", "_x"], "inner").withColumn(
             "distance_km", S.haversine_km("lat", "lon", "latitude", "longitude"))
-        order = Window.partitionBy(key).orderBy("distance_km", "grid_id")
+        # places at equal distance differ in the last bits; equal to a micrometre is a tie
+        order = Window.partitionBy(key).orderBy(F.round("distance_km", 9), "grid_id")
         ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         # what lies outside the 3 x 3 cells is at least this far away
         y, x = F.col("lat") / cell, F.col("lon") / cell
@@ -80,6 +82,7 @@ def group_weights(turbines: DataFrame, grid: DataFrame, k: int = K.IDW_NEIGHBOUR
                   power: float = K.IDW_POWER, key: str = "turbine", groups: list[str] = K.GROUPS,
                   check: bool = True) -> DataFrame:
     """(group, grid_id, w) for every grid point and group with turbines; unused points weigh 0."""
+    turbines, grid = stable(turbines), stable(grid)
     near = turbine_weights(nearest_grid(turbines, grid, k, key=key), power, key)
     placed = near.join(turbines.select(key, "group", "cap_kw"), key)
     shares = placed.groupBy("group", "grid_id").agg(F.sum(F.col("cap_kw") * F.col("w")).alias("_share"))
@@ -101,21 +104,30 @@ def check_weights(weights: DataFrame) -> DataFrame:
     return weights
 
 
-def area_means(df: DataFrame, features: list[str], weights: DataFrame, ts: str = "forecast_kst_dtm") -> DataFrame:
-    """Weighted mean per (stamp, group) of all features in one aggregation.
+def area_means(df: DataFrame, features: list[str], weights: DataFrame, ts: str = "forecast_kst_dtm",
+               ranges: dict[str, str] | None = None, first: list[str] = ()) -> DataFrame:
+    """Weighted mean per (stamp, group) of all features: one scan, one shuffle of partial sums.
 
     A point that is absent or null makes the mean null, also where its weight is zero.
+    ``ranges`` adds the spread over the points of a stamp as a feature, and ``first`` the first
+    known value of columns that are the same for all points, in the same aggregation.
     """
     points = weights.groupBy("group").agg(F.count(F.lit(1)).alias("_points"))
-    # the weights are groups x grid points; the number of points rides along on each row
+    # one row per group and grid point; the number of points rides along
     side = weights.join(points, "group")
-    rows = attach(df.select(ts, "grid_id", *features), side, ["grid_id"], "inner")
+    spread = ranges or {}
+    needed = list(dict.fromkeys([*features, *spread.values(), *first]))
+    rows = attach(df.select(ts, "grid_id", *needed), side, ["grid_id"], "inner")
+    known_first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("grid_id"))).alias(c)
     sums = rows.groupBy(ts, "group").agg(
-        F.first("_points").alias("_points"),
+        F.first("_points").alias("_points"), F.count(F.lit(1)).alias("_n"), F.sum("w").alias("_w"),
         *[F.sum(F.col("w") * F.col(c)).alias(c) for c in features],
-        *[F.count(c).alias(f"_n_{c}") for c in features])
+        *[F.count(c).alias(f"_n_{c}") for c in features],
+        *[(F.max(c) - F.min(c)).alias(n) for n, c in spread.items()],
+        *[known_first(c) for c in first])
     whole = lambda c: F.when(F.col(f"_n_{c}") == F.col("_points"), F.col(c)).alias(c)
-    return sums.select(ts, "group", *[whole(c) for c in features])
+    level = lambda c: F.when(F.col("_n") == F.col("_points"), F.col(c) * F.col("_w")).alias(c)
+    return sums.select(ts, "group", *[whole(c) for c in features], *[level(n) for n in spread], *first)
 
 
 def time_meta(group_df: DataFrame, grid_df: DataFrame, columns: list[str], ts: str = "forecast_kst_dtm",
@@ -129,28 +141,39 @@ def time_meta(group_df: DataFrame, grid_df: DataFrame, columns: list[str], ts: s
     return group_df.withColumns(S.cyclic_time(ts))
 
 
+def _area(grid_df: DataFrame, weights: DataFrame, wanted: list[str], times: list[str],
+          ranges: dict[str, str]) -> tuple[DataFrame, set[str]]:
+    have = set(grid_df.columns)
+    features = [c for c in wanted if c in have]
+    spread = {n: c for n, c in ranges.items() if n not in have and c in have}
+    if not features:
+        raise ContractError("no feature to average")
+    df = area_means(grid_df, features, weights, ranges=spread, first=[c for c in times if c in have])
+    return df.withColumns(S.cyclic_time("forecast_kst_dtm")), set(features)
+
+
 def ldaps_area(grid_df: DataFrame, weights: DataFrame) -> DataFrame:
-    features = [c for c in K.LDAPS_AREA_FEATURES if c in grid_df.columns]
-    df = area_means(grid_df, features, weights)
-    if {"u10", "v10"} <= set(features):
+    df, features = _area(grid_df, weights, K.LDAPS_AREA_FEATURES,
+                         ["lead_hour", "target_hour", "forecast_issue_date"], {"ws10_spatial_range": "ws10"})
+    if {"u10", "v10"} <= features:
         df = df.withColumns({"ws10_vector": S.wind_speed("u10", "v10"), "wd10": S.wind_direction("u10", "v10")})
         df = direction_cycle(df, ["wd10"])
     if "ws10" in features:
         ws = F.col("ws10")
         df = df.withColumns({"ws10_2": ws * ws, "ws10_3": ws * ws * ws})
-    return time_meta(df, grid_df, ["lead_hour", "target_hour", "forecast_issue_date"])
+    return df
 
 
 def gfs_area(grid_df: DataFrame, weights: DataFrame) -> DataFrame:
-    features = [c for c in K.GFS_AREA_FEATURES if c in grid_df.columns]
-    df = area_means(grid_df, features, weights)
-    levels = [n for n, (u, v) in K.GFS_LEVELS.items() if {u, v} <= set(features)]
+    df, features = _area(grid_df, weights, K.GFS_AREA_FEATURES,
+                         ["gfs_lead_hour", "target_hour", "forecast_issue_date"], {})
+    levels = [n for n, (u, v) in K.GFS_LEVELS.items() if {u, v} <= features]
     df = df.withColumns({f"gfs_wd_{n}": S.wind_direction(*K.GFS_LEVELS[n]) for n in levels})
     df = direction_cycle(df, [f"gfs_wd_{n}" for n in levels])
     if "gfs_ws_hub" in features:
         hub = F.col("gfs_ws_hub")
         df = df.withColumns({"gfs_ws_hub_2": hub * hub, "gfs_ws_hub_3": hub * hub * hub})
-    return time_meta(df, grid_df, ["gfs_lead_hour", "target_hour", "forecast_issue_date"])
+    return df
 
 
 def grid_statistics(df: DataFrame, ts: str = "forecast_kst_dtm", prefix: str = "ldaps") -> DataFrame:

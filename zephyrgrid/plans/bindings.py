@@ -266,7 +266,8 @@ VIEWS: dict[str, str] = {
 
 def rnd(text: str) -> str:
     """The SQL side of :func:`scalars.r6`."""
-    return f"floor(({text}) * 1e6 + 0.5e0) / 1e6"
+    return (f"(CASE WHEN abs({text}) < 10 THEN floor(({text}) * 1e6 + 0.501e0) / 1e6 "
+            f"ELSE floor(({text}) * 1000 + 0.501e0) / 1000e0 END)")
 
 
 def rnds(*names: str) -> str:
