@@ -167,3 +167,11 @@ def final_choice(candidates: DataFrame, ensembles: DataFrame, originals: DataFra
     return both.select("group", pick("_t.model_name", F.col("original_name")).alias("model_name"),
                        pick("_t.kind", F.lit("raw")).alias("kind"),
                        pick("_t.score", F.col("original_score")).alias("score"))
+
+
+def pick_calibrated(df: DataFrame, audited: DataFrame, on: list[str], raw: str = "pred",
+                    calibrated: str = "pred_calibrated", out: str = "pred_final") -> DataFrame:
+    """The calibrated prediction where the audit chose it, else the raw one."""
+    joined = attach(df, audited.select(*on, "use_calibrated"), on, "left")
+    return joined.withColumn(out, F.when(S.known(F.col("use_calibrated")), F.col(calibrated)).otherwise(
+        F.col(raw))).drop("use_calibrated")

@@ -23,14 +23,16 @@ def grid_coordinates(df: DataFrame) -> DataFrame:
 
 
 def nearest_grid(turbines: DataFrame, grid: DataFrame, k: int = K.IDW_NEIGHBOURS,
-                 cell: float = 0.05, key: str = "turbine") -> DataFrame:
+                 cell: float = 0.05, key: str = "turbine", settle_grid: bool = True) -> DataFrame:
     """(key, grid_id, distance_km, rank) of the k nearest points, ties by grid_id.
 
     Points and turbines meet in square cells of ``cell`` degrees, so it is an equi-join. A
     turbine is settled once its k-th distance is below the distance to the edge of the cells
-    looked at; the rest look twice as far, until they have seen the whole grid.
+    looked at; the rest look twice as far, until they have seen the whole grid. The points are
+    kept as a checkpoint first (``settle_grid``), since each round reads them again.
     """
-    grid = stable(grid.select("grid_id", "latitude", "longitude"))
+    if settle_grid:
+        grid = stable(grid.select("grid_id", "latitude", "longitude"))
     box = grid.agg(F.min("latitude"), F.max("latitude"), F.min("longitude"), F.max("longitude"),
                    F.count(F.lit(1))).first()
     if box[4] == 0:
@@ -65,7 +67,7 @@ def nearest_grid(turbines: DataFrame, grid: DataFrame, k: int = K.IDW_NEIGHBOURS
         done = done.filter(covers | near_enough).select(key)
         part = stable(ranked.join(done, key, "left_semi").select(key, "grid_id", "distance_km", "rank"))
         settled = part if settled is None else settled.unionByName(part)
-        todo = stable(todo.join(part.select(key).distinct(), key, "left_anti"))
+        todo = todo.join(part.filter("rank = 1").select(key), key, "left_anti")
         cell *= 2
     if settled is None:
         raise ContractError("no turbine has coordinates")
@@ -83,7 +85,7 @@ def group_weights(turbines: DataFrame, grid: DataFrame, k: int = K.IDW_NEIGHBOUR
                   check: bool = True) -> DataFrame:
     """(group, grid_id, w) for every grid point and group with turbines; unused points weigh 0."""
     turbines, grid = stable(turbines), stable(grid)
-    near = turbine_weights(nearest_grid(turbines, grid, k, key=key), power, key)
+    near = turbine_weights(nearest_grid(turbines, grid, k, key=key, settle_grid=False), power, key)
     placed = near.join(turbines.select(key, "group", "cap_kw"), key)
     shares = placed.groupBy("group", "grid_id").agg(F.sum(F.col("cap_kw") * F.col("w")).alias("_share"))
     totals = turbines.groupBy("group").agg(F.sum("cap_kw").alias("_total"))
@@ -97,10 +99,9 @@ def group_weights(turbines: DataFrame, grid: DataFrame, k: int = K.IDW_NEIGHBOUR
 def check_weights(weights: DataFrame) -> DataFrame:
     """Each group's weights must be finite and add up to one."""
     weights = stable(weights)
-    sums = weights.groupBy("group").agg(F.sum("w").alias("total"))
-    bad = sums.filter(F.col("total").isNull() | F.isnan("total") | (F.abs(F.col("total") - 1.0) > 1e-5))
-    if weights.isEmpty() or not bad.isEmpty():
-        raise ContractError("weights of a group do not add up to 1: check group keys and capacities")
+    sums = weights.groupBy("group").agg(F.sum("w").alias("total")).collect()  # one row per group
+    if not sums or any(r["total"] is None or not abs(r["total"] - 1.0) <= 1e-5 for r in sums):
+        raise ContractError(f"weights of a group do not add up to 1, check group keys and capacities: {sums}")
     return weights
 
 

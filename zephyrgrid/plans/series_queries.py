@@ -490,12 +490,12 @@ def best_by_group(spark, d):
 
 B.VIEWS["board"] = """SELECT model_name, avg(nmae) AS mean_nmae, avg(ficr) AS mean_ficr, avg(mae) AS mean_mae, avg(rmse) AS mean_rmse,
     avg(n_features) AS mean_features, count(DISTINCT "group") AS groups, 0.5e0 * (1 - avg(nmae)) + 0.5e0 * avg(ficr) AS official_score FROM result_rows GROUP BY 1"""
-_BOARD = ["mean_nmae", "mean_ficr", "mean_mae", "mean_rmse", "mean_features", "official_score"]
+BOARD = ["mean_nmae", "mean_ficr", "mean_mae", "mean_rmse", "mean_features", "official_score"]
 
 
-@query("leaderboard_rank", f"SELECT model_name, groups, {rnds(*_BOARD)}, row_number() OVER (ORDER BY official_score DESC, model_name) AS rank FROM board")
+@query("leaderboard_rank", f"SELECT model_name, groups, {rnds(*BOARD)}, row_number() OVER (ORDER BY official_score DESC, model_name) AS rank FROM board")
 def leaderboard_rank(spark, d):
-    return rounded(M.ranked_leaderboard(M.leaderboard(result_rows(spark, d))), "model_name", "groups", *_BOARD, "rank")
+    return rounded(M.ranked_leaderboard(M.leaderboard(result_rows(spark, d))), "model_name", "groups", *BOARD, "rank")
 
 
 @query("dedupe_keep_last", f"""SELECT "group", model_name, o_orderkey, {rnd('pred')} AS pred FROM (SELECT *, row_number() OVER (PARTITION BY "group", model_name
