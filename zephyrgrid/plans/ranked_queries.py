@@ -58,9 +58,9 @@ def intersect_features(spark, d):
     return B.table(spark, d, "lineitem").select(F.col("l_shipdate").alias("stamp")).intersect(picked)
 
 
-@query("except_columns", """SELECT c_custkey AS custkey FROM customer EXCEPT ALL SELECT o_custkey FROM orders""")
+@query("except_columns", """SELECT c_custkey AS custkey FROM customer EXCEPT ALL SELECT o_custkey FROM orders WHERE o_totalprice > 250000""")
 def except_columns(spark, d):
-    ordered = B.table(spark, d, "orders").select("o_custkey")
+    ordered = B.table(spark, d, "orders").filter("o_totalprice > 250000").select("o_custkey")
     return B.table(spark, d, "customer").select(F.col("c_custkey").alias("custkey")).exceptAll(ordered)
 
 
