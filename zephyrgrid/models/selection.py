@@ -105,7 +105,7 @@ def shuffled_partner(df: DataFrame, columns: list[str], identity: list[str], see
     """
     digest = F.xxhash64(*[F.col(c) for c in identity], F.lit(seed))
     mixed = df.withColumn("_h", digest)
-    placed = stable(numbered(mixed, [], ["_h", *identity], F.shiftright("_h", 54), position="_p", total="_t").drop("_h"))
+    placed = stable(numbered(mixed, [], ["_h", *identity], F.shiftright("_h", 50), position="_p", total="_t").drop("_h"))
     half = F.floor(F.col("_t") / 2)
     other = placed.select(((F.col("_p") + half - 1) % F.col("_t") + 1).alias("_p"),
                           F.struct(*columns).alias("other"))

@@ -67,10 +67,19 @@ def feature_columns(df: DataFrame, time_cols=("forecast_kst_dtm", "kst_dtm"), ke
     return [c for c in numeric_columns(df) if c not in excluded]
 
 
-def one_hot(df: DataFrame, column: str, categories: list, drop: bool = True) -> DataFrame:
-    """One byte column per declared category, so that all splits get the same width."""
+def one_hot(df: DataFrame, column: str, categories: list | None = None, drop: bool = True,
+            most: int = 1000) -> DataFrame:
+    """One byte column per declared category, so that all splits get the same width.
+
+    Without a declaration the values found are used; more than ``most`` of them is an error.
+    """
     if column not in df.columns:
         return df
+    if categories is None:
+        found = df.select(column).distinct().filter(F.col(column).isNotNull()).limit(most + 1).collect()
+        if len(found) > most:
+            raise ContractError(f"{column} has more than {most} values, declare its categories")
+        categories = sorted(r[0] for r in found)
     flags = {f"{column}_{c}": S.known(F.col(column) == F.lit(c)).cast("tinyint") for c in categories}
     wide = df.withColumns(flags)
     return wide.drop(column) if drop else wide
@@ -133,6 +142,16 @@ def group_key(group, domain=tuple(K.GROUPS)) -> Column:
         F.raise_error(F.concat(F.lit("unknown group: "), F.coalesce(text, F.lit("null")))))
 
 
+def weight_inputs(turbines: DataFrame, domain=tuple(K.GROUPS)) -> DataFrame:
+    """Turbines with a named group and ``cap_kw``, the latter from ``capacity_mw`` if need be."""
+    if "cap_kw" not in turbines.columns and "capacity_mw" in turbines.columns:
+        turbines = turbines.withColumn("cap_kw", F.col("capacity_mw") * 1000.0)
+    missing = [c for c in ("group", "lat", "lon", "cap_kw") if c not in turbines.columns]
+    if missing:
+        raise ContractError(f"turbine table lacks {missing}")
+    return turbines.withColumn("group", group_key("group", domain))
+
+
 def power_curve_points(df: DataFrame, speed: str, power: str, sample: int | None = None,
                        key: str | None = None, seed: int = 42) -> DataFrame:
     valid = df.dropna(subset=[speed, power]).filter((F.col(speed) > 0.5) & (F.col(power) >= 0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zephyrgrid import constants as K
 from zephyrgrid.functions import scalars as S
-from zephyrgrid.operators.contracts import ContractError
+from zephyrgrid.operators.contracts import ContractError, weight_inputs
 from zephyrgrid.operators.sensor import direction_cycle
 from zephyrgrid.session import attach, stable
 
@@ -84,7 +84,7 @@ def group_weights(turbines: DataFrame, grid: DataFrame, k: int = K.IDW_NEIGHBOUR
                   power: float = K.IDW_POWER, key: str = "turbine", groups: list[str] = K.GROUPS,
                   check: bool = True) -> DataFrame:
     """(group, grid_id, w) for every grid point and group with turbines; unused points weigh 0."""
-    turbines, grid = stable(turbines), stable(grid)
+    turbines, grid = stable(weight_inputs(turbines, tuple(groups))), stable(grid)
     near = turbine_weights(nearest_grid(turbines, grid, k, key=key, settle_grid=False), power, key)
     placed = near.join(turbines.select(key, "group", "cap_kw"), key)
     shares = placed.groupBy("group", "grid_id").agg(F.sum(F.col("cap_kw") * F.col("w")).alias("_share"))

@@ -47,8 +47,8 @@ def rename_gfs(spark, d):
     return rounded(C.rename_known(B.gfs_raw(spark, d), K.GFS_NAMES), "forecast_kst_dtm", "grid_id", *_G)
 
 
-@query("rename_sensor", f"SELECT turbine, kst_dtm, {rnds('power_raw', 'ws_raw', 'wd_raw')} FROM sensor_long")
-def rename_sensor(spark, d):
+@query("rename_scada", f"SELECT turbine, kst_dtm, {rnds('power_raw', 'ws_raw', 'wd_raw')} FROM sensor_long")
+def rename_scada(spark, d):
     short = {"kst_dtm": "datetime", "power_raw": "power", "ws_raw": "ws", "wd_raw": "wd"}
     return rounded(C.rename_sensor(B.sensor_long(spark, d).withColumnsRenamed(short)))
 
@@ -476,12 +476,6 @@ def hour_coverage(spark, d):
     return rounded(Fl.hour_coverage(clean), "turbine", "kst_dtm", "n_valid_in_hour", "is_partial_missing", "is_full_missing_hour")
 
 
-@query("dir_valid", "SELECT turbine, kst_dtm, coalesce(ws_raw >= 1, FALSE) AS dir_valid FROM sensor_axis")
-def dir_valid(spark, d):
-    rows = Sr.complete_axis(B.sensor_long(spark, d))
-    return rows.select("turbine", "kst_dtm", S.known(F.col("ws_raw") >= K.LOW_WIND).alias("dir_valid"))
-
-
 @query("signal_guard", f"""SELECT 'ws10' AS "column", {rnd('max(abs(ws10))')} AS peak, max(abs(ws10)) > 0 AS has_signal FROM ldaps_grid
     UNION ALL SELECT 'flat', {rnd('max(abs(lsm * 0))')}, FALSE FROM ldaps_grid""")
 def signal_guard(spark, d):

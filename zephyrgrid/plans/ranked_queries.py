@@ -252,15 +252,15 @@ def blend_weight(spark, d):
     cand AS (SELECT * FROM solo UNION ALL SELECT "group", 'alpha+beta', 'ensemble', ensemble_score, 1 FROM blend_choice WHERE adopt),
     top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY round(score, 10) DESC, late, model_name) AS r FROM cand) WHERE r = 1),
     base AS (SELECT "group", model_name, score FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY score DESC, model_name) AS r FROM result_rows) WHERE r = 1)
-    SELECT b."group", CASE WHEN t.score > a.best THEN t.model_name ELSE b.model_name END AS model_name, CASE WHEN t.score > a.best THEN t.kind ELSE 'raw' END AS kind,
-    {rnd('CASE WHEN t.score > a.best THEN t.score ELSE b.score END')} AS score FROM base b JOIN top t ON b."group" = t."group"
-    JOIN (SELECT "group", model_name, before_ AS best FROM audited) a ON a."group" = b."group" AND a.model_name = b.model_name""")
+    SELECT b."group", CASE WHEN round(t.score, 10) > round(a.best, 10) THEN t.model_name ELSE b.model_name END AS model_name, CASE WHEN round(t.score, 10) > round(a.best, 10) THEN t.kind ELSE 'raw' END AS kind,
+    {rnd('CASE WHEN round(t.score, 10) > round(a.best, 10) THEN t.score ELSE b.score END')} AS score FROM base b JOIN top t ON b."group" = t."group"
+    JOIN (SELECT "group", model_name, greatest(before_, after_) AS best FROM audited) a ON a."group" = b."group" AND a.model_name = b.model_name""")
 def final_choice(spark, d):
     audited = stable(D.calibration_audit(stable(halves(spark, d)), GM))
     candidates = audited.select(*GM, F.col("score_before").alias("score_raw"), F.col("score_after").alias("score_calibrated"))
     ensembles = D.audited_blend(stable(pair_halves(spark, d)), ["group"]).withColumn("label", F.lit("alpha+beta"))
     first = Q.best_by(result_rows(spark, d), ["group"], "score", "model_name")
-    originals = first.join(audited.select(*GM, F.col("score_before").alias("baseline_score")), GM).select(
+    originals = first.join(audited.select(*GM, F.col("best_score").alias("baseline_score")), GM).select(
         "group", F.col("model_name").alias("original_name"), F.col("score").alias("original_score"), "baseline_score")
     return rounded(D.final_choice(candidates, ensembles, originals))
 

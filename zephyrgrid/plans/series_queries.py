@@ -213,6 +213,11 @@ def hourly(spark, d):
     return Se.turbine_hourly(sensor_ready(spark, d))
 
 
+@query("dir_valid", "SELECT turbine, kst_dtm, coalesce(ws_filled >= 1, FALSE) AS dir_valid FROM sensor_ready")
+def dir_valid(spark, d):
+    return sensor_ready(spark, d).select("turbine", "kst_dtm", "dir_valid")
+
+
 _HOURLY = ["power_sum_all", "ws_mean", "ws_std", "ws_max", "u_mean", "v_mean", "ws_q25", "ws_q75", "power_sum_strict", "power_sum_relaxed"]
 _ANY = ["is_high_wind_zero", "is_cut_out_hour", "is_outlier_hour", "is_interp_hour"]
 
@@ -313,12 +318,20 @@ _P = "(SELECT {}({}) FROM obs WHERE l_linenumber <= 4)"
 
 
 @query("standardise", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, " + ", ".join(
-    f"{rnd('(' + c + ' - ' + _P.format('avg', c) + ') / ' + _P.format('stddev_samp', c))} AS {c}" for c in _SCALED) + f", {rnd('u')} AS u_back FROM obs")
+    f"{rnd('(' + c + ' - ' + _P.format('avg', c) + ') / ' + _P.format('stddev_samp', c))} AS {c}" for c in _SCALED) + " FROM obs")
 def standardise(spark, d):
     rows = B.obs(spark, d)
     params = Q.as_dict(Q.scale_params(rows.filter("l_linenumber <= 4"), _SCALED))
-    df = Q.standardise(rows, params).withColumn("u_back", Q.unstandardise(F.col("u"), params["u"]))
-    return rounded(df, "l_orderkey", "l_linenumber", *_SCALED, "u_back")
+    return rounded(Q.standardise(rows, params), "l_orderkey", "l_linenumber", *_SCALED)
+
+
+@query("inverse_scale", f"SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {rnds('u', 't2m')} FROM obs")
+def inverse_scale(spark, d):
+    rows = B.obs(spark, d)
+    params = Q.as_dict(Q.scale_params(rows, ["u", "t2m"]))
+    scaled = Q.standardise(rows, params)
+    back = {c: Q.unstandardise(F.col(c), params[c]) for c in ("u", "t2m")}
+    return rounded(scaled.withColumns(back), "l_orderkey", "l_linenumber", "u", "t2m")
 
 
 @query("minmax_scale", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, " + ", ".join(

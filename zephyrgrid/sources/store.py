@@ -28,7 +28,7 @@ class FeatureCache:
         if self.is_complete() and not force:
             return False
         rows = make().filter(F.col("group").isin(*self.groups) & F.col("split").isin(*self.splits))
-        # a few files per folder: rows of a folder may be most of the data, so spread them by stamp too
+        # no repartition by folder: one folder may hold most of the rows and would be one task
         rows.write.mode("overwrite").partitionBy("split", "group").parquet(self.root)
         return True
 
