@@ -132,6 +132,28 @@ def test_actions(spark):
 
 
 
+# Published nmae, ficr of three groups, and the published mean score.
+PUBLISHED = {
+    "selected": ([(0.08044805309522884, 0.39140143920052395), (0.07921893760677004, 0.42989440351002844),
+                  (0.0713697883714368, 0.36309346676783555)], 0.6588920884008254),
+    "settlement": ([(0.08055577511297647, 0.38616034733143784), (0.079330557807413, 0.4278745829893805),
+                    (0.07176463368281163, 0.363411971379749)], 0.6576326558495611),
+    "history": ([(0.08542530001158607, 0.3844178284983514), (0.08257243620537734, 0.44306693544926395),
+                 (0.08194045771086718, 0.3985165089696033)], 0.6626771798315647),
+}
+
+
+def test_published_leaderboard(spark):
+    rows = [(str(g), m, 86 if g < 3 else 82, n, f, 0.0, 0.0) for m, (cells, _) in PUBLISHED.items()
+            for g, (n, f) in enumerate(cells, 1)]
+    df = spark.createDataFrame(rows, "group string, model_name string, n_features int, nmae double, ficr double, mae double, rmse double")
+    out = M.ranked_leaderboard(M.leaderboard(df)).orderBy("rank").collect()
+    assert [r["model_name"] for r in out] == ["history", "selected", "settlement"]
+    for r in out:
+        assert r["official_score"] == pytest.approx(PUBLISHED[r["model_name"]][1], abs=1e-12)
+        assert r["mean_features"] == pytest.approx(84.66666666666667) and r["groups"] == 3
+
+
 def test_leaderboard(spark):
     rows = [(f"g{g}", m, 10 * g, n, f, 0.0, 0.0) for m, cells in {
         "x": [(0.1, 0.5), (0.2, 0.4), (0.3, 0.3)], "y": [(0.1, 0.9), (0.1, 0.9), (0.1, 0.9)]}.items()
