@@ -57,7 +57,7 @@ class SettlementBooster:
     """L1 trees first, then Newton steps on the smoothed settlement loss.
 
     Each step fits a tree to -gradient / curvature with the curvature as weight. The running
-    prediction is a column; a reliable checkpoint every few steps keeps the plan short.
+    prediction is a column; writing it out every few steps keeps the plan short.
     """
 
     def __init__(self, columns: list[str], target: str, warmup: int = 10, steps: int = 10, depth: int = 4,

@@ -14,7 +14,7 @@ from zephyrgrid import constants as K
 from zephyrgrid.functions import scalars as S
 from zephyrgrid.operators import metrics as M
 from zephyrgrid.operators.contracts import clip_between
-from zephyrgrid.session import attach
+from zephyrgrid.session import attach, stable
 
 
 def even_steps(low: float, high: float, n: int) -> list[float]:
@@ -36,7 +36,7 @@ def _candidate_sums(candidates: list[Column], actual: Column, capacity: Column)
     made = []
     for i, c in enumerate(candidates):
         ratio = F.abs(c - actual) / capacity
-        made += [F.avg(ratio).alias(f"_e{i}"), F.sum(S.unit_price(ratio) * actual).alias(f"_s{i}")]
+        made += [F.sum(ratio).alias(f"_e{i}"), F.sum(S.unit_price(ratio) * actual).alias(f"_s{i}")]
     return made
 
 
@@ -45,7 +45,7 @@ def _candidate_rows(possible: Column, values: list[float], name: str) -> Column:
     for i, v in enumerate(values):
         share = M.share_of_maximum(F.col(f"_s{i}"), possible)
         rows.append(F.struct(F.lit(i).alias(f"_{name}"), F.lit(v).alias(name),
-                             F.col(f"_e{i}").alias("nmae"), share.alias("ficr")))
+                             (F.col(f"_e{i}") / F.col("_n")).alias("nmae"), share.alias("ficr")))
     return F.array(*rows)
 
 
@@ -62,6 +62,7 @@ def fit_affine(df: DataFrame, keys: list[str], pred: str = "pred", actual: str =
     clipped = [clip_between(line + F.col("_cap") * b, 0.0, F.col("_cap")) for b in OFFSETS]
     sums = rows.groupBy(*keys, "_a", "a").agg(
         F.sum(F.col("_y") * 4.0).alias("_possible"), F.first("_cap").alias("_cap"), F.count(F.lit(1)).alias("n"),
+        F.count(F.col("_p") - F.col("_y")).alias("_n"),
         *_candidate_sums(clipped, F.col("_y"), F.col("_cap")))
     scored = sums.select(*keys, "_a", "a", "_cap", "n",
                          F.inline(_candidate_rows(F.col("_possible"), OFFSETS, "b_ratio")))
@@ -96,7 +97,8 @@ def calibration_audit(halves: DataFrame, keys: list[str], hour: str | None = Non
         params, on = fit_diurnal(tune, keys, hour), [*keys, "hour_bucket"]
     else:
         params, on = fit_affine(tune, keys), keys
-    scored = apply_calibration(audit, params, on)
+    # the search is run once, its few rows are then counted and joined
+    scored = apply_calibration(audit, stable(params), on)
     p, c, y, cap = "pred", "pred_calibrated", "actual", "capacity"
     out = scored.groupBy(*keys).agg(
         M.score_of(M.nmae(p, y, cap), M.ficr(p, y, cap)).alias("score_before"),
@@ -120,7 +122,7 @@ def blend_scores(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Score of w * a + (1 - w) * b for all weights in one pass, no row is repeated."""
     y, cap = F.col("actual"), F.col("capacity")
     mixes = [F.col("pred_a") * w + F.col("pred_b") * (1 - w) for w in WEIGHTS]
-    sums = pairs.groupBy(*keys).agg(F.sum(y * 4.0).alias("_possible"), *_candidate_sums(mixes, y, cap))
+    sums = pairs.groupBy(*keys).agg(F.sum(y * 4.0).alias("_possible"), F.count(y).alias("_n"), *_candidate_sums(mixes, y, cap))
     rows = sums.select(*keys, F.inline(_candidate_rows(F.col("_possible"), WEIGHTS, "w")))
     return rows.withColumn("score", M.score_of("nmae", "ficr"))
 

@@ -37,8 +37,8 @@ def numbered(df: DataFrame, keys: list[str], order: list, slice_by: Column | Non
 
     ``slice_by`` must grow with ``order`` and hold a bounded number of rows per key, as
     :func:`time_slice` does for series with one row per key and stamp. Without it the rows
-    are range-partitioned over (keys, order) and kept as a reliable checkpoint, so that the
-    partition number is a slice that stays the same when a lost executor is replaced; equal
+    are range-partitioned over (keys, order) and written with their partition number, which is
+    then a slice that stays the same when a lost executor is replaced; equal
     stamps may then be any share of the data as long as ``order`` ends in a tie-break.
 
     The join with the slice offsets uses the partitioning of the window before it, so the
@@ -46,8 +46,8 @@ def numbered(df: DataFrame, keys: list[str], order: list, slice_by: Column | Non
     """
     if slice_by is None:
         slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranged = stable(df.repartitionByRange(slots, *keys, *order))
-        sliced = ranged.withColumn("_slice", F.spark_partition_id().cast("bigint"))
+        ranged = df.repartitionByRange(slots, *keys, *order)
+        sliced = stable(ranged.withColumn("_slice", F.spark_partition_id().cast("bigint")))
     else:
         sliced = df.withColumn("_slice", slice_by)
     sums = running or {}
@@ -118,8 +118,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[flo
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
               .agg(F.count(F.lit(1)).alias("_c")))
     slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stable(counts.repartitionByRange(slots, *keys, "_v")).withColumn(
-        "_slice", F.spark_partition_id())
+    ranged = stable(counts.repartitionByRange(slots, *keys, "_v").withColumn(
+        "_slice", F.spark_partition_id().cast("bigint")))
     part = ranged.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_rows"))
     key = Window.partitionBy(*keys)
     bounds = part.select(

@@ -29,7 +29,7 @@ def nearest_grid(turbines: DataFrame, grid: DataFrame, k: int = K.IDW_NEIGHBOURS
     Points and turbines meet in square cells of ``cell`` degrees, so it is an equi-join. A
     turbine is settled once its k-th distance is below the distance to the edge of the cells
     looked at; the rest look twice as far, until they have seen the whole grid. The points are
-    kept as a checkpoint first (``settle_grid``), since each round reads them again.
+    written out first (``settle_grid``), since each round reads them again.
     """
     if settle_grid:
         grid = stable(grid.select("grid_id", "latitude", "longitude"))
@@ -40,14 +40,17 @@ def nearest_grid(turbines: DataFrame, grid: DataFrame, k: int = K.IDW_NEIGHBOURS
     k = max(1, min(k, box[4]))
     todo = stable(turbines.select(key, "lat", "lon").filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()))
     at = lambda c, size: F.floor(F.col(c) / F.lit(size))
+    left = todo.select(key).distinct().count()
+    if not left:
+        raise ContractError("no turbine has coordinates")
     settled: DataFrame | None = None
-    while not todo.isEmpty():
+    while left:
         points = grid.select("grid_id", "latitude", "longitude",
                              at("latitude", cell).alias("_y"), at("longitude", cell).alias("_x"))
         around = F.array(F.lit(-1), F.lit(0), F.lit(1))
         looked = (todo.withColumn("_dy", F.explode(around)).withColumn("_dx", F.explode(around))
                   .withColumns({"_y": at("lat", cell) + F.col("_dy"), "_x": at("lon", cell) + F.col("_dx")}))
-        near = attach(looked, points, ["_y", "_x"], "inner").withColumn(
+        near = attach(looked, points, ["_y", "_x"], "inner", counted=box[4]).withColumn(
             "distance_km", S.haversine_km("lat", "lon", "latitude", "longitude"))
         # places at equal distance differ in the last bits; equal to a micrometre is a tie
         order = Window.partitionBy(key).orderBy(F.round("distance_km", 9), "grid_id")
@@ -67,10 +70,10 @@ def nearest_grid(turbines: DataFrame, grid: DataFrame, k: int = K.IDW_NEIGHBOURS
         done = done.filter(covers | near_enough).select(key)
         part = stable(ranked.join(done, key, "left_semi").select(key, "grid_id", "distance_km", "rank"))
         settled = part if settled is None else settled.unionByName(part)
-        todo = todo.join(part.filter("rank = 1").select(key), key, "left_anti")
+        first = part.filter("rank = 1").select(key)
+        left -= first.count()
+        todo = todo.join(first, key, "left_anti")
         cell *= 2
-    if settled is None:
-        raise ContractError("no turbine has coordinates")
     return settled
 
 
@@ -90,7 +93,8 @@ def group_weights(turbines: DataFrame, grid: DataFrame, k: int = K.IDW_NEIGHBOUR
     shares = placed.groupBy("group", "grid_id").agg(F.sum(F.col("cap_kw") * F.col("w")).alias("_share"))
     totals = turbines.groupBy("group").agg(F.sum("cap_kw").alias("_total"))
     all_groups = F.explode(F.array(*[F.lit(g) for g in groups])).alias("group")
-    every = attach(grid.select("grid_id", all_groups), totals, ["group"], "inner")
+    # group names were checked against ``groups``, so there is at most one total for each
+    every = grid.select("grid_id", all_groups).join(F.broadcast(totals), "group")
     weights = every.join(shares, ["group", "grid_id"], "left").select(
         "group", "grid_id", (F.coalesce(F.col("_share"), F.lit(0.0)) / (F.col("_total") + K.TINY)).alias("w"))
     return check_weights(weights) if check else weights
@@ -118,16 +122,18 @@ def area_means(df: DataFrame, features: list[str], weights: DataFrame, ts: str =
     side = weights.join(points, "group")
     spread = ranges or {}
     needed = list(dict.fromkeys([*features, *spread.values(), *first]))
-    rows = attach(df.select(ts, "grid_id", *needed), side, ["grid_id"], "inner")
+    rows = attach(df.select(ts, "grid_id", *needed), side, ["grid_id"], "inner", counted=weights)
+    # a null turns its sum into NaN, so one row count serves all features
+    total = lambda c: F.sum(F.coalesce(F.col("w") * F.col(c), F.lit(float("nan")))).alias(c)
     known_first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("grid_id"))).alias(c)
     sums = rows.groupBy(ts, "group").agg(
         F.first("_points").alias("_points"), F.count(F.lit(1)).alias("_n"), F.sum("w").alias("_w"),
-        *[F.sum(F.col("w") * F.col(c)).alias(c) for c in features],
-        *[F.count(c).alias(f"_n_{c}") for c in features],
+        *[total(c) for c in features],
         *[(F.max(c) - F.min(c)).alias(n) for n, c in spread.items()],
         *[known_first(c) for c in first])
-    whole = lambda c: F.when(F.col(f"_n_{c}") == F.col("_points"), F.col(c)).alias(c)
-    level = lambda c: F.when(F.col("_n") == F.col("_points"), F.col(c) * F.col("_w")).alias(c)
+    seen = F.col("_n") == F.col("_points")
+    whole = lambda c: F.when(seen & ~F.isnan(c), F.col(c)).alias(c)
+    level = lambda c: F.when(seen, F.col(c) * F.col("_w")).alias(c)
     return sums.select(ts, "group", *[whole(c) for c in features], *[level(n) for n in spread], *first)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zephyrgrid.operators.ordering import exact_quantiles, long_form
+from zephyrgrid.session import attach, stable
 
 
 def _rows(df: DataFrame, columns: list[str], build, names: list[str]) -> DataFrame:
@@ -118,8 +119,7 @@ def curve_power(df: DataFrame, curve: DataFrame, speed: str, model: str, cut_in:
                 turbines, width: float = 0.5) -> DataFrame:
     """Look the forecast speed up in the curve; nothing below cut-in or from cut-out on."""
     binned = df.withColumn("ws_bin", F.floor(F.col(speed) / width) * width)
-    from zephyrgrid.session import attach
-    found = attach(binned, curve.select(model, "ws_bin", "power_median"), [model, "ws_bin"], "left")
+    found = attach(binned, stable(curve.select(model, "ws_bin", "power_median")), [model, "ws_bin"], "left")
     running = (F.col(speed) >= cut_in) & (F.col(speed) < cut_out)
     return found.withColumn("curve_power", F.when(
         F.col(speed).isNotNull(), F.when(running, F.col("power_median")).otherwise(0.0)) * turbines)

@@ -32,7 +32,7 @@ _ready: dict[tuple[str, str], object] = {}
 
 
 def model_rows(spark, d):
-    """Labelled features with a time split, kept as a checkpoint for all fits of a session."""
+    """Labelled features with a time split, written once for all fits of a session."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _ready:
         rows = dataset(spark, d).select("group", TS, *COLUMNS, "target").fillna(0.0, COLUMNS)

@@ -274,9 +274,9 @@ def apply_calibration(spark, d):
     rows = stable(halves(spark, d))
     tune = rows.filter("half = 'tune'")
     df = rows.withColumn("hour_bucket", S.hour_bucket("hour"))
-    df = D.apply_calibration(df, D.fit_affine(tune, GM), GM, out="pred_global")
-    df = D.apply_calibration(df, D.fit_diurnal(tune, GM, "hour"), [*GM, "hour_bucket"], out="pred_by_hour")
-    df = D.pick_calibrated(df, D.calibration_audit(rows, GM), GM, calibrated="pred_global")
+    df = D.apply_calibration(df, stable(D.fit_affine(tune, GM)), GM, out="pred_global")
+    df = D.apply_calibration(df, stable(D.fit_diurnal(tune, GM, "hour")), [*GM, "hour_bucket"], out="pred_by_hour")
+    df = D.pick_calibrated(df, stable(D.calibration_audit(rows, GM)), GM, calibrated="pred_global")
     return rounded(df, "o_orderkey", "pred_global", "pred_by_hour", "pred_final")
 
 

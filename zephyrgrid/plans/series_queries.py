@@ -84,8 +84,15 @@ def grid_places(spark, d):
     return Sa.grid_coordinates(B.ldaps(spark, d))
 
 
+_weights: dict[tuple[str, str], object] = {}
+
+
 def weights(spark, d):
-    return Sa.group_weights(B.turbines(spark, d), grid_places(spark, d))
+    """Group weights, written once per session and set of tables: they depend on places only."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _weights:
+        _weights[key] = Sa.group_weights(B.turbines(spark, d), grid_places(spark, d))
+    return _weights[key]
 
 
 def area(spark, d, source):
@@ -230,7 +237,7 @@ def join_quantiles(spark, d):
 # --- F: aggregations and reshaping -------------------------------------------
 @query("idw_weights", f'SELECT "group", grid_id, {rnd("w")} AS w FROM group_shares')
 def idw_weights(spark, d):
-    return rounded(weights(spark, d))
+    return rounded(Sa.group_weights(B.turbines(spark, d), grid_places(spark, d)))
 
 
 _FEW = ["u10", "v10", "t2m", "q2m"]

@@ -1,4 +1,4 @@
-"""Session helpers: the shared folder, guarded joins and stable cuts of lineage."""
+"""Session helpers: the shared folder, guarded joins and cuts of lineage."""
 
 from __future__ import annotations
 
@@ -19,6 +19,7 @@ def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -49,17 +50,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later stages re-read the very same partitions after a loss."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table to the shared folder and read it from there.
+
+    Values that a second run could draw or place otherwise are fixed once, the plan behind them
+    is cut, and a lost executor costs a re-read. Unlike ``checkpoint`` the last stage runs once,
+    and later readers fetch only the columns they need.
+    """
+    path = new_folder(df.sparkSession, "stable")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def attach(df: DataFrame, side: DataFrame, on: list[str], how: str = "left",
-           limit: int = BROADCAST_ROWS) -> DataFrame:
+           limit: int = BROADCAST_ROWS, counted: DataFrame | int | None = None) -> DataFrame:
     """Equi-join with a side table that is broadcast only if it is counted to be small.
 
     Beyond the limit the join stays a shuffle join, which adaptive execution splits on skew.
+    ``counted`` is the row count, or a cheaper table with at least as many rows.
     """
-    if side.limit(limit + 1).count() <= limit:
+    rows = counted if isinstance(counted, int) else (side if counted is None else counted).limit(limit + 1).count()
+    if rows <= limit:
         side = F.broadcast(side)
     return df.join(side, on, how)
