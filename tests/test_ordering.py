@@ -14,6 +14,14 @@ from zephyrgrid.operators import series as Sr
 START = dt.datetime(2024, 1, 1)
 
 
+@pytest.fixture(autouse=True)
+def many_slices(spark):
+    """Keep small range partitions apart, so that offsets between slices are put to use."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def series(spark, n=400, seed=1, gaps=True):
     """Two keys, one of them long, irregular stamps and null values."""
     rng = np.random.default_rng(seed)
@@ -48,6 +56,8 @@ def test_numbered_equals_row_number(spark, sliced):
 def test_numbered_splits_a_hot_stamp(spark):
     df = spark.range(5000).select(F.lit("a").alias("k"), F.lit(1).alias("ts"), F.col("id"))
     got = O.numbered(df, ["k"], ["ts", "id"])
+    ranged = df.repartitionByRange("k", "ts", "id").select(F.spark_partition_id().alias("p"))
+    assert ranged.distinct().count() > 1
     assert got.filter(F.col("pos") != F.col("id") + 1).count() == 0 and got.count() == 5000
 
 

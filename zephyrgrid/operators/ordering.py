@@ -45,8 +45,8 @@ def numbered(df: DataFrame, keys: list[str], order: list, slice_by: Column | Non
     rows are shuffled once.
     """
     if slice_by is None:
-        slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranged = df.repartitionByRange(slots, *keys, *order)
+        # no fixed number: adaptive execution may merge neighbours, which keeps the order
+        ranged = df.repartitionByRange(*keys, *order)
         sliced = stable(ranged.withColumn("_slice", F.spark_partition_id().cast("bigint")))
     else:
         sliced = df.withColumn("_slice", slice_by)
@@ -117,8 +117,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[flo
     """
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
               .agg(F.count(F.lit(1)).alias("_c")))
-    slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stable(counts.repartitionByRange(slots, *keys, "_v").withColumn(
+    ranged = stable(counts.repartitionByRange(*keys, "_v").withColumn(
         "_slice", F.spark_partition_id().cast("bigint")))
     part = ranged.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_rows"))
     key = Window.partitionBy(*keys)
