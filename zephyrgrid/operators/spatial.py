@@ -37,8 +37,11 @@ def nearest_grid(turbines: DataFrame, grid: DataFrame, k: int = K.IDW_NEIGHBOURS
                    F.count(F.lit(1))).first()
     if box[4] == 0:
         raise ContractError("no grid points")
+    if any(v is None or v != v for v in box[:4]):
+        raise ContractError("a grid point has no place")
     k = max(1, min(k, box[4]))
-    todo = stable(turbines.select(key, "lat", "lon").filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()))
+    todo = stable(turbines.select(key, "lat", "lon").filter(
+        (F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon"))))
     at = lambda c, size: F.floor(F.col(c) / F.lit(size))
     left = todo.select(key).distinct().count()
     if not left:

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from zephyrgrid import constants as K
-from zephyrgrid.functions import scalars as S
 from zephyrgrid.models import experiments as X
 from zephyrgrid.models import regress as R
 from zephyrgrid.models import selection as Se
@@ -20,8 +17,7 @@ from zephyrgrid.plans import bindings as B
 from zephyrgrid.plans import features as Ft
 from zephyrgrid.plans.bindings import rnd, rnds, rounded
 from zephyrgrid.plans.registry import query
-from zephyrgrid.plans.series_queries import RAMPS, SEQ, TS, dataset, weights
-from zephyrgrid.plans.source_queries import result_rows
+from zephyrgrid.plans.series_queries import SEQ, TS, dataset, weights
 from zephyrgrid.session import stable
 
 COLUMNS = ["u10", "v10", "ws10", "air_density", "t2m", "sp", "blws", "ldaps_ws_diff_1h", "ldaps_ws_next3h_max", "doy_cos"]

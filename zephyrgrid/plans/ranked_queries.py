@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from zephyrgrid import constants as K
 from zephyrgrid.functions import scalars as S
 from zephyrgrid.operators import contracts as C
 from zephyrgrid.operators import decisions as D

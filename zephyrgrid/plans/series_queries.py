@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from zephyrgrid import constants as K
-from zephyrgrid.functions import scalars as S
 from zephyrgrid.operators import contracts as C
-from zephyrgrid.operators import flags as Fl
 from zephyrgrid.operators import metrics as M
 from zephyrgrid.operators import sensor as Se
 from zephyrgrid.operators import series as Sr
@@ -17,7 +15,7 @@ from zephyrgrid.operators.ordering import tick
 from zephyrgrid.plans import bindings as B
 from zephyrgrid.plans import features as Ft
 from zephyrgrid.plans.bindings import rnd, rnds, rounded
-from zephyrgrid.plans.column_queries import _DIR, _HOUR_END, _WRAP, readings
+from zephyrgrid.plans.column_queries import _DIR, _WRAP
 from zephyrgrid.plans.physics import issue_times
 from zephyrgrid.plans.registry import query
 from zephyrgrid.plans.source_queries import result_rows

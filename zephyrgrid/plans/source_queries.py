@@ -15,7 +15,7 @@ from zephyrgrid.plans.bindings import rnd, rnds, rounded
 from zephyrgrid.plans.registry import query
 from zephyrgrid.session import new_folder
 from zephyrgrid.sources import store as St
-from zephyrgrid.sources.catalog import Catalog, date_profile, scan_any
+from zephyrgrid.sources.catalog import Catalog, scan_any
 
 LABEL_SCHEMA = T.StructType([T.StructField("kst_dtm", T.TimestampNTZType())]
                             + [T.StructField(g, T.DoubleType()) for g in K.GROUPS])
