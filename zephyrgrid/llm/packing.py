@@ -26,7 +26,7 @@ from zephyrgrid.llm.tokens import Encoder
 from zephyrgrid.session import stable
 
 CAPACITY = 2048
-GROUP_ITEMS, FAN_IN = 16_384, 16
+GROUP_ITEMS, FAN_IN = 32_768, 16
 END = np.array([0], "<u4").tobytes()
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zephyrgrid.llm import bpe, chat, fingerprint, langid, packing, quality, simple8b, topk
+from zephyrgrid.llm import bpe, chat, fingerprint, langid, packing, pii, quality, simple8b, topk
 
 # where the tokenizer files are; a parameter of the session, else the installed package of public files
 TOKENIZERS = "zephyrgrid.tokenizers"
@@ -55,6 +55,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edits(table(spark, sf_dir, "documents"))
 
 
+@query("op5_pii_disclosure")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 @query("op6_language_id")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
