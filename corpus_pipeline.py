@@ -1,18 +1,53 @@
-"""The corpus pipeline: stages that each apply one operator to all documents their predecessor kept."""
+"""The corpus pipeline: stages that each apply one operator to all documents their predecessor kept.
+
+All stages but the last return the columns of ``documents``; the last returns one row per packed piece.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from zephyrgrid.llm import jaccard, langid, packing, pii, quality
+from zephyrgrid.llm.queries import table, tokenizer_file
 from zephyrgrid.session import stable
 
-STAGES: list = []
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told."""
+    return langid.reject(docs)
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.reject(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return jaccard.keep_one(docs, jaccard.Rule(5, 80, 100))
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and the terms that disclose it replaced."""
+    return pii.sanitise(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences."""
+    cut = packing.token_pieces(docs, tokenizer_file(spark, "word_bpe_49k.json"))
+    return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+STAGES = [("language ID", language), ("quality", good), ("near duplicates", distinct), ("PII", private),
+          ("packing", packed)]
+# learned models and tokenizers are not for SQL; tests compare the stages with plain versions
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over ``documents``; each result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stable(stage(spark, docs, sf_dir))
     return docs

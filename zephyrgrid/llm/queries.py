@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zephyrgrid.llm import bpe, chat, fingerprint, langid, packing, pii, quality, simple8b, topk
+from zephyrgrid.llm import bpe, chat, fingerprint, jaccard, langid, packing, pii, quality, simple8b, topk
 
 # where the tokenizer files are; a parameter of the session, else the installed package of public files
 TOKENIZERS = "zephyrgrid.tokenizers"
@@ -50,6 +50,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digest)
 
 
+@query("op3_ngram_jaccard")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(table(spark, sf_dir, "documents"))
+
+
 @query("op4_simhash_fingerprints")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edits(table(spark, sf_dir, "documents"))
