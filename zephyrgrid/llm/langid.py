@@ -58,6 +58,8 @@ def _grams(codes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np
     """A key of the n code points from each position, and whether they lie in one word."""
     keys = np.zeros(len(codes), np.uint64)
     inside = np.ones(len(codes), bool)
+    if n > len(codes):
+        return keys, ~inside
     for i in range(n):
         keys[:len(codes) - i] = keys[:len(codes) - i] * np.uint64(1_000_003) + codes[i:]
         inside[:len(codes) - i] &= owner[:len(codes) - i] == owner[i:]
