@@ -125,3 +125,20 @@ def test_median_fill_uses_train_rows(spark):
     train = spark.createDataFrame([(1.0,), (None,), (3.0,), (9.0,)], "x double")
     fitted = X.make_variant("all").fit(train, ["x"], "x")
     assert fitted.transform(spark.createDataFrame([(None,)], "x double")).first()["x"] == 3.0
+
+
+def test_leaf_values_are_newton_steps(spark):
+    """One step on a feature with two values: each leaf moves by -sum(g) / (sum(h) + penalty)."""
+    rows = [(float(i % 2), 0.3 + 0.4 * (i % 2) + 0.01 * (i % 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "x double, target double")
+    fitted = R.SettlementBooster(["x"], "target", warmup=1, steps=1, depth=1, rate=1.0, penalty=0.5).fit(df)
+    model, values = fitted.trees[0]
+    start = {r["x"]: r["prediction"] for r in fitted.start.transform(R.assemble(df, ["x"])).collect()}
+    from pyspark.sql import functions as F
+    from zephyrgrid.functions import scalars as S
+    for x in (0.0, 1.0):
+        errors = spark.createDataFrame([(start[x] - t,) for v, t in rows if v == x], "e double")
+        g, h = S.settlement_gradient(F.col("e"), fitted.steepness, fitted.weight)
+        s = errors.agg(F.sum(g).alias("g"), F.sum(h).alias("h")).first()
+        got = fitted.transform(R.assemble(df.filter(df.x == x), ["x"])).first()["prediction"]
+        assert abs(got - start[x] - -s["g"] / (s["h"] + 0.5)) < 1e-9

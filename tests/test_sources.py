@@ -82,3 +82,24 @@ def test_submission_rows_and_order(spark):
 def test_shared_folder(spark):
     assert shared_dir(spark) == shared_dir(spark)
     assert new_folder(spark, "x") != new_folder(spark, "x")
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from zephyrgrid import session
+    assert session.local_master("local[8]") and session.local_master("local")
+    assert not session.local_master("local-cluster[3,2,1024]") and not session.local_master("yarn")
+
+    class Context:
+        master = "yarn"
+        getConf = staticmethod(lambda: {})
+
+        class _jsc:
+            class sc:
+                class getCheckpointDir:
+                    isEmpty = staticmethod(lambda: True)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session)

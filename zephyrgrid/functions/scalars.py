@@ -206,7 +206,7 @@ def settlement_gradient(error, steepness: float = K.SOFT_STEEPNESS,
     error = as_col(error)
     size = F.abs(error)
     bells, curves = F.lit(0.0), F.lit(0.0)
-    for edge, share in ((0.06, 1.0), (0.08, 3.0)):
+    for edge, share in ((0.06, 1.0), (0.08, 3.0)):  # the edges of the price steps, and what crossing one costs
         g = _sigmoid((size - edge) * steepness)
         bell = g * (F.lit(1.0) - g)
         bells = bells + bell * (share * steepness)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -111,8 +112,12 @@ def noise_floor_importance(train: DataFrame, valid: DataFrame, columns: list[str
                            noise: int = 3, seed: int = 42, rounds: int = 10) -> tuple[dict[str, float], float]:
     """Importance next to random columns, and the best importance a random column reached."""
     names = [f"noise_{i}" for i in range(noise)]
-    # drawn values must not change between the passes that read them
-    add = lambda df, shift: stable(df.withColumns({n: F.randn(seed + shift + i) for i, n in enumerate(names)}))
+    def normal(i: int):
+        """A normal value from the hash of the row's identity, the same however rows are partitioned."""
+        part = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(i), F.lit(k), *identity), F.lit(1 << 30)) + 0.5) / (1 << 30)
+        return F.sqrt(F.log(part(0)) * -2.0) * F.cos(part(1) * (2 * math.pi))
+
+    add = lambda df, shift: df.withColumns({n: normal(shift + i) for i, n in enumerate(names)})
     model = R.boosted_l1(add(train, 0), [*columns, *names], target, None, rounds=rounds)
     found = Se.permutation_importance(model, add(valid, 100), [*columns, *names], identity, seed)
     return {c: found.get(c, 0.0) for c in columns}, max(found.get(n, 0.0) for n in names)
@@ -125,12 +130,12 @@ def search_settlement(tune: DataFrame, audit: DataFrame, train: DataFrame, colum
     evaluator = R.SettlementEvaluator()
     tried = []
     for _ in range(draws):
-        steepness, weight = float(rng.uniform(20, 80)), float(rng.uniform(0.3, 0.95))
+        steepness, weight = float(rng.uniform(10, 100)), float(rng.uniform(0.5, 0.95))
         model = R.SettlementBooster(columns, target, steepness=steepness, weight=weight, seed=seed, **booster).fit(train)
         tried.append((evaluator.evaluate(R.predicted(model, tune, columns)), steepness, weight, model))
-    best = max(tried, key=lambda x: x[0])
-    audited = evaluator.evaluate(R.predicted(best[3], audit, columns))
-    rows = [(s, w, float(t), t == best[0], float(audited) if t == best[0] else None) for t, s, w, _ in tried]
+    best = max(range(len(tried)), key=lambda i: tried[i][0])  # the first of equal scores
+    audited = evaluator.evaluate(R.predicted(tried[best][3], audit, columns))
+    rows = [(s, w, float(t), i == best, float(audited) if i == best else None) for i, (t, s, w, _) in enumerate(tried)]
     return tune.sparkSession.createDataFrame(
         rows, "steepness double, weight double, tune_score double, chosen boolean, audit_score double")
 

@@ -56,15 +56,17 @@ def predicted(model, df: DataFrame, columns: list[str], capacity: str | None = "
 class SettlementBooster:
     """L1 trees first, then Newton steps on the smoothed settlement loss.
 
-    Each step fits a tree to -gradient / curvature with the curvature as weight. The running
-    prediction is a column; writing it out every few steps keeps the plan short.
+    Each step fits a tree to -gradient / curvature with the curvature as weight, for its leaves only; the value of
+    a leaf is the Newton step of its rows, -sum(gradient) / (sum(curvature) + penalty), from one aggregation by
+    leaf. The running prediction is a column; writing it out every few steps keeps the plan short.
     """
 
     def __init__(self, columns: list[str], target: str, warmup: int = 10, steps: int = 10, depth: int = 4,
-                 rate: float = 0.1, steepness: float = 40.0, weight: float = 0.7, seed: int = 42, cut_every: int = 3):
+                 rate: float = 0.1, steepness: float = 40.0, weight: float = 0.7, seed: int = 42, cut_every: int = 3,
+                 penalty: float = 1.0):
         self.columns, self.target, self.warmup, self.steps = columns, target, warmup, steps
         self.depth, self.rate, self.steepness, self.weight = depth, rate, steepness, weight
-        self.seed, self.cut_every = seed, cut_every
+        self.seed, self.cut_every, self.penalty = seed, cut_every, penalty
 
     def fit(self, train: DataFrame) -> SettlementBooster:
         self.start = boosted_l1(train, self.columns, self.target, None, self.warmup, self.depth, self.rate, self.seed)
@@ -76,20 +78,26 @@ class SettlementBooster:
         for step in range(self.steps):
             gradient, curve = S.settlement_gradient(F.col("_f") - F.col(self.target), self.steepness, self.weight)
             rows = rows.withColumns({"_hess": curve, "_grad": gradient})
-            aimed = rows.withColumn("_step", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -F.col("_grad") / F.col("_hess"))))
-            model = tree.fit(aimed)
-            self.trees.append(model)
-            moved = model.transform(rows.drop("_grad", "_hess"))
-            rows = moved.withColumn("_f", F.col("_f") + F.col("prediction") * self.rate).drop("prediction")
+            model = tree.fit(rows.withColumn("_step", -F.col("_grad") / F.col("_hess"))).setLeafCol("_leaf")
+            leaves = model.transform(rows).groupBy("_leaf").agg(
+                F.sum("_grad").alias("g"), F.sum("_hess").alias("h")).collect()  # at most 2 ** depth rows
+            self.trees.append((model, {r["_leaf"]: -r["g"] / (r["h"] + self.penalty) for r in leaves}))
+            rows = self._move(rows.drop("_grad", "_hess"), *self.trees[-1])
             if (step + 1) % self.cut_every == 0:
                 rows = stable(rows)
         return self
 
+    def _move(self, df: DataFrame, model, values: dict[float, float]) -> DataFrame:
+        """Add the step of each row's leaf to the running prediction; an empty leaf adds nothing."""
+        step = F.create_map(*[F.lit(x) for pair in sorted(values.items()) for x in pair])[F.col("_leaf")]
+        return model.transform(df).withColumn("_f", F.col("_f") + F.coalesce(step, F.lit(0.0)) * self.rate).drop(
+            "prediction", "_leaf")
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Expects ``features``; adds ``prediction``."""
         scored = self.start.transform(df).withColumnRenamed("prediction", "_f")
-        for model in self.trees:
-            scored = model.transform(scored).withColumn("_f", F.col("_f") + F.col("prediction") * self.rate).drop("prediction")
+        for model, values in self.trees:
+            scored = self._move(scored, model, values)
         return scored.withColumnRenamed("_f", "prediction")
 
 

@@ -136,11 +136,9 @@ def normalise_group_key(spark, d):
     return B.table(spark, d, "orders").select("o_orderkey", C.group_key(spelled).alias("group"))
 
 
-@query("powercurve_filter", f"""SELECT turbine, kst_dtm, {rnds('power_raw', 'ws_raw')} FROM sensor_long WHERE ws_raw > 0.5e0 AND power_raw >= 0
-    ORDER BY md5('42:' || strftime(kst_dtm, '%Y-%m-%d %H:%M:%S') || turbine), kst_dtm LIMIT 3000""")
+@query("powercurve_filter", f"""SELECT turbine, kst_dtm, {rnds('power_raw', 'ws_raw')} FROM sensor_long WHERE ws_raw > 0.5e0 AND power_raw >= 0""")
 def powercurve_filter(spark, d):
-    rows = B.sensor_long(spark, d).withColumn("id", F.concat(F.date_format("kst_dtm", "yyyy-MM-dd HH:mm:ss"), "turbine"))
-    return rounded(C.power_curve_points(rows, "ws_raw", "power_raw", 3000, "id"), "turbine", "kst_dtm", "power_raw", "ws_raw")
+    return rounded(C.power_curve_points(B.sensor_long(spark, d), "ws_raw", "power_raw"), "turbine", "kst_dtm", "power_raw", "ws_raw")
 
 
 _SPLIT = """SELECT o_orderkey, CASE WHEN row_number() OVER (PARTITION BY {k} ORDER BY ts, o_orderkey) <= {cut}

@@ -12,6 +12,7 @@ from zephyrgrid.operators import contracts as C
 from zephyrgrid.operators import metrics as M
 from zephyrgrid.operators import series as Sr
 from zephyrgrid.operators import splits as Sp
+from zephyrgrid.operators import stats as Q
 from zephyrgrid.operators.ordering import time_slice
 from zephyrgrid.plans import bindings as B
 from zephyrgrid.plans import features as Ft
@@ -28,13 +29,17 @@ _ready: dict[tuple[str, str], object] = {}
 
 
 def model_rows(spark, d):
-    """Labelled features with a time split, written once for all fits of a session."""
+    """Labelled features with a time split, written once for all fits of a session; a capacity per group."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _ready:
-        rows = dataset(spark, d).select("group", TS, *COLUMNS, "target").fillna(0.0, COLUMNS)
-        top = C.labels_long(B.labels_wide(spark, d)).agg(F.max("target").alias("capacity")).first()["capacity"]
-        rows = rows.withColumns({"actual": F.col("target"), "capacity": F.lit(float(top)), TARGET: F.col("target") / float(top)})
-        _ready[key] = stable(Sp.time_split(rows, ["group"], [TS], slice_by=time_slice(TS)))
+        rows = stable(Sp.time_split(dataset(spark, d).select("group", TS, *COLUMNS, "target"), ["group"], [TS],
+                                    slice_by=time_slice(TS)))
+        # only train rows tell the scale of a group and what stands in for a missing value
+        train = rows.filter("split = 'train'")
+        middle = {c: m for c, (m,) in Q.as_dict(Q.medians(train, COLUMNS)).items() if m is not None}
+        tops = train.groupBy("group").agg(F.max("target").cast("double").alias("capacity"))  # one row per group
+        filled = rows.fillna(middle).join(F.broadcast(tops), "group")
+        _ready[key] = stable(filled.withColumns({"actual": F.col("target"), TARGET: F.col("target") / F.col("capacity")}))
     return _ready[key]
 
 
@@ -141,9 +146,9 @@ def sequence_regressor(spark, d):
 
 @query("experiment_matrix")
 def experiment_matrix(spark, d):
-    variants = {"all": {}, "corr_filtered": {}, "pca": {}, "tree_importance": {"trees": 10, "minimum": 4}}
+    variants = {"all": {}, "corr_filtered": {}, "pca": {}, "tree_importance": {"minimum": 4}}
     rows = model_rows(spark, d).select("group", "split", "actual", "capacity", TARGET, *COLUMNS)
-    return X.experiment_matrix(rows, list(K.GROUPS)[:2], COLUMNS, TARGET, variants, ["trees", "kernel"])
+    return X.experiment_matrix(rows, list(K.GROUPS), COLUMNS, TARGET, variants, ["trees", "kernel"])
 
 
 @query("param_search")

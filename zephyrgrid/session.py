@@ -26,10 +26,16 @@ def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
     )
 
 
+def local_master(master: str) -> bool:
+    """Whether driver and executors are one process; ``local-cluster`` is not."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests, local runs) a fresh local folder is made.
+    Where that setting is missing, a fresh local folder is made for a local master; on a cluster, whose
+    executors would each write to a folder of their own, it is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -39,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if current.isEmpty():
+        if not local_master(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="zephyrgrid-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()
