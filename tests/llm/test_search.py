@@ -15,7 +15,7 @@ def brute(rows, k, asked):
         vectors[i] = min(vectors.get(i, made), made)
     out = []
     for q in filter(asked, vectors):
-        found = sorted((-sum(a * b for a, b in zip(vectors[q], v)), i) for i, v in vectors.items()
+        found = sorted((-topk.cut(sum(a * b for a, b in zip(vectors[q], v))), i) for i, v in vectors.items()
                        if i != q and len(v) == len(vectors[q]))[:k]
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
     return sorted(out)

@@ -81,6 +81,10 @@ def _exact_type(a: np.ndarray, b: np.ndarray) -> type:
     return np.float32 if most < 2 ** 24 else np.float64 if most < 2 ** 53 else object
 
 
+def cut(score: int) -> int:
+    return min(max(score, -2 ** 63), 2 ** 63 - 1)
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
@@ -108,7 +112,7 @@ def search_block(q: pd.DataFrame, c: pd.DataFrame, k: int, pivots: dict[int, tup
         upper = (sizes - bound.astype(float) ** 2) / 2 + 1 + 1e-5 * sizes
         for i, row in enumerate(rows):
             query = queries[row]
-            known = sorted((int(sum(a * int(b) for a, b in zip(v, query))) for v, j in zip(pivot_vectors, pivot_ids)
+            known = sorted((cut(sum(a * int(b) for a, b in zip(v, query))) for v, j in zip(pivot_vectors, pivot_ids)
                             if j != q_ids[row]), reverse=True)
             least = known[k - 1] if len(known) >= k else -math.inf
             ahead = np.flatnonzero((upper[i] >= least) & (c_ids != q_ids[row]))
@@ -116,7 +120,10 @@ def search_block(q: pd.DataFrame, c: pd.DataFrame, k: int, pivots: dict[int, tup
             scores, ids, at, step = np.zeros(0, exact), np.zeros(0, np.int64), 0, 64
             while at < len(ahead) and upper[i, ahead[at]] >= least:
                 some = ahead[at:at + step]
-                scores, ids = np.concatenate([scores, table[some] @ query]), np.concatenate([ids, c_ids[some]])
+                made = table[some] @ query
+                if exact is object:
+                    made = np.array([cut(int(v)) for v in made], object)
+                scores, ids = np.concatenate([scores, made]), np.concatenate([ids, c_ids[some]])
                 keep = _best(scores, ids, k)
                 scores, ids = scores[keep], ids[keep]
                 if len(scores) == k:
@@ -124,7 +131,7 @@ def search_block(q: pd.DataFrame, c: pd.DataFrame, k: int, pivots: dict[int, tup
                 at, step = at + step, step * 4
             out["query_id"] += [q_ids[row]] * len(ids)
             out["vec_id"] += ids.tolist()
-            out["score"] += [min(max(int(s), -2 ** 63), 2 ** 63 - 1) for s in scores]
+            out["score"] += [int(s) for s in scores]
     return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
 
 
