@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zephyrgrid.llm.texts import map_texts
-from zephyrgrid.llm.tokens import Encoder
+from zephyrgrid.llm.tokens import encoder
 from zephyrgrid.session import stable
 
 CAPACITY = 2048
@@ -33,11 +33,11 @@ END = np.array([0], "<u4").tobytes()
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids): the ids of each document and its end id, cut every ``capacity``."""
     def start():
-        encoder = Encoder(path)
+        encode = encoder(path).encode
 
         def cut(texts):
             rows = []
-            for made in encoder.encode(texts):
+            for made in encode(texts):
                 ids = made + END
                 rows.append([{"piece": i, "start": i * capacity, "length": len(part) // 4, "ids": part}
                              for i, part in enumerate(ids[at:at + 4 * capacity] for at in range(0, len(ids), 4 * capacity))])

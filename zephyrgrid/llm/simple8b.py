@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from zephyrgrid.llm.ship import ship
 from zephyrgrid.llm.texts import pieces
-from zephyrgrid.llm.tokens import Encoder
+from zephyrgrid.llm.tokens import encoder
 from zephyrgrid.session import attach, stable
 
-FILE_IDS = 1 << 21  # a file is closed after the document that brings it to so many ids
+FILE_IDS = 1 << 20  # a file is closed after the document that brings it to so many ids
 BLOCK = 1024
 FREQUENT = 4095
 MAGIC = b"ZG8B0001"
@@ -41,14 +41,16 @@ def _pack_words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of all blocks, and the number of words in each; greedy, all blocks step by step together."""
     blocks = -(-len(codes) // BLOCK)
     reach = SELECTORS[0][0]
-    grid = np.zeros((blocks, BLOCK + reach), np.uint64)
+    grid = np.zeros((blocks, BLOCK + reach), np.uint16)
     grid[:, :BLOCK].flat[:len(codes)] = codes
+    widths = np.searchsorted(1 << np.array([bits for _, bits in SELECTORS]), np.arange(FREQUENT + 1), "right")
+    level = widths.astype(np.uint8)[grid]  # the first selector that is wide enough, by bits
     choice = np.full((blocks, BLOCK), len(SELECTORS) - 1, np.uint8)
-    place = np.arange(BLOCK + reach, dtype=np.int32)
+    place = np.arange(BLOCK + reach, dtype=np.int16)
     for s in range(len(SELECTORS) - 2, -1, -1):
-        n, bits = SELECTORS[s]
+        n = SELECTORS[s][0]
         # where the next number too wide for this selector stands
-        wide = np.where(grid >> np.uint64(bits) > 0, place, BLOCK + 2 * reach).astype(np.int32)
+        wide = np.where(level > s, place, np.int16(BLOCK + 2 * reach))
         ahead = np.minimum.accumulate(wide[:, ::-1], axis=1)[:, ::-1]
         choice[ahead[:, :BLOCK] >= place[:BLOCK] + n] = s
     sizes = np.array([n for n, _ in SELECTORS])
@@ -62,13 +64,13 @@ def _pack_words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at[rows] += sizes[chosen]
         rows = rows[at[rows] < ends[rows]]
     row, start, chosen = (np.concatenate(x) for x in zip(*steps))
-    order = np.lexsort((start, row))
+    order = np.argsort(row.astype(np.uint16) if blocks < 1 << 16 else row, kind="stable")  # steps are in order already
     row, start, chosen = row[order], start[order], chosen[order]
     words = chosen.astype(np.uint64)
     for s, (n, bits) in enumerate(SELECTORS):
         own = np.flatnonzero(chosen == s)
         for i in range(n):
-            words[own] |= grid[row[own], start[own] + i] << np.uint64(4 + i * bits)
+            words[own] |= grid[row[own], start[own] + i].astype(np.uint64) << np.uint64(4 + i * bits)
     return words, np.bincount(row, minlength=blocks)
 
 
@@ -93,11 +95,15 @@ def _unpack_words(words: np.ndarray, per_block: np.ndarray, ids: int) -> np.ndar
 def encode_file(doc_ids: list[int | None], docs: list[bytes]) -> bytes:
     """One file from documents, each the bytes of its 32-bit ids."""
     ids = np.frombuffer(b"".join(docs), "<u4")
-    values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    by_count = np.lexsort((values, -counts))
-    code_of = np.zeros(len(values), np.uint64)
-    code_of[by_count[:FREQUENT]] = np.arange(1, min(len(values), FREQUENT) + 1)
-    frequent = values[by_count[:FREQUENT]].astype("<u4")
+    if len(ids) and ids.max() < 1 << 20:
+        counts, inverse = np.bincount(ids), ids
+        values = np.arange(len(counts))
+    else:
+        values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    by_count = np.lexsort((values, -counts))[:min(FREQUENT, np.count_nonzero(counts))]
+    code_of = np.zeros(len(values), np.uint16)
+    code_of[by_count] = np.arange(1, len(by_count) + 1)
+    frequent = values[by_count].astype("<u4")
     codes = code_of[inverse]
     escapes = ids[codes == 0].astype("<u4")
     words, per_block = _pack_words(codes) if len(ids) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -155,11 +161,11 @@ def write(docs: DataFrame, path: str) -> DataFrame:
     narrow = docs.select("doc_id", "text")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    ranged = narrow.repartitionByRange(4 * tasks, *order).sortWithinPartitions(*order).withColumn(
+    ranged = narrow.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn(
         "part", F.spark_partition_id().cast("long"))
 
     def encode(batches):
-        encoder = Encoder(path)
+        encode_texts = encoder(path).encode
         end = np.array([0], "<u4").tobytes()
         ids, docs, size, seq, part = [], [], 0, 0, 0
 
@@ -171,7 +177,7 @@ def write(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for some in pieces(batch, "text"):
                 part = some.column("part")[0].as_py()
-                for doc_id, made in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist())):
+                for doc_id, made in zip(some.column("doc_id").to_pylist(), encode_texts(some.column("text").to_pylist())):
                     ids.append(doc_id)
                     docs.append(made + end)
                     size += len(docs[-1]) // 4

@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public tokenizer file, with repeated words encoded once.
 
 Texts are cut into units at places where the tokenizer of the file never joins two sides: around white space.
-The ids of a unit are kept in memory up to a fixed number of units and joined as bytes. New units of plain
-letters are cut into words by the file's own pattern and given to its BPE model; units with other characters,
+The ids of a unit are kept in memory, for all tasks of a worker, up to a fixed number of units, and joined as
+bytes. New units of plain letters are cut into words by the file's own pattern and given to its BPE model; units with other characters,
 or with the text of a special token, go through the whole tokenizer. Ids are 32-bit little-endian integers.
 """
 
@@ -11,15 +11,19 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
+from functools import cache
 
-import numpy as np
 import regex
 
 PLAIN = "ſ"  # up to here normal forms, cases and letter classes are the same in all Unicode versions
 CHUNK = 1_000_000
-MEMO_UNITS, MEMO_WORDS = 500_000, 300_000
+MEMO_UNITS, MEMO_WORDS = 250_000, 150_000
 BREAK = re.compile(r"(?<=\S) (?=\S)")
 SPACED = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
+# a space before white space or the end: there the pieces between single spaces are not units
+UNEVEN = re.compile(r"^[^\S\x1c-\x1f]| (?=[^\S\x1c-\x1f]|\Z)")
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
 # fixed values: the word patterns that the two kinds of files state or imply
 BYTE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -44,6 +48,31 @@ def chunks(text: str):
     yield text[at:] if at else text
 
 
+def pack(ids: list[int]) -> bytes:
+    made = array("I", ids)
+    if sys.byteorder != "little":
+        made.byteswap()
+    return made.tobytes()
+
+
+class Memo(dict):
+    """Values made on demand; of those not used since the memo was last full, only one generation is kept."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Encodes batches of texts; ``path`` is a file of the tokenizers library."""
 
@@ -56,7 +85,8 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.model = self.library.model
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        special = [re.escape(t["content"]) for t in spec["added_tokens"]]
+        self.odd = re.compile("|".join([f"[\x1c-\x1f]|[^\x00-{PLAIN}]", *special])).search
         steps = spec["pre_tokenizer"]
         if spec["normalizer"] is None and steps.get("type") == "ByteLevel" and steps["use_regex"] \
                 and not steps["add_prefix_space"]:
@@ -67,57 +97,39 @@ class Encoder:
         else:
             self.pattern = None
         self.alphabet = byte_alphabet()
-        self.units, self.words = {}, {}
-
-    def _cut(self, text: str) -> list[str]:
-        if self.pattern is None:
-            return [text]
-        if self.lower:
-            return [text] if SEPARATORS.search(text) else text.split()
-        return SPACED.findall(text)
+        self.space = chr(self.alphabet[32])
+        self.units = Memo(self._unit, MEMO_UNITS)
+        self.later = Memo(lambda unit: self._unit(" " + unit), MEMO_UNITS)  # units that follow a space
+        self.words = Memo(self._word, MEMO_WORDS)
 
     def _word(self, word: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
-        return np.array(ids, "<u4").tobytes()
-
-    def _learn(self, units: list[str]) -> None:
-        odd, known = [], self.words
-        for unit in units:
-            if self.pattern is None or (not unit.isascii() and max(unit) > PLAIN) \
-                    or any(s in unit for s in self.special) or SEPARATORS.search(unit):
-                odd.append(unit)
-                continue
-            found = self.pattern.findall(unit.lower() if self.lower else unit)
-            for word in found:
-                if word not in known:
-                    known[word] = self._word(word)
-            self.units[unit] = b"".join([known[w] for w in found])
-        for unit, made in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False)):
-            self.units[unit] = np.array(made.ids, "<u4").tobytes()
+        # printable ASCII stands for itself
+        shown = word.replace(" ", self.space) if word.isascii() and word.isprintable() \
+            else word.encode().decode("latin-1").translate(self.alphabet)
+        return pack([t.id for t in self.model.tokenize(shown)])
+
+    def _unit(self, unit: str) -> bytes:
+        if self.pattern is None or self.odd(unit):
+            return pack(self.library.encode(unit, add_special_tokens=False).ids)
+        found = self.pattern.findall(unit.lower() if self.lower else unit)
+        return b"".join(map(self.words.__getitem__, found))
+
+    def _chunk(self, text: str) -> bytes:
+        if self.pattern is None or self.lower and SEPARATORS.search(text):
+            return self._unit(text)
+        if self.lower:
+            return b"".join(map(self.units.__getitem__, text.split()))
+        if UNEVEN.search(text):
+            return b"".join(map(self.units.__getitem__, SPACED.findall(text)))
+        first, *later = text.split(" ")
+        return self.units[first] + b"".join(map(self.later.__getitem__, later))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes; a null text has none."""
-        out = []
-        for at in range(0, len(texts), 64):
-            if len(self.units) > MEMO_UNITS:
-                self.units = {}
-            if len(self.words) > MEMO_WORDS:
-                self.words = {}
-            some = [t or "" for t in texts[at:at + 64]]
-            if max(map(len, some)) <= CHUNK:
-                cut = [self._cut(t) for t in some]
-                self._learn(list(set().union(*cut).difference(self.units)))
-                out += [b"".join(map(self.units.__getitem__, c)) for c in cut]
-            else:
-                out += [self._long(t) for t in some]
-        return out
-
-    def _long(self, text: str) -> bytes:
-        made = []
-        for chunk in chunks(text):
-            cut = self._cut(chunk)
-            self._learn(list(set(cut).difference(self.units)))
-            made.append(b"".join(map(self.units.__getitem__, cut)))
-            if len(self.units) > MEMO_UNITS:
-                self.units = {}
-        return b"".join(made)
+        return [b"".join([self._chunk(c) for c in chunks(t)]) if t else b"" for t in texts]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One encoder per worker, so that later tasks find what earlier ones have kept."""
+    return Encoder(path)
