@@ -6,8 +6,9 @@ many texts term and entity occur. The information that a term gives about an ent
 is compared with the information content of the entity itself, log2(N / n_e). A term that gives at least
 ``SHARE`` of it in at least ``SUPPORT`` texts discloses the entity and is generalised wherever it occurs.
 
-Terms are counted in two passes: the first finds pairs of terms and entities, the second counts those terms only,
-with a bitmap of fixed size that keeps most other words from the shuffle.
+Terms are counted in passes: the first finds pairs of terms and entities. The second counts those terms within each
+task; a term that is too common in one task alone can't reach the share and goes. The third counts the texts of the
+terms left. Bitmaps of fixed size keep most other words out of both.
 
 Defined cases: null and empty texts have no spans. Copies of a text count once and get the same spans. Rows that
 share an id keep their own result. Other columns stay as they are; an empty table gives no rows.
@@ -17,12 +18,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zephyrgrid.llm.texts import map_texts
+from zephyrgrid.llm.texts import map_texts, pieces
 from zephyrgrid.session import attach, stable
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -117,36 +120,74 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) ->
     together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= support)
     alone = pairs.select("entity", "key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     candidates = stable(together.join(alone, "entity"))
-    # the second pass reads only words whose bit is set; the bitmap has a fixed size whatever it holds
-    places = candidates.select((F.crc32(F.col("term").cast("binary")) % BITMAP).cast("int").alias("bit")).distinct()
-    bitmap = np.zeros(BITMAP, bool)
-    bitmap[[r.bit for r in places.collect()]] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    texts = float(keyed.select("key").distinct().count())
+    # a term in more texts than this gives too little about the entity
+    most = candidates.groupBy("term").agg(F.max(F.col("n_te") * F.pow(texts / F.col("n_e"), F.lit(1 - share))).alias("_most"))
+    rare = stable(most.join(_counted_by_task(keyed, candidates), "term").filter(F.col("_least") <= F.col("_most") + 1)
+                  .select("term"))
+    known = _bitmap(rare)
 
     def start():
-        known, memo = np.unpackbits(shared.value).astype(bool), {}
-
-        def held(words):
-            if len(memo) > 500_000:
-                memo.clear()
-            for w in words.difference(memo):
-                memo[w] = bool(known[zlib.crc32(w.encode()) % BITMAP])
-            return sorted(w for w in words if memo[w])
-        return lambda texts: [[held(set(WORD.findall(t.lower()))) for t in texts]]
+        held = _holder(known)
+        return lambda texts: [[held(t) for t in texts]]
 
     held = stable(map_texts(keyed, ["key"], "_terms array<string>", start).filter(F.size("_terms") > 0)
-                  .select("key", F.explode("_terms").alias("term")).distinct()) if bitmap.any() else None
-    if held is None:
-        return pairs.select("key", F.array("term").alias("terms")).limit(0)
-    texts = keyed.select("key").distinct().count()
+                  .select("key", F.explode("_terms").alias("term")).join(rare, "term", "left_semi").distinct())
     counted = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    information = F.log2(F.col("n_te") * F.lit(float(texts)) / (F.col("n_t") * F.col("n_e")))
-    content = F.log2(F.lit(float(texts)) / F.col("n_e"))
+    information = F.log2(F.col("n_te") * F.lit(texts) / (F.col("n_t") * F.col("n_e")))
+    content = F.log2(F.lit(texts) / F.col("n_e"))
     flagged = (candidates.join(counted, "term").filter((content > 0) & (information >= share * content))
                .select("term").distinct())
     return held.join(flagged, "term").groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
+def _bitmap(terms: DataFrame):
+    """A broadcast map of fixed size with the bits of some terms set."""
+    places = terms.select((F.crc32(F.col("term").cast("binary")) % BITMAP).cast("int").alias("bit")).distinct()
+    bits = np.zeros(BITMAP, bool)
+    bits[places.toPandas()["bit"].to_numpy(int)] = True
+    return terms.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+
+def _holder(shared):
+    """A function from a text to its words whose bit is set."""
+    known, memo = np.unpackbits(shared.value).astype(bool), {}
+    none = not known.any()
+
+    def held(text: str) -> list[str]:
+        if none:
+            return []
+        words = set(WORD.findall(text.lower()))
+        if len(memo) > 300_000:
+            memo.clear()
+        for w in words.difference(memo):
+            memo[w] = bool(known[zlib.crc32(w.encode()) % BITMAP])
+        return sorted(w for w in words if memo[w])
+    return held
+
+
+def _counted_by_task(keyed: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(term, _least): the most distinct texts with the term that one task has seen; no more than there are."""
+    known = _bitmap(candidates)
+
+    def count(batches):
+        held, seen, counts = _holder(known), set(), Counter()
+        rows = lambda: pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                for key, text in zip(part.column("key").to_pylist(), part.column("text").to_pylist()):
+                    if key not in seen:
+                        seen.add(key)
+                        counts.update(held(text))
+            if len(counts) > 300_000:
+                yield rows()
+                counts.clear()
+        yield rows()
+
+    return keyed.mapInArrow(count, "term string, n long").groupBy("term").agg(F.max("n").alias("_least"))
+
+
 def term_spans(text: str, terms: list[str] | None, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Where the terms stand outside the spans already found."""
     if not terms:
