@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zephyrgrid.llm.bitmap import in_bitmap
 from zephyrgrid.llm.components import components
 from zephyrgrid.llm.ship import ship
 from zephyrgrid.llm.texts import map_texts
@@ -123,25 +124,37 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def summaries(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, text_hash, n, key, prefix): sets by name, with the prefix they have if all shingles are rare."""
+    """(doc_id, text_hash, n, key, prefix): sets by name, with the prefix they have if all shingles are rare.
+
+    A task gives the prefix of a set once; of other rows with the set it is null.
+    """
     def start():
-        shingler = Shingler(rule.words)
+        shingler, seen = Shingler(rule.words), set()
 
         def call(texts):
             sets = shingler.sets(texts)
-            return [[len(s) for s in sets], [key_of(s) for s in sets],
-                    [signed(s[:rule.prefix(len(s))] if len(s) else s).tolist() for s in sets]]
+            keys = [key_of(s) for s in sets]
+            prefixes = []
+            for key, s in zip(keys, sets):
+                prefixes.append(signed(s[:rule.prefix(len(s))]).tolist() if len(s) and key not in seen else None)
+                seen.add(key)
+            return [[len(s) for s in sets], keys, prefixes]
         return call
 
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     return stable(map_texts(hashed, ["doc_id", "text_hash"], "n bigint, key bigint, prefix array<bigint>", start))
 
 
-def frequent_shingles(classes: DataFrame, least: int = FREQUENT_FROM, most: int = MOST_FREQUENT) -> np.ndarray:
+def shared_entries(rows: DataFrame) -> DataFrame:
+    """(entry, c): the shingles that stand in more than one prefix. All others can be left out of the index."""
+    return stable(rows.select(F.explode("prefix").alias("entry")).groupBy("entry").agg(F.count(F.lit(1)).alias("c"))
+                  .filter("c > 1"))
+
+
+def frequent_shingles(shared: DataFrame, least: int = FREQUENT_FROM, most: int = MOST_FREQUENT) -> np.ndarray:
     """The shingles in more than ``least`` prefixes, rarest first; at most ``most``, the most frequent ones."""
-    counted = classes.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"))
-    rows = counted.filter(F.col("c") > least).orderBy(F.desc("c"), "s").limit(most).toPandas()
-    return rows["s"].to_numpy(np.int64)[::-1].view(np.uint64)
+    rows = shared.filter(F.col("c") > least).orderBy(F.desc("c"), "entry").limit(most).toPandas()
+    return rows["entry"].to_numpy(np.int64)[::-1].view(np.uint64)
 
 
 class Indexer:
@@ -199,12 +212,15 @@ def once(call, key_at: int = 0):
     return run
 
 
-def candidate_links(docs: DataFrame, classes: DataFrame, rule: Rule, frequent: np.ndarray) -> DataFrame:
-    """(a, b): names of classes that may be similar."""
+def candidate_links(docs: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): names of classes that may be similar; ``rows`` are the summaries."""
+    rows = rows.filter("prefix IS NOT NULL")
+    in_several = shared_entries(rows)
+    frequent = frequent_shingles(in_several)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(frequent)
     known = spark.createDataFrame(pd.DataFrame({"s": frequent.view(np.int64)}), "s long")  # bounded, see above
-    touched = stable(classes.withColumn("_s", F.explode("prefix"))
+    touched = stable(rows.withColumn("_s", F.explode("prefix"))
                      .join(F.broadcast(known), F.col("_s") == F.col("s"), "left_semi")
                      .select("key", "text_hash").distinct())
 
@@ -219,15 +235,17 @@ def candidate_links(docs: DataFrame, classes: DataFrame, rule: Rule, frequent: n
         return once(call)
 
     texts = docs.select("text", F.xxhash64("text").alias("text_hash"))
-    again = attach(texts, touched.select("text_hash"), ["text_hash"], "left_semi", counted=touched)
+    again = attach(texts, touched.select("text_hash").distinct(), ["text_hash"], "left_semi", counted=touched)
     remade = stable(map_texts(again, [], "key bigint, n bigint, singles array<bigint>, pairs array<bigint>", start)
                     .filter("key IS NOT NULL"))
-    plain = classes.join(touched.select("key"), "key", "left_anti").select("key", "n", F.explode("prefix").alias("entry"))
-    # tasks may give out the same set: a class counts once in a list
-    singles = plain.unionByName(remade.select("key", "n", F.explode("singles").alias("entry")).distinct())
-    lists = singles.groupBy("entry").agg(F.count(F.lit(1)).alias("_size"), F.min("key").alias("b")).filter("_size > 1")
-    held = singles.join(lists, "entry")
-    short = held.filter(F.col("_size") <= COUNTED).groupBy("entry").agg(F.collect_list(F.struct("key", "n")).alias("m"))
+    plain = attach(rows, touched.select("key").distinct(), ["key"], "left_anti", counted=touched).select(
+        "key", "n", F.explode("prefix").alias("entry"))
+    ahead = remade.select("key", "n", F.explode("singles").alias("entry"))
+    singles = in_bitmap(plain.unionByName(ahead), in_several.select("entry").unionByName(ahead.select("entry")))
+    # several tasks may give out the same set, so a list is one of distinct classes
+    lists = singles.groupBy("entry").agg(F.count(F.lit(1)).alias("_size"), F.min("key").alias("b"), F.max("key").alias("_most"))
+    held = singles.join(lists.filter("b < _most").drop("_most"), "entry")
+    short = held.filter(F.col("_size") <= COUNTED).groupBy("entry").agg(F.collect_set(F.struct("key", "n")).alias("m"))
     met = short.select(F.inline(F.flatten(F.transform("m", lambda x: F.transform(
         F.filter("m", lambda y: y["key"] < x["key"]), lambda y: F.struct(
             x["key"].alias("a"), y["key"].alias("b"), x["n"].alias("n_a"), y["n"].alias("n_b")))))))
@@ -264,13 +282,17 @@ def forest(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.n
     return nodes[moved], nodes[label[moved]]
 
 
-def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """The sizes of all intersections of two lists of sets."""
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], same: bool = False) -> np.ndarray:
+    """The sizes of all intersections of two lists of sets; of ``same`` lists, of sets at different places."""
     if len(left) * len(right) <= 16:
         return np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in right] for a in left]).reshape(
             len(left), len(right))
     tokens_l, tokens_r = np.concatenate(left), np.concatenate(right)
-    both = np.intersect1d(tokens_l, tokens_r)
+    if same:  # a shingle of one set only is in no intersection
+        values, held = np.unique(tokens_l, return_counts=True)
+        both = values[held > 1]
+    else:
+        both = np.intersect1d(tokens_l, tokens_r)
     out = np.zeros((len(left), len(right)), np.float32)
 
     def cells(sets, tokens):
@@ -303,7 +325,7 @@ def verify(group: pd.DataFrame, rule: Rule) -> pd.DataFrame:
         rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
         if not len(rows) or not len(cols):
             continue
-        counts = shared_counts([sets[r] for r in rows], [sets[c] for c in cols])
+        counts = shared_counts([sets[r] for r in rows], [sets[c] for c in cols], i == j)
         links = rule.linked(counts, sizes[rows][:, None], sizes[cols][None, :])
         links &= keys[rows][:, None] != keys[cols][None, :]
         node, root = forest(links, keys[rows], keys[cols])
@@ -346,9 +368,8 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     ship(docs.sparkSession)
     rows = summaries(docs, rule)
     classes = stable(rows.filter("n > 0").groupBy("key").agg(
-        F.min_by(F.struct("text_hash", "n", "prefix"), "text_hash").alias("_one"), F.min("doc_id").alias("first_id"))
-        .select("key", "_one.*", "first_id"))
-    clusters = stable(components(candidate_links(docs, classes, rule, frequent_shingles(classes))))
+        F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("first_id")))
+    clusters = stable(components(candidate_links(docs, rows, rule)))
     roots = components(verified_links(docs, classes, clusters, rule))
     named = classes.select("key", "first_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "root", F.coalesce("root", "key"))
