@@ -17,6 +17,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from zephyrgrid.llm.bitmap import in_bitmap
 from zephyrgrid.session import stable
 
 BITS = 128
@@ -74,7 +75,8 @@ def _tables(df: DataFrame, radius: int) -> DataFrame:
         for name, base in (("lo", 0), ("hi", 64)):
             a, b = max(start, base) - base, min(end, base + 64) - base
             if a < b:
-                parts.append(F.shiftrightunsigned(F.col(name), a).bitwiseAND(F.lit((1 << (b - a)) - 1)))
+                mask = -1 if b - a == 64 else (1 << (b - a)) - 1
+                parts.append(F.shiftrightunsigned(F.col(name), a).bitwiseAND(F.lit(mask)))
         return F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)])
 
     cut = [block(a, b) for a, b in zip(edges, edges[1:])]
@@ -89,23 +91,30 @@ def within_radius(queries: DataFrame, classes: DataFrame, radius: int = RADIUS)
     A permuted table proposes pairs that agree in two blocks; the distance of each is then checked, and a
     pair found by several tables is returned once. No bucket is capped.
     """
-    q = _tables(queries.select("hi", "lo").distinct(), radius).withColumnsRenamed({"hi": "q_hi", "lo": "q_lo"})
-    c = _tables(classes.select("hi", "lo").distinct(), radius)
+    entry = F.xxhash64("table", "front").alias("entry")
+    q = _tables(queries.select("hi", "lo").distinct(), radius).select(
+        F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo"), entry)
+    c = _tables(classes.select("hi", "lo").distinct(), radius).select("hi", "lo", entry)
     far = distance(("hi", "lo"), ("q_hi", "q_lo"))
-    return (q.join(c, ["table", "front"]).select("q_hi", "q_lo", "hi", "lo", far.cast("int").alias("distance"))
+    # only rows whose front may be that of a query are shuffled
+    return (q.join(in_bitmap(c, q.select("entry")), "entry")
+            .select("q_hi", "q_lo", "hi", "lo", far.cast("int").alias("distance"))
             .filter(F.col("distance") <= radius).distinct())
 
 
-def in_descending_blocks(docs: DataFrame) -> DataFrame:
+def block_bounds(docs: DataFrame) -> list[float]:
+    """Approximate quantiles of the ids, so that blocks are even however the ids are spread."""
+    pieces = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    narrow = docs.select(F.col("doc_id").cast("double").alias("_id"))
+    found = narrow.approxQuantile("_id", [i / pieces for i in range(1, pieces)], 1 / (4 * pieces))
+    return sorted(set(found or [0.0]))
+
+
+def in_descending_blocks(docs: DataFrame, bounds: list[float]) -> DataFrame:
     """(block, doc_id, text, hash): blocks of neighbouring ids; a larger block holds smaller ids.
 
-    Bounds are approximate quantiles of the ids, so that blocks are even however the ids are spread.
+    The quantiles are approximate and may come out otherwise in another run: take them once.
     """
-    spark = docs.sparkSession
-    pieces = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    narrow = docs.select(F.col("doc_id").cast("double").alias("_id"))
-    found = narrow.approxQuantile("_id", [i / pieces for i in range(1, pieces)], 1 / (4 * pieces))
-    bounds = sorted(set(found or [0.0]))
     placed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn(
         "_id", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))
     cutter = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="_id", outputCol="_bucket")
@@ -126,16 +135,17 @@ def with_next(rows: DataFrame, heads: DataFrame, columns: list[str], order: list
         "_first": F.min("block").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     follow = around.select("block", F.coalesce("_after", "_first").alias("_after")).join(
         heads.select(F.col("block").alias("_after"), *[F.col(c).alias(f"_head_{c}") for c in columns]), "_after")
-    return led.join(follow.drop("_after"), "block").select(
+    return led.join(follow.drop("_after"), "block", "left").select(
         *rows.columns, *[F.coalesce(f"_lead_{c}", f"_head_{c}").alias(f"next_{c}") for c in columns])
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
     """(block, pos, doc_id, text, n_chars, edited): each text and its half-replaced version."""
-    blocks = in_descending_blocks(docs)
+    bounds = block_bounds(docs)
+    blocks = in_descending_blocks(docs, bounds)
     order = [F.desc_nulls_last("doc_id"), F.col("hash")]
     # the first row of each block: its greatest id is found without reading texts, its text by that id
-    tops = in_descending_blocks(docs.select("doc_id", F.lit("").alias("text"))).groupBy("block").agg(
+    tops = in_descending_blocks(docs.select("doc_id", F.lit("").alias("text")), bounds).groupBy("block").agg(
         F.max("doc_id").alias("doc_id"))
     one = F.broadcast(tops.withColumnRenamed("doc_id", "_top"))  # at most one row per block
     firsts = blocks.join(one, "block").filter(F.col("doc_id").eqNullSafe(F.col("_top")))
