@@ -23,7 +23,7 @@ from zephyrgrid.llm.ship import ship
 from zephyrgrid.llm.texts import map_texts
 
 SAMPLE_DOCS = 4000  # labelled documents per language that counts are taken from, in expectation
-MOST_WORDS = 60_000  # words per language in the model
+MOST_WORDS = 25_000  # words per language in the model
 GRAM = 5
 STEP_DOWN = -1.0
 WORDS = re.compile(r"[^\W\d_]+")
@@ -84,7 +84,8 @@ class Model:
             keys, inside = _grams(codes, owner, n)
             known, index = np.unique(keys[inside], return_inverse=True)
             grams = np.zeros((len(known), len(langs)))
-            np.add.at(grams, index, table[owner[inside]])
+            for l in range(len(langs)):
+                grams[:, l] = np.bincount(index, table[owner[inside], l], len(known))
             self.keys.append(known)
             self.rows.append(self._log(grams))
         self.unknown = np.full(len(langs), min([t.min() for t in self.rows if t.size] or [0.0]) + STEP_DOWN * GRAM)
