@@ -9,9 +9,10 @@ of the two prefixes to end holds at most m shingles that the other class lacks.
 passage only have fewer singles in common. Which shingles are frequent is counted over all prefixes; that
 set, and any other choice of it, changes the work only.
 
-Singles stand in few prefixes, so their pairs of classes are counted; a list that is long all the same, and a list of a
-pair of shingles, links its classes to its smallest one without counting. Classes linked so form clusters of
-candidates. A cluster is verified as a whole: each pair of blocks of bounded size is one unit of work, in which the
+Singles stand in few prefixes, so their pairs of classes are counted. In a list that is long all the same nothing is
+counted: the counts that two classes need elsewhere fall by what either has in long lists, and a class that has
+enough there to need no other entry is linked to the smallest such class of each, as are all classes of a list of a
+pair of shingles. Classes linked so form clusters of candidates. A cluster is verified as a whole: each pair of blocks of bounded size is one unit of work, in which the
 sizes of all intersections come from products of 0/1 matrices over the shingles that the blocks share. A unit
 returns a spanning forest of its links, not pairs. Links are exact up to 64-bit hashes of shingles and sets.
 
@@ -240,22 +241,33 @@ def candidate_links(docs: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
                     .filter("key IS NOT NULL"))
     plain = attach(rows, touched.select("key").distinct(), ["key"], "left_anti", counted=touched).select(
         "key", "n", F.explode("prefix").alias("entry"))
-    ahead = remade.select("key", "n", F.explode("singles").alias("entry"))
-    singles = in_bitmap(plain.unionByName(ahead), in_several.select("entry").unionByName(ahead.select("entry")))
-    # several tasks may give out the same set, so a list is one of distinct classes
-    lists = singles.groupBy("entry").agg(F.count(F.lit(1)).alias("_size"), F.min("key").alias("b"), F.max("key").alias("_most"))
-    held = singles.join(lists.filter("b < _most").drop("_most"), "entry")
-    short = held.filter(F.col("_size") <= COUNTED).groupBy("entry").agg(F.collect_set(F.struct("key", "n")).alias("m"))
+    singles = plain.unionByName(remade.select("key", "n", F.explode("singles").alias("entry")))
+    # several tasks may give out the same set, so a list has at most as many classes as rows
+    lists = stable(singles.groupBy("entry").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1"))
+    crowded = stable(lists.filter(F.col("_size") > COUNTED).select("entry"))
+    crowds = crowded.count()
+    short = (attach(in_bitmap(singles, lists.select("entry")), crowded, ["entry"], "left_anti", counted=crowds)
+             .repartition("entry").groupBy("entry").agg(F.collect_set(F.struct("key", "n")).alias("m")))
     met = short.select(F.inline(F.flatten(F.transform("m", lambda x: F.transform(
         F.filter("m", lambda y: y["key"] < x["key"]), lambda y: F.struct(
             x["key"].alias("a"), y["key"].alias("b"), x["n"].alias("n_a"), y["n"].alias("n_b")))))))
     least = lambda n: F.floor((n * rule.num + rule.den - 1) / rule.den)
     missed = lambda n: n - least(n)
     extension = lambda n: F.greatest(F.lit(1), F.floor(missed(n) / 2))
-    near = (met.filter((F.col("n_a") >= least(F.col("n_b"))) & (F.col("n_b") >= least(F.col("n_a"))))
-            .groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("_met"))
-            .filter(F.col("_met") >= F.least(extension(F.col("n_a")), extension(F.col("n_b")))).select("a", "b"))
-    long = held.filter(F.col("_size") > COUNTED).filter("key <> b").select(F.col("key").alias("a"), "b")
+    # of the entries two similar classes share, at most as many stand in long lists as either has there
+    crowd = stable(attach(singles, crowded, ["entry"], "inner", counted=crowds).distinct())
+    standing = stable(crowd.groupBy("key", "n").agg(F.count(F.lit(1)).alias("_long")))
+    long_of = lambda c: standing.select(F.col("key").alias(c), F.col("_long").alias(f"_long_{c}"))
+    counted = (met.filter((F.col("n_a") >= least(F.col("n_b"))) & (F.col("n_b") >= least(F.col("n_a"))))
+               .groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("_met")))
+    for c in ("a", "b"):
+        counted = attach(counted, long_of(c), [c], counted=standing)
+    elsewhere = F.coalesce(F.least(*[F.coalesce(f"_long_{c}", F.lit(0)) for c in ("a", "b")]), F.lit(0))
+    near = counted.filter(F.col("_met") >= F.least(extension(F.col("n_a")), extension(F.col("n_b"))) - elsewhere).select("a", "b")
+    # only classes that may share nothing but long lists with a similar one are linked by them
+    only = crowd.join(standing.filter(F.col("_long") >= extension(least(F.col("n")))).select("key"), "key", "left_semi")
+    long = (only.join(only.groupBy("entry").agg(F.min("key").alias("b")), "entry").filter("key <> b")
+            .select(F.col("key").alias("a"), "b"))
     combined = remade.select("key", F.explode("pairs").alias("entry"))
     first = combined.groupBy("entry").agg(F.min("key").alias("b"), F.max("key").alias("_most")).filter("b < _most")
     paired = combined.join(first.drop("_most"), "entry").filter("key <> b").select(F.col("key").alias("a"), "b")
