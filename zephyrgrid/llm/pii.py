@@ -1,14 +1,17 @@
 """Personal data: fixed kinds by pattern, and terms that disclose a protected entity by co-occurrence.
 
-Mail addresses, IP addresses, card and phone numbers found in the texts are the protected entities. Over the whole
-corpus, each distinct text once, it is counted in how many texts a term stands near an entity, and in how
-many texts term and entity occur. The information that a term gives about an entity, log2(n_te * N / (n_t * n_e)),
-is compared with the information content of the entity itself, log2(N / n_e). A term that gives at least
-``SHARE`` of it in at least ``SUPPORT`` texts discloses the entity and is generalised wherever it occurs.
-
-Terms are counted in passes: the first finds pairs of terms and entities. The second counts those terms within each
-task; a term that is too common in one task alone can't reach the share and goes. The third counts the texts of the
-terms left. Bitmaps of fixed size keep most other words out of both.
+Mail addresses, IP addresses, card and phone numbers found in the texts are the protected entities. Any word outside
+of them is a term, wherever it stands in the text. Over the whole corpus, each distinct text once, it is counted in
+how many texts term and entity occur, and in how many both do. The information that a term gives about an entity,
+log2(n_te * N / (n_t * n_e)), is compared with the information content of the entity itself, log2(N / n_e). A term that
+gives at least ``SHARE`` of it in at least ``SUPPORT`` texts discloses the entity and is generalised wherever it occurs.
+
+As n_te is at most n_e, a term that discloses occurs in at most n_e ** share * N ** (1 - share) texts. Terms are counted
+in passes: the first finds the entities. The second counts the words of texts with an entity that ``SUPPORT`` texts
+share, the third those words in all texts, both within tasks, and words that are certain to be in more texts than the
+bound go. The fourth lists the words left in texts with such entities; joined with these by text they give n_te. The
+fifth lists what can still disclose in all texts. Maps of fixed size tell tasks which texts and words to look at; what
+else they let through goes later.
 
 Defined cases: null and empty texts have no spans. Copies of a text count once and get the same spans. Rows that
 share an id keep their own result. Other columns stay as they are; an empty table gives no rows.
@@ -19,17 +22,17 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zephyrgrid.llm.texts import map_texts, pieces
 from zephyrgrid.session import attach, stable
 
 KINDS = ("email", "ip", "card", "phone", "term")
-NEAR = 3  # words on each side of an entity, on its line
 SUPPORT, SHARE = 3, 0.8
 BITMAP = 1 << 22
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -37,7 +40,7 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
-WORD = re.compile(r"[^\W\d_]{3,}")
+WORD = re.compile(r"[^\W\d_]+")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -94,112 +97,160 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return spans
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str]]:
-    """(entity, term): the words next to each entity on its line; other entities are no words."""
-    pairs = set()
-    for kind, start, end in spans:
-        entity = f"{KINDS[kind]}:{text[start:end].lower()}"
-        left, right = text.rfind("\n", 0, start) + 1, text.find("\n", end)
-        right = len(text) if right < 0 else right
-        inside = lambda m: any(s < m.end() and m.start() < e for _, s, e in spans)
-        before = [m.group() for m in WORD.finditer(text, max(left, start - 40 * NEAR), start) if not inside(m)][-NEAR:]
-        after = [m.group() for m in WORD.finditer(text, end, min(right, end + 40 * NEAR)) if not inside(m)][:NEAR]
-        pairs |= {(entity, w.lower()) for w in before + after}
-    return sorted(pairs)
+def entities(text: str) -> list[str]:
+    return sorted({f"{KINDS[k]}:{text[start:end].lower()}" for k, start, end in base_spans(text)})
+
+
+def free_words(text: str, taken: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """The words outside some spans."""
+    taken, at = sorted((s, e) for _, s, e in taken), 0
+    for m in WORD.finditer(text):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        if at == len(taken) or taken[at][0] >= m.end():
+            yield m
+
+
+def words(text: str) -> set[str]:
+    """The words outside the entities, in lower case."""
+    taken = base_spans(text)
+    found = {m.group() for m in free_words(text, taken)} if taken else set(WORD.findall(text))
+    return {w.lower() for w in found}
 
 
 def disclosing(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
     """(key, terms): for the hash of each text that holds some, the terms that disclose an entity anywhere."""
     keyed = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-
-    def find(texts):
-        return [[[{"entity": e, "term": t} for e, t in near_terms(x, base_spans(x))] for x in texts]]
-
-    pairs = stable(map_texts(keyed, ["key"], "_pairs array<struct<entity:string,term:string>>", lambda: find)
-                   .filter(F.size("_pairs") > 0).select("key", F.inline("_pairs")).distinct())
-    together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= support)
-    alone = pairs.select("entity", "key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    candidates = stable(together.join(alone, "entity"))
-    texts = float(keyed.select("key").distinct().count())
-    # a term in more texts than this gives too little about the entity
-    most = candidates.groupBy("term").agg(F.max(F.col("n_te") * F.pow(texts / F.col("n_e"), F.lit(1 - share))).alias("_most"))
-    rare = stable(most.join(_counted_by_task(keyed, candidates), "term").filter(F.col("_least") <= F.col("_most") + 1)
-                  .select("term"))
-    known = _bitmap(rare)
-
-    def start():
-        held = _holder(known)
-        return lambda texts: [[held(t) for t in texts]]
-
-    held = stable(map_texts(keyed, ["key"], "_terms array<string>", start).filter(F.size("_terms") > 0)
-                  .select("key", F.explode("_terms").alias("term")).join(rare, "term", "left_semi").distinct())
-    counted = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    pairs = stable(map_texts(keyed, ["key"], "_entities array<string>", lambda: lambda texts: [[entities(t) for t in texts]])
+                   .filter(F.size("_entities") > 0).select("key", F.explode("_entities").alias("entity")).distinct())
+    rows = stable(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    texts, copied = float(rows.count()), _levels(rows.filter("n > 1"), "key", F.least("n", F.lit(255)))
+    # of entities that are in the same texts, as told by 128 bits of hashes, one stands for all
+    alone = (pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.bit_xor(F.xxhash64("key")).alias("_a"),
+                                         F.bit_xor(F.xxhash64(F.reverse("key"))).alias("_b"))
+             .filter((F.col("n_e") >= support) & (F.col("n_e") < texts)))
+    alone = stable(alone.groupBy("n_e", "_a", "_b").agg(F.min("entity").alias("entity")).select("entity", "n_e"))
+    shared = stable(attach(pairs, alone, ["entity"], "inner"))
+    most = lambda n_e: F.pow(n_e, F.lit(share)) * F.lit(texts ** (1 - share)) + 1
+
+    near = _levels(shared, "key", F.ceil(4 * F.log2("n_e")) + 1)
+
+    def shared_words():
+        def call(key, text):
+            level = int(near.value[_place(key)])
+            return level, 1.0, words(text) if level else ()
+        return call
+
+    candidates = stable(_counted_by_task(keyed, shared_words).groupBy("term")
+                        .agg(F.max("level").alias("level"), F.sum("n").alias("n")).filter(F.col("n") >= support)
+                        .select("term", most(F.pow(F.lit(2.0), (F.col("level") - 1) / 4)).alias("_most")))
+    known = _levels(candidates, "term", F.lit(1))
+
+    def known_words():
+        held, rows_of = _holder(known), copied.value
+
+        def call(key, text):
+            # the tasks that see a text are at most its rows, so that all of them together count it once at most
+            n = int(rows_of[_place(key)])
+            return 0, 1.0 if n == 0 else 1.0 / n if n < 255 else 0.0, held(text)
+        return call
+
+    least = (_counted_by_task(keyed, known_words).groupBy("term")
+             .agg(F.greatest(F.max("n"), F.sum("weight")).alias("_least")))
+    rare = stable(candidates.join(least, "term").filter(F.col("_least") <= F.col("_most")).select("term", "_least"))
+
+    def listed(source, terms, everywhere):
+        left = _levels(terms, "term", F.lit(1))
+
+        def start():
+            held = _holder(left)
+            return lambda both: [[held(x[32:]) if everywhere or near.value[_place(x[:32])] else [] for x in both]]
+
+        return (map_texts(source.select("key", F.concat("key", "text").alias("text")), ["key"], "_terms array<string>", start)
+                .filter(F.size("_terms") > 0).dropDuplicates(["key"]).select("key", F.explode("_terms").alias("term")))
+
+    pairs = attach(listed(keyed, rare, False), rare, ["term"], "inner").join(shared, "key")
+    together = stable(pairs.groupBy("entity", "n_e", "term", "_least").agg(F.count(F.lit(1)).alias("n_te"))
+                      .filter((F.col("n_te") >= support) & (F.col("_least") <= F.col("n_te")
+                              * F.pow(F.lit(texts) / F.col("n_e"), F.lit(1 - share)) + 1)))
+    left = stable(together.select("term").distinct())
+    held = stable(attach(listed(keyed, left, True), left, ["term"], "left_semi"))
+    together = together.join(held.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "term")
     information = F.log2(F.col("n_te") * F.lit(texts) / (F.col("n_t") * F.col("n_e")))
     content = F.log2(F.lit(texts) / F.col("n_e"))
-    flagged = (candidates.join(counted, "term").filter((content > 0) & (information >= share * content))
-               .select("term").distinct())
+    flagged = together.filter((content > 0) & (information >= share * content)).select("term").distinct()
     return held.join(flagged, "term").groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
-def _bitmap(terms: DataFrame):
-    """A broadcast map of fixed size with the bits of some terms set."""
-    places = terms.select((F.crc32(F.col("term").cast("binary")) % BITMAP).cast("int").alias("bit")).distinct()
-    bits = np.zeros(BITMAP, bool)
-    bits[places.toPandas()["bit"].to_numpy(int)] = True
-    return terms.sparkSession.sparkContext.broadcast(np.packbits(bits))
+def _place(value: str) -> int:
+    return zlib.crc32(value.encode()) % BITMAP
+
+
+def _levels(rows: DataFrame, column: str, level: Column):
+    """A broadcast map of fixed size: the highest level of the values of a column at each place, 0 where there are none."""
+    places = (rows.select((F.crc32(F.col(column).cast("binary")) % BITMAP).cast("int").alias("place"),
+                          level.cast("int").alias("level")).groupBy("place").agg(F.max("level").alias("level")).toArrow())
+    levels = np.zeros(BITMAP, np.uint8)
+    levels[places["place"].to_numpy()] = places["level"].to_numpy()
+    return rows.sparkSession.sparkContext.broadcast(levels)
 
 
 def _holder(shared):
-    """A function from a text to its words whose bit is set."""
-    known, memo = np.unpackbits(shared.value).astype(bool), {}
+    """A function from a text to its words that have a level."""
+    known, memo = shared.value, {}
     none = not known.any()
 
     def held(text: str) -> list[str]:
         if none:
             return []
-        words = set(WORD.findall(text.lower()))
+        there = words(text)
         if len(memo) > 300_000:
             memo.clear()
-        for w in words.difference(memo):
-            memo[w] = bool(known[zlib.crc32(w.encode()) % BITMAP])
-        return sorted(w for w in words if memo[w])
+        for w in there.difference(memo):
+            memo[w] = bool(known[_place(w)])
+        return sorted(w for w in there if memo[w])
     return held
 
 
-def _counted_by_task(keyed: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(term, _least): the most distinct texts with the term that one task has seen; no more than there are."""
-    known = _bitmap(candidates)
+def _counted_by_task(keyed: DataFrame, start: Callable[[], Callable]) -> DataFrame:
+    """(term, level, n, weight): in how many distinct texts a task has seen a term, their highest level and total weight.
 
+    ``start`` runs once per task and returns a function from a key and its text to a level, a weight and
+    words. A task may give a term more than once, each time for other texts.
+    """
     def count(batches):
-        held, seen, counts = _holder(known), set(), Counter()
+        call, seen, counts, light, levels = start(), set(), Counter(), Counter(), {}
         rows = lambda: pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+            [pa.array(list(counts), pa.string()), pa.array([levels.get(t, 0) for t in counts], pa.int32()),
+             pa.array(list(counts.values()), pa.int64()), pa.array([n - light[t] for t, n in counts.items()], pa.float64())],
+            names=["term", "level", "n", "weight"])
         for batch in batches:
             for part in pieces(batch, "text"):
                 for key, text in zip(part.column("key").to_pylist(), part.column("text").to_pylist()):
                     if key not in seen:
                         seen.add(key)
-                        counts.update(held(text))
+                        level, weight, found = call(key, text)
+                        counts.update(found)
+                        if weight < 1:
+                            for w in found:
+                                light[w] += 1 - weight
+                        if level:
+                            levels.update([(w, level) for w in found if levels.get(w, 0) < level])
             if len(counts) > 300_000:
                 yield rows()
-                counts.clear()
+                for held in (counts, light, levels):
+                    held.clear()
         yield rows()
 
-    return keyed.mapInArrow(count, "term string, n long").groupBy("term").agg(F.max("n").alias("_least"))
+    return keyed.mapInArrow(count, "term string, level int, n long, weight double")
 
 
 def term_spans(text: str, terms: list[str] | None, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Where the terms stand outside the spans already found."""
     if not terms:
         return []
-    wanted, out, taken, at = set(terms), [], sorted((s, e) for _, s, e in taken), 0
-    for m in WORD.finditer(text):
-        if m.group().lower() in wanted:
-            while at < len(taken) and taken[at][1] <= m.start():
-                at += 1
-            if not any(s < m.end() for s, _ in taken[at:at + 1]):
-                out.append((4, m.start(), m.end()))
-    return out
+    wanted = set(terms)
+    return [(4, m.start(), m.end()) for m in free_words(text, taken) if m.group().lower() in wanted]
 
 
 def _with_terms(docs: DataFrame, keep: list[str], flagged: DataFrame | None) -> DataFrame:
