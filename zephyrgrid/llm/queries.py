@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zephyrgrid.llm import bpe, chat, fingerprint, jaccard, langid, packing, pii, quality, simple8b, topk
+from zephyrgrid.llm import (
+    bpe, chat, fingerprint, forest, jaccard, langid, packing, pii, quality, resample, runs, simple8b, topk)
 
 # where the tokenizer files are; a parameter of the session, else the installed package of public files
 TOKENIZERS = "zephyrgrid.tokenizers"
@@ -93,3 +94,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_chat_formatting", chat.ORACLE)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_importance_resampling")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_nearest_neighbours")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = forest.usable_vectors(table(spark, sf_dir, "embeddings"))
+    return forest.nearest(forest.index(vectors), F.col("vec_id") % 50 == 0, k=5)
