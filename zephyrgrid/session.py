@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,3 +82,23 @@ def attach(df: DataFrame, side: DataFrame, on: list[str], how: str = "left",
     if rows <= limit:
         side = F.broadcast(side)
     return df.join(side, on, how)
+
+
+_sent: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Add this package to the session's Python files, once per application, for workers that don't have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _sent:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="ship-"), "zephyrgrid.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    _sent.add(app)
