@@ -178,6 +178,25 @@ def test_sequences(spark, next_step, block):
     assert mine == want and want
 
 
+@pytest.mark.parametrize("next_step", [False, True])
+def test_sequences_bridge_no_gap(spark, next_step):
+    rng = np.random.default_rng(5)
+    hours = [("a", h) for h in range(90) if h % 17 != 3] + [("b", h) for h in range(5, 40) if h != 20]
+    rows = [(k, START + dt.timedelta(hours=h), None if rng.random() < 0.05 else float(h), None if rng.random() < 0.1 else 1.0 * h) for k, h in hours]
+    df = spark.createDataFrame(rows, "group string, ts timestamp_ntz, x double, y double")
+    got = Sr.sequences(df, ["x"], "y", next_step, ["group"], "ts", length=4, block=11, step_seconds=3600)
+    known = {(k, t): (x, y) for k, t, x, y in rows}
+    want = {}
+    for k, t, _, y in rows:
+        stamps = [t - dt.timedelta(hours=i + next_step) for i in (3, 2, 1, 0)]
+        cells = [known.get((k, s), (None, None))[0] for s in stamps]
+        if y is not None and None not in cells:
+            want[k, t] = (cells, y)
+    assert {(r["group"], r["ts"]): ([c[0] for c in r["sequence"]], r["target"]) for r in got.collect()} == want
+    whole = Sr.sequences(df, ["x"], "y", next_step, ["group"], "ts", length=4)
+    assert len(want) < whole.count()
+
+
 def test_context_and_persistence(spark):
     df, pdf = series(spark, 60, seed=4)
     cut = sorted(pdf[pdf.group == "a"]["ts"])[40]

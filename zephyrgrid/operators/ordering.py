@@ -151,6 +151,22 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[flo
         (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.col("_low"))).alias("quantile"))
 
 
+def average_ranks(counts: DataFrame, keys: list[str], value: str, count: str) -> DataFrame:
+    """(keys, value, rank, n) of distinct values with their ``count``: the mean rank of each among all rows of its key, and their number.
+
+    Values are ranged over the cluster; a slice needs the rows before it only, so no key is sorted in one task.
+    """
+    ranged = stable(counts.select(*keys, F.col(value).alias("_v"), F.col(count).alias("_c")).repartitionByRange(*keys, "_v").withColumn(
+        "_slice", F.spark_partition_id().cast("bigint")))
+    key = Window.partitionBy(*keys)
+    part = ranged.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_rows"))
+    bounds = part.select(*keys, "_slice", F.sum("_rows").over(key).alias("n"),
+                         (F.sum("_rows").over(key.orderBy("_slice")) - F.col("_rows")).alias("_before"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return attach(ranged.withColumn("_upto", upto), bounds, [*keys, "_slice"], "inner").select(
+        *keys, F.col("_v").alias(value), (F.col("_before") + F.col("_upto") - (F.col("_c") - 1) / 2.0).alias("rank"), "n")
+
+
 def long_form(df: DataFrame, columns: list[str], keys: list[str] = (), name: str = "column",
               value: str = "value") -> DataFrame:
     """One row per (row, column) with a double value."""

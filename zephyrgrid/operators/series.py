@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from zephyrgrid import constants as K
 from zephyrgrid.functions import scalars as S
 from zephyrgrid.operators import ordering
-from zephyrgrid.operators.ordering import BLOCK_ROWS, framed, time_slice
+from zephyrgrid.operators.ordering import BLOCK_ROWS, framed, tick, time_slice
 
 
 def ramp_columns(ws: str, u: str, v: str, wd: str, prefix: str = ""):
@@ -116,22 +116,29 @@ def frozen_sensor(df: DataFrame, column: str = "power_raw", keys=("turbine",), t
 
 def sequences(df: DataFrame, features: list[str], target: str, next_step: bool = False,
               keys=("group",), ts: str = "forecast_kst_dtm", length: int = K.SEQUENCE_LENGTH,
-              block: int = BLOCK_ROWS) -> DataFrame:
+              block: int = BLOCK_ROWS, step_seconds: int | None = None) -> DataFrame:
     """Windows of ``length`` rows as an array of feature arrays.
 
-    The target is that of the window's last row, or with ``next_step`` of the row after it.
-    Windows that are short or hold a null are dropped.
+    The target is that of the window's last row, or with ``next_step`` of the row after it. Windows that are
+    short or hold a null are dropped. With ``step_seconds`` a window is a stretch of the regular time axis:
+    stamps without a row count as missing cells, so no window bridges a gap. Without it rows are neighbours
+    whatever lies between them.
     """
     last = -1 if next_step else 0
     first = last - length + 1
+    missing = sum_of_nulls(features)
+    position = None
+    if step_seconds is not None:
+        df = complete_axis(df.select(*keys, ts, *dict.fromkeys([*features, target])), step_seconds, keys, ts)
+        position = tick(ts, step_seconds)
 
     def build(w) -> dict[str, Column]:
         frame = w.rowsBetween(first, last)
         cell = F.array(*[F.col(c).cast("float") for c in features])
-        whole = F.when(sum_of_nulls(features) == 0, 1).otherwise(0)
-        return {"sequence": F.collect_list(cell).over(frame), "_whole": F.sum(whole).over(frame)}
-    made = framed(df, list(keys), [ts], build, before=length, slice_by=time_slice(ts), block=block)
-    return (made.filter((F.col("_whole") == length) & F.col(target).isNotNull())
+        return {"_missing": F.sum(missing).over(frame), "_rows": F.count(F.lit(1)).over(frame),
+                "sequence": F.collect_list(cell).over(frame)}
+    made = framed(df, list(keys), [ts], build, before=length, slice_by=time_slice(ts), position=position, block=block)
+    return (made.filter((F.col("_rows") == length) & (F.col("_missing") == 0) & F.col(target).isNotNull())
             .select(*keys, ts, "sequence", F.col(target).alias("target")))
 
 

@@ -20,6 +20,7 @@ from zephyrgrid.plans.physics import issue_times
 from zephyrgrid.plans.registry import query
 from zephyrgrid.plans.source_queries import result_rows
 from zephyrgrid.session import attach, stable
+from zephyrgrid.sources.catalog import file_versions
 
 TS = "forecast_kst_dtm"
 _GT = f'"group", {TS}'
@@ -82,12 +83,12 @@ def grid_places(spark, d):
     return Sa.grid_coordinates(B.ldaps(spark, d))
 
 
-_weights: dict[tuple[str, str], object] = {}
+_weights: dict[tuple, object] = {}
 
 
 def weights(spark, d):
-    """Group weights, written once per session and set of tables: they depend on places only."""
-    key = (spark.sparkContext.applicationId, d)
+    """Group weights, written once per session and set of files: they depend on places only."""
+    key = (spark.sparkContext.applicationId, d, file_versions(spark, [f"{d}/{t}.parquet" for t in ("lineitem", "supplier")]))
     if key not in _weights:
         _weights[key] = Sa.group_weights(B.turbines(spark, d), grid_places(spark, d))
     return _weights[key]
@@ -98,7 +99,7 @@ def area(spark, d, source):
 
 
 def ramped(spark, d, source):
-    return Sr.forecast_ramps(area(spark, d, source), source)
+    return Sr.forecast_ramps(stable(area(spark, d, source)), source)
 
 
 # --- E: joins ----------------------------------------------------------------
@@ -448,40 +449,54 @@ def scada_interpolation(spark, d):
                    "is_power_interpolated", "is_ws_interpolated", "is_u_interpolated")
 
 
-B.VIEWS["dataset"] = f"""SELECT a.*, l.target FROM ldaps_ramps a JOIN labels_long l ON a."group" = l."group" AND a.{TS} = l.{TS} WHERE a.ws10 IS NOT NULL"""
+DAY = 86_400
+B.VIEWS["dataset"] = f"""SELECT a.*, l.target FROM ldaps_ramps a LEFT JOIN labels_long l ON a."group" = l."group" AND a.{TS} = l.{TS}"""
+B.VIEWS["dataset_axis"] = f"""SELECT x."group", x.{TS}, d.* EXCLUDE ("group", {TS}) FROM (SELECT "group", unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS {TS}
+    FROM (SELECT DISTINCT "group" FROM dataset), (SELECT min({TS}) AS lo, max({TS}) AS hi FROM dataset)) x
+    LEFT JOIN dataset d ON x."group" = d."group" AND x.{TS} = d.{TS}"""
 SEQ = ["u10", "v10", "ws10"]
+# known at every stamp; missing where a grid point is; and the measured power, missing where nothing was reported
+SEQ_INPUTS = {"calendar": ["doy_sin", "doy_cos", "month"], "wind": SEQ, "measured": ["target", "doy_sin", "doy_cos"]}
 
 
 def dataset(spark, d):
-    """Labelled rows of the complete stamps with area features and ramps."""
+    """Area features and ramps of every stamp, with the label where there is one."""
     labels = C.labels_long(B.labels_wide(spark, d))
-    return ramped(spark, d, "ldaps").filter("ws10 IS NOT NULL").join(labels, ["group", TS])
+    return ramped(spark, d, "ldaps").join(labels, ["group", TS], "left")
 
 
 def _sequence_sql(first: str, last: str) -> str:
     w = f'(PARTITION BY "group" ORDER BY {TS} ROWS BETWEEN {first} AND {last})'
-    return f"""SELECT {_GT}, CAST(24 AS BIGINT) AS seq_rows, {rnd('s_first')} AS first_u, {rnd('s_last')} AS last_ws, {rnd('s_sum')} AS sum_v, {rnd('target / 1e6')} AS target
-        FROM (SELECT *, count(*) OVER {w} AS n, first_value(u10) OVER {w} AS s_first, last_value(ws10) OVER {w} AS s_last, sum(v10) OVER {w} AS s_sum
-        FROM (SELECT "group", {TS}, target, CAST(CAST(u10 AS FLOAT) AS DOUBLE) AS u10, CAST(CAST(v10 AS FLOAT) AS DOUBLE) AS v10,
-        CAST(CAST(ws10 AS FLOAT) AS DOUBLE) AS ws10 FROM dataset)) WHERE n = 24"""
-
-
-def _flat(seqs):
-    seq = F.col("sequence")
+    parts = []
+    for name, (a, b, c) in SEQ_INPUTS.items():
+        known = f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL AND {c} IS NOT NULL THEN 1 END"
+        wide = lambda x: f"CAST(CAST({x} AS FLOAT) AS DOUBLE)"
+        parts.append(f"""SELECT {_GT}, '{name}' AS inputs, CAST(24 AS BIGINT) AS seq_rows, {rnd('s_first')} AS first_a, {rnd('s_last')} AS last_c,
+            {rnd('s_sum')} AS sum_b, {rnd('target / 1e6')} AS target FROM (SELECT *, count({known}) OVER {w} AS n, first_value({wide(a)}) OVER {w} AS s_first,
+            last_value({wide(c)}) OVER {w} AS s_last, sum({wide(b)}) OVER {w} AS s_sum FROM dataset_axis) WHERE n = 24 AND target IS NOT NULL""")
+    return " UNION ALL ".join(parts)
+
+
+def _sequences(spark, d, **options):
+    rows, seq = stable(dataset(spark, d)), F.col("sequence")
     total = F.aggregate(seq, F.lit(0.0), lambda acc, x: acc + x[1].cast("double"))
-    return rounded(seqs.select(
-        "group", TS, F.size(seq).alias("seq_rows"), seq[0][0].cast("double").alias("first_u"),
-        F.element_at(seq, -1)[2].cast("double").alias("last_ws"), total.alias("sum_v"), (F.col("target") / F.lit(1e6)).alias("target")))
+    made = None
+    for name, inputs in SEQ_INPUTS.items():
+        part = Sr.sequences(rows, inputs, "target", step_seconds=DAY, **options).select(
+            "group", TS, F.lit(name).alias("inputs"), F.size(seq).alias("seq_rows"), seq[0][0].cast("double").alias("first_a"),
+            F.element_at(seq, -1)[2].cast("double").alias("last_c"), total.alias("sum_b"), (F.col("target") / F.lit(1e6)).alias("target"))
+        made = part if made is None else made.unionByName(part)
+    return rounded(made)
 
 
 @query("sequence_window", _sequence_sql("23 PRECEDING", "CURRENT ROW"))
 def sequence_window(spark, d):
-    return _flat(Sr.sequences(stable(dataset(spark, d)), SEQ, "target"))
+    return _sequences(spark, d)
 
 
 @query("sequence_next_step", _sequence_sql("24 PRECEDING", "1 PRECEDING"))
 def sequence_next_step(spark, d):
-    return _flat(Sr.sequences(stable(dataset(spark, d)), SEQ, "target", next_step=True))
+    return _sequences(spark, d, next_step=True)
 
 
 @query("context_prefix", f"""SELECT {_GT}, {rnd('target / 1e6')} AS target, {TS} >= TIMESTAMP '2001-01-01' AS is_test FROM (SELECT *, row_number() OVER (PARTITION BY "group",

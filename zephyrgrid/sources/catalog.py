@@ -28,6 +28,16 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(f.getPath().toString() for f in (found or []))
 
 
+def file_versions(spark: SparkSession, paths: list[str]) -> tuple:
+    """Name, size and time of the files behind the paths: what is kept of them is stale once these change."""
+    out = []
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        for f in target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target):
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
              encoding: str = "UTF-8") -> DataFrame:
     """CSV (plain or gzip) with a header; a byte-order mark does not end up in a name.
