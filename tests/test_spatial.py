@@ -37,6 +37,27 @@ def test_nearest(spark, n, spread, k):
             assert got[name, rank][0] == i and got[name, rank][1] == pytest.approx(d, rel=1e-9)
 
 
+@pytest.mark.parametrize("leaf", [1, 5, 64])
+def test_nearest_descends_to_few_points(spark, leaf, monkeypatch):
+    """Many points, clumped and repeated, and turbines far from all of them."""
+    rng = np.random.default_rng(leaf)
+    spots = np.r_[rng.normal([37, 128], 0.01, (1500, 2)), rng.uniform([30, 100], [60, 140], (1500, 2)), np.tile([[45.0, 120.0]], (30, 1))]
+    grid = [(i, float(a), float(b)) for i, (a, b) in enumerate(spots)]
+    turbines = [("pole", 89.0, 0.0), ("other side", -37.0, -52.0), ("far", 10.0, 20.0), ("in clump", 37.0, 128.0), ("same", 45.0, 120.0),
+                ("date line", 50.0, -179.0), *[(f"t{i}", float(a), float(b)) for i, (a, b) in enumerate(rng.uniform([20, 80], [70, 170], (20, 2)))]]
+    gdf = spark.createDataFrame(grid, "grid_id int, latitude double, longitude double")
+    tdf = spark.createDataFrame(turbines, "turbine string, lat double, lon double")
+    seen, attach = [], Sa.attach
+    monkeypatch.setattr(Sa, "attach", lambda *a, **b: (seen.append(out := attach(*a, **b)), out)[1])
+    got = {(r["turbine"], r["rank"]): r["grid_id"] for r in Sa.nearest_grid(tdf, gdf, 4, leaf=leaf).collect()}
+    for name, lat, lon in turbines:
+        d = np.round(km(lat, lon, spots[:, 0], spots[:, 1]), 9)
+        assert [got[name, r] for r in range(1, 5)] == np.lexsort((np.arange(len(d)), d))[:4].tolist()
+    # the last join holds the points that were ordered: few of the 3,030 even for the far turbines
+    per = {r["turbine"]: r["count"] for r in seen[-1].groupBy("turbine").count().collect()}
+    assert max(per.values()) < 40 + 12 * leaf
+
+
 def test_weights(spark):
     gdf, grid, tdf, turbines = places(spark, 5, 12, 0.1)
     tdf = tdf.withColumns({"group": F.when(F.col("turbine") == "far", 2).otherwise(1), "cap_kw": F.lit(3600.0)})

@@ -11,7 +11,8 @@ from zephyrgrid.operators.contracts import ContractError, weight_inputs
 from zephyrgrid.operators.sensor import direction_cycle
 from zephyrgrid.session import attach, stable
 
-KM_PER_DEGREE = 2 * 3.141592653589793 * K.EARTH_KM / 360
+
+QUARTERED = 24  # cells are cut so many times at most
 
 
 def grid_coordinates(df: DataFrame) -> DataFrame:
@@ -22,14 +23,15 @@ def grid_coordinates(df: DataFrame) -> DataFrame:
     return df.groupBy("grid_id").agg(first.alias("_p")).select("grid_id", "_p.latitude", "_p.longitude")
 
 
-def nearest_grid(turbines: DataFrame, grid: DataFrame, k: int = K.IDW_NEIGHBOURS,
-                 cell: float = 0.05, key: str = "turbine", settle_grid: bool = True) -> DataFrame:
+def nearest_grid(turbines: DataFrame, grid: DataFrame, k: int = K.IDW_NEIGHBOURS, leaf: int = 64, key: str = "turbine",
+                 settle_grid: bool = True) -> DataFrame:
     """(key, grid_id, distance_km, rank) of the k nearest points, ties by grid_id.
 
-    Points and turbines meet in square cells of ``cell`` degrees, so it is an equi-join. A
-    turbine is settled once its k-th distance is below the distance to the edge of the cells
-    looked at; the rest look twice as far, until they have seen the whole grid. The points are
-    written out first (``settle_grid``), since each round reads them again.
+    The points' box is cut into quarters again and again, until no cell that matters has more than ``leaf`` points. A cell knows how many points
+    it has and how far the farthest lies from its middle, so the distance of a place to its middle bounds those to its points
+    from both sides. Each turbine descends from the whole box: of the quarters of its cells it keeps those
+    that can hold one of its k nearest, which are few wherever it stands, and meets only the points of its last
+    cells. A round is an equi-join on cells; nothing is ordered but the cells and last points of one turbine.
     """
     if settle_grid:
         grid = stable(grid.select("grid_id", "latitude", "longitude"))
@@ -40,44 +42,43 @@ def nearest_grid(turbines: DataFrame, grid: DataFrame, k: int = K.IDW_NEIGHBOURS
     if any(v is None or v != v for v in box[:4]):
         raise ContractError("a grid point has no place")
     k = max(1, min(k, box[4]))
-    todo = stable(turbines.select(key, "lat", "lon").filter(
-        (F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon"))))
-    at = lambda c, size: F.floor(F.col(c) / F.lit(size))
-    left = todo.select(key).distinct().count()
-    if not left:
+    near = turbines.select(key, "lat", "lon").filter(
+        F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon"))
+    if near.isEmpty():
         raise ContractError("no turbine has coordinates")
-    settled: DataFrame | None = None
-    while left:
-        points = grid.select("grid_id", "latitude", "longitude",
-                             at("latitude", cell).alias("_y"), at("longitude", cell).alias("_x"))
-        around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        looked = (todo.withColumn("_dy", F.explode(around)).withColumn("_dx", F.explode(around))
-                  .withColumns({"_y": at("lat", cell) + F.col("_dy"), "_x": at("lon", cell) + F.col("_dx")}))
-        near = attach(looked, points, ["_y", "_x"], "inner", counted=box[4]).withColumn(
-            "distance_km", S.haversine_km("lat", "lon", "latitude", "longitude"))
-        # places at equal distance differ in the last bits; equal to a micrometre is a tie
-        order = Window.partitionBy(key).orderBy(F.round("distance_km", 9), "grid_id")
-        ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        # what lies outside the 3 x 3 cells is at least this far away
-        y, x = F.col("lat") / cell, F.col("lon") / cell
-        edge_lat = F.least(y - F.floor(y), F.floor(y) + 1 - y) + 1
-        edge_lon = F.least(x - F.floor(x), F.floor(x) + 1 - x) + 1
-        far = F.greatest(F.abs(F.col("lat")), F.lit(max(abs(box[0]), abs(box[1]))))
-        safe = F.least(edge_lat, edge_lon * F.cos(F.radians(far))) * (cell * KM_PER_DEGREE * 0.999)
-        covers = ((F.col("lat") - cell <= box[0]) & (F.col("lat") + cell >= box[1])
-                  & (F.col("lon") - cell <= box[2]) & (F.col("lon") + cell >= box[3]))
-        done = ranked.groupBy(key).agg(F.max("distance_km").alias("_d"), F.count(F.lit(1)).alias("_n"),
-                                       F.first("lat").alias("lat"), F.first("lon").alias("lon"))
-        # a degree counts as its length in km only while cells are small
-        near_enough = F.lit(cell <= 1.0) & (F.col("_n") == k) & (F.col("_d") <= safe)
-        done = done.filter(covers | near_enough).select(key)
-        part = stable(ranked.join(done, key, "left_semi").select(key, "grid_id", "distance_km", "rank"))
-        settled = part if settled is None else settled.unionByName(part)
-        first = part.filter("rank = 1").select(key)
-        left -= first.count()
-        todo = todo.join(first, key, "left_anti")
-        cell *= 2
-    return settled
+    side = 2 ** QUARTERED
+    height, width = (box[1] - box[0]) / side or 1.0, (box[3] - box[2]) / side or 1.0
+    at = lambda c, low, size: F.least(F.floor((F.col(c) - low) / size), F.lit(side - 1)).cast("int")
+    points = grid.select("grid_id", "latitude", "longitude", at("latitude", box[0], height).alias("_y"),
+                         at("longitude", box[2], width).alias("_x"))
+    points = stable(points)
+    near = near.withColumns({"_y": F.lit(0), "_x": F.lit(0)})
+    up, most = QUARTERED, box[4]
+    while up and most > leaf:
+        up -= 1
+        cell = {c: F.shiftright(c, up) for c in ("_y", "_x")}
+        middle = {"_la": F.lit(box[0]) + (cell["_y"] + 0.5) * (height * 2 ** up), "_lo": F.lit(box[2]) + (cell["_x"] + 0.5) * (width * 2 ** up)}
+        cells = stable(points.withColumns(middle).withColumns(cell).groupBy("_y", "_x").agg(
+            F.count(F.lit(1)).alias("_points"), F.max(S.haversine_km("latitude", "longitude", "_la", "_lo")).alias("_reach"),
+            F.first("_la").alias("_la"), F.first("_lo").alias("_lo"),
+            # points in one place cannot be told apart by smaller cells
+            ((F.max("latitude") > F.min("latitude")) | (F.max("longitude") > F.min("longitude"))).alias("_wide")))
+        quarters = cells.withColumns({"_cy": F.col("_y"), "_cx": F.col("_x"), "_y": F.shiftright("_y", 1), "_x": F.shiftright("_x", 1)})
+        met = attach(near, quarters, ["_y", "_x"], "inner").withColumn("_mid", S.haversine_km("lat", "lon", "_la", "_lo"))
+        by_reach = Window.partitionBy(key).orderBy(F.col("_mid") + F.col("_reach"), "_cy", "_cx")
+        met = met.withColumn("_upto", F.sum("_points").over(by_reach.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        # so many points lie within this distance for sure; a cell that begins beyond it has none of the nearest
+        enough = F.min(F.when(F.col("_upto") >= k, F.col("_mid") + F.col("_reach"))).over(Window.partitionBy(key))
+        near = stable(met.withColumn("_enough", enough).filter(F.col("_mid") - F.col("_reach") <= F.col("_enough") + 1e-6).select(
+            key, "lat", "lon", F.col("_cy").alias("_y"), F.col("_cx").alias("_x"), "_points", "_wide"))
+        most = near.filter("_wide").agg(F.max("_points")).first()[0] or 0
+        near = near.drop("_points", "_wide")
+    held = points.withColumns({c: F.shiftright(c, up) for c in ("_y", "_x")})
+    last = attach(near, held, ["_y", "_x"], "inner", counted=box[4]).withColumn(
+        "distance_km", S.haversine_km("lat", "lon", "latitude", "longitude"))
+    # places at equal distance differ in the last bits; equal to a micrometre is a tie
+    order = Window.partitionBy(key).orderBy(F.round("distance_km", 9), "grid_id")
+    return stable(last.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(key, "grid_id", "distance_km", "rank"))
 
 
 def turbine_weights(neighbours: DataFrame, power: float = K.IDW_POWER, key: str = "turbine") -> DataFrame:
