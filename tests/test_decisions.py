@@ -81,15 +81,87 @@ def test_blend(spark):
     a, b = actual + rng.normal(4, 6, 300), actual + rng.normal(-4, 6, 300)
     rows = [("g", i, m, float(v), float(t), CAP) for i, (x, y, t) in enumerate(zip(a, b, actual)) for m, v in (("A", x), ("B", y))]
     store = spark.createDataFrame(rows, "group string, i int, model_name string, pred double, actual double, capacity double")
-    r = D.fit_blend(D.pair_predictions(store, "A", "B", ["group", "i"]), ["group"]).first()
+    pairs = spark.createDataFrame([("g", "A", "B", 0.0)], "group string, a string, b string, solo_best double")
+    rows = store.withColumns({"pred_best": F.col("pred"), "half": F.lit("tune")})
+    r = D.fit_blend(D.chosen_pairs(rows, pairs, ["i"]), ["group"]).first()
     scores = [round(numpy_score(w * a + (1 - w) * b, actual), 10) for w in D.WEIGHTS]
     assert r["w"] == pytest.approx(D.WEIGHTS[int(np.argmax(scores))])
     assert r["solo_best"] == pytest.approx(max(scores[0], scores[-1])) and r["adopt"]
 
 
+def test_one_search_serves_both(scored):
+    df, _ = scored
+    flat, hourly = D.calibrations(df, ["group"], "hour")
+    key = lambda r: (r["group"], r["a"], r["b_ratio"], r["n"], round(r["score"], 9))
+    assert sorted(map(key, flat.collect())) == sorted(map(key, D.fit_affine(df, ["group"]).collect()))
+    key = lambda r: (r["group"], r["hour_bucket"], r["a"], r["b_ratio"], r["n"], r["few_rows"], round(r["score"], 9))
+    assert sorted(map(key, hourly.collect())) == sorted(map(key, D.fit_diurnal(df, ["group"], "hour").collect()))
+
+
+def test_decisions_equal_plain_loops(spark):
+    rng = np.random.default_rng(5)
+    n = 240
+    rows, preds, actuals = [], {}, {}
+    for g, noise in {"g1": {"m": 9, "n": 4, "o": 5}, "g2": {"m": 3, "n": 8, "o": 20}}.items():
+        actuals[g] = rng.uniform(10, CAP, n)
+        for i, (m, s) in enumerate(noise.items()):
+            shift = 6 * np.sin(np.arange(n) * np.pi / 12) if m == "n" else 4.0 * (i - 1)
+            preds[g, m] = actuals[g] * (1.05 if m == "o" else 1) + shift + rng.normal(0, s, n)
+            rows += [(g, m, j, "tune" if j < n // 2 else "audit", j % 24, float(p), float(a), CAP) for j, (p, a) in enumerate(zip(preds[g, m], actuals[g]))]
+    df = spark.createDataFrame(rows, "group string, model_name string, i int, half string, hour int, pred double, actual double, capacity double")
+    candidates, blends, choice = D.decide(df, ["group", "model_name"], ["i"], "hour")
+
+    def fit(p, a):
+        grid = [(s, b) for s in D.SLOPES for b in D.OFFSETS]
+        scores = [round(numpy_score(np.clip(s * p + b * CAP, 0, CAP), a), 10) for s, b in grid]
+        return grid[int(np.argmax(scores))]
+    line = lambda p, f: np.clip(f[0] * p + f[1] * CAP, 0, CAP)
+    tune, audit = np.arange(n) < n // 2, np.arange(n) >= n // 2
+    from zephyrgrid.functions import scalars as S
+    named = {r["h"]: r["b"] for r in spark.range(24).select(F.col("id").cast("int").alias("h"), S.hour_bucket("id").alias("b")).collect()}
+    hour = np.array([named[j % 24] for j in range(n)])
+    best, kinds = {}, {}
+    for (g, m), p in preds.items():
+        a = actuals[g]
+        flat = line(p, fit(p[tune], a[tune]))
+        hourly = p.copy()
+        for h in set(hour):
+            hourly[hour == h] = line(p[hour == h], fit(p[tune & (hour == h)], a[tune & (hour == h)]))
+        score = {k: numpy_score(v[audit], a[audit]) for k, v in (("raw", p), ("calibrated", flat), ("by_hour", hourly))}
+        cal = "by_hour" if round(score["by_hour"], 10) > round(score["calibrated"], 10) else "calibrated"
+        kinds[g, m] = cal if round(score[cal], 10) > round(score["raw"], 10) else "raw"
+        best[g, m] = {"raw": p, "calibrated": flat, "by_hour": hourly}[kinds[g, m]], score[kinds[g, m]], score["raw"]
+    got = {(r["group"], r["model_name"]): r for r in candidates.collect()}
+    for key, (_, top, raw) in best.items():
+        assert got[key]["kind"] == kinds[key] and got[key]["best_score"] == pytest.approx(top) and got[key]["score_raw"] == pytest.approx(raw)
+    mixed = {r["group"]: r for r in blends.collect()}
+    final = {r["group"]: r for r in choice.collect()}
+    for g, a in actuals.items():
+        original = max("mno", key=lambda m: (round(numpy_score(preds[g, m], a), 10), -ord(m)))
+        base = best[g, original][2]
+        able = sorted((m for m in "mno" if round(best[g, m][1], 10) > round(base, 10)), key=lambda m: (-round(best[g, m][1], 10), m))
+        found = None
+        if len(able) >= 2:
+            x, y = best[g, able[0]][0], best[g, able[1]][0]
+            w = D.WEIGHTS[int(np.argmax([round(numpy_score((w * x + (1 - w) * y)[tune], a[tune]), 10) for w in D.WEIGHTS]))]
+            found = numpy_score((w * x + (1 - w) * y)[audit], a[audit])
+            assert (mixed[g]["a"], mixed[g]["b"], mixed[g]["w"]) == (able[0], able[1], pytest.approx(w))
+            assert mixed[g]["ensemble_score"] == pytest.approx(found) and mixed[g]["adopt"] == (round(found, 10) > round(best[g, able[0]][1], 10))
+        else:
+            assert g not in mixed
+        top = max("mno", key=lambda m: (round(best[g, m][1], 10), -ord(m)))
+        want = (top, kinds[g, top], best[g, top][1])
+        if found is not None and mixed[g]["adopt"]:
+            want = ("+".join(able[:2]), "ensemble", found)
+        if round(want[2], 10) <= round(base, 10):
+            want = (original, "raw", numpy_score(preds[g, original], a))
+        assert (final[g]["model_name"], final[g]["kind"], final[g]["score"]) == (*want[:2], pytest.approx(want[2]))
+    assert mixed
+
+
 def test_final_choice(spark):
-    cand = spark.createDataFrame([("g1", "m", 0.5, 0.6), ("g1", "n", 0.7, 0.1), ("g2", "m", 0.4, 0.4), ("g3", "m", 0.5, 0.6)],
-                                 "group string, model_name string, score_raw double, score_calibrated double")
+    cand = spark.createDataFrame([("g1", "m", "by_hour", 0.6), ("g1", "n", "raw", 0.7), ("g2", "m", "raw", 0.4), ("g3", "m", "calibrated", 0.6)],
+                                 "group string, model_name string, kind string, best_score double")
     ens = spark.createDataFrame([("g3", "m+n", 0.65, True), ("g1", "m+n", 0.9, False)],
                                 "group string, label string, ensemble_score double, adopt boolean")
     orig = spark.createDataFrame([("g1", "o", 0.55, 0.6), ("g2", "o", 0.45, 0.4), ("g3", "o", 0.5, 0.5)],

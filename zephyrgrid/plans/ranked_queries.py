@@ -172,8 +172,12 @@ B.VIEWS["fitted"] = _fit_sql("tune_rows", _GM)
 B.VIEWS["fitted_by_hour"] = _fit_sql("tune_rows", f"{_GM}, hour_bucket")
 
 
+# fewer rows than the guard of the operator: the smallest tables hold a hundred orders of a group and priority
+AUDIT_ROWS = 20
+
+
 def halves(spark, d):
-    return Sp.tune_audit(B.predictions(spark, d), GM, ["ts", "o_orderkey"], min_audit=1)
+    return Sp.tune_audit(B.predictions(spark, d), GM, ["ts", "o_orderkey"], min_audit=AUDIT_ROWS)
 
 
 _FITTED = ["a", "b_ratio", "nmae", "ficr", "score"]
@@ -209,10 +213,13 @@ B.VIEWS["audited_by_hour"] = _audit_sql("fitted_by_hour", f"{_GM}, hour_bucket")
     FROM audited a JOIN audited_by_hour h ON a."group" = h."group" AND a.model_name = h.model_name""")
 def calibration_audit(spark, d):
     rows = stable(halves(spark, d))
-    flat = D.calibration_audit(rows, GM)
-    hourly = D.calibration_audit(rows, GM, hour="hour").select(*GM, F.col("score_after").alias("score_diurnal"))
-    both = flat.join(hourly, GM).withColumn("adopt_diurnal", F.round("score_diurnal", 10) > F.round("score_after", 10))
-    return rounded(both, *GM, "score_before", "score_after", "use_calibrated", "best_score", "score_diurnal", "adopt_diurnal")
+    flat, hourly = D.calibrations(rows.filter("half = 'tune'"), GM, "hour")
+    found = D.candidate_audit(D.calibrated_rows(rows.filter("half = 'audit'"), GM, flat, hourly, "hour"), GM)
+    tied = lambda c: F.round(c, 10)
+    return rounded(found.select(
+        *GM, F.col("score_raw").alias("score_before"), F.col("score_flat").alias("score_after"),
+        (tied("score_flat") > tied("score_raw")).alias("use_calibrated"), F.greatest("score_raw", "score_flat").alias("best_score"),
+        F.col("score_by_hour").alias("score_diurnal"), (tied("score_by_hour") > tied("score_flat")).alias("adopt_diurnal")))
 
 
 def _blend_sql(rows: str, keys: str) -> str:
@@ -222,46 +229,59 @@ def _blend_sql(rows: str, keys: str) -> str:
         sum({price} * actual) / sum(4 * actual) AS ficr FROM {rows} CROSS JOIN {_values('w', D.WEIGHTS)} GROUP BY {keys}, w.i, w.v)"""
 
 
-B.VIEWS["pairs"] = """SELECT a."group", a.ts, a.o_orderkey, a.actual, a.capacity, a.pred AS pred_a, b.pred AS pred_b FROM store a
-    JOIN store b ON a.o_orderkey = b.o_orderkey AND b.model_name = 'beta' WHERE a.model_name = 'alpha'"""
-B.VIEWS["pair_halves"] = """SELECT *, CASE WHEN row_number() OVER (PARTITION BY "group" ORDER BY ts, o_orderkey)
-    <= floor(count(*) OVER (PARTITION BY "group") * 0.5e0) THEN 'tune' ELSE 'audit' END AS half FROM pairs"""
-B.VIEWS["pairs_tune"] = "SELECT * FROM pair_halves WHERE half = 'tune'"
-B.VIEWS["pairs_audit"] = "SELECT * FROM pair_halves WHERE half = 'audit'"
-B.VIEWS["blend_tune"] = _blend_sql("pairs_tune", '"group"')
-B.VIEWS["blend_audit"] = _blend_sql("pairs_audit", '"group"')
-B.VIEWS["blend_choice"] = """SELECT a."group", a.w, a.score AS ensemble_score, s.solo AS solo_best, round(a.score, 10) > round(s.solo, 10) AS adopt
-    FROM blend_audit a JOIN (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY round(score, 10) DESC, wi) AS r FROM blend_tune) t
-    ON a."group" = t."group" AND a.wi = t.wi AND t.r = 1
-    JOIN (SELECT "group", max(score) AS solo FROM blend_audit WHERE wi IN (0, 20) GROUP BY 1) s ON a."group" = s."group" """
-
-
-def pair_halves(spark, d):
-    pairs = D.pair_predictions(B.store(spark, d), "alpha", "beta", ["group", "ts", "o_orderkey"])
-    return Sp.tune_audit(pairs, ["group"], ["ts", "o_orderkey"], min_audit=1)
-
-
-@query("blend_weight", f"""SELECT "group", {rnds('w', 'ensemble_score', 'solo_best')}, adopt FROM blend_choice""")
+# decisions over the stored predictions of three models
+_price = lambda p: f"CASE WHEN abs({p} - actual) / capacity <= 0.06e0 THEN 4 WHEN abs({p} - actual) / capacity <= 0.08e0 THEN 3 ELSE 0 END"
+_score = lambda p: f"(0.5e0 * (1 - avg(abs({p} - actual) / capacity)) + 0.5e0 * sum({_price(p)} * actual) / sum(4 * actual))"
+B.VIEWS["stored"] = f"""SELECT *, CASE WHEN row_number() OVER (PARTITION BY {_GM} ORDER BY ts, o_orderkey) <= floor(count(*) OVER (PARTITION BY {_GM}) * 0.5e0)
+    THEN 'tune' ELSE 'audit' END AS half, {_BUCKET.format(h='hour')} AS hour_bucket FROM store"""
+B.VIEWS["stored_tune"] = "SELECT * FROM stored WHERE half = 'tune'"
+B.VIEWS["stored_flat"] = _fit_sql("stored_tune", _GM)
+B.VIEWS["stored_hourly"] = _fit_sql("stored_tune", f"{_GM}, hour_bucket")
+_line = lambda f: f"least(greatest({f}.a * s.pred + {f}.b_ratio * s.capacity, 0), s.capacity)"
+B.VIEWS["stored_lines"] = f"""SELECT s.*, {_line('f')} AS flat, CASE WHEN h.a IS NULL THEN least(greatest(s.pred, 0), s.capacity) ELSE {_line('h')} END AS by_hour FROM stored s
+    JOIN stored_flat f ON s."group" = f."group" AND s.model_name = f.model_name
+    LEFT JOIN stored_hourly h ON s."group" = h."group" AND s.model_name = h.model_name AND s.hour_bucket = h.hour_bucket"""
+B.VIEWS["candidates"] = f"""SELECT *, CASE WHEN round(cal, 10) <= round(raw, 10) THEN 'raw' WHEN hourly_wins THEN 'by_hour' ELSE 'calibrated' END AS kind,
+    CASE WHEN round(cal, 10) > round(raw, 10) THEN cal ELSE raw END AS best FROM (SELECT *, round(h, 10) > round(f, 10) AS hourly_wins, CASE WHEN round(h, 10) > round(f, 10) THEN h ELSE f END AS cal
+    FROM (SELECT {_GM}, {_score('pred')} AS raw, {_score('flat')} AS f, {_score('by_hour')} AS h FROM stored_lines WHERE half = 'audit' GROUP BY ALL))"""
+B.VIEWS["originals"] = f"""SELECT o."group", o.model_name, o.score, c.raw AS baseline FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY round(score, 10) DESC, model_name) AS r
+    FROM (SELECT {_GM}, {_score('pred')} AS score FROM store WHERE model_name = 'gamma' GROUP BY ALL)) o JOIN candidates c ON o.r = 1 AND o."group" = c."group" AND o.model_name = c.model_name"""
+B.VIEWS["ranked_candidates"] = """SELECT c.*, row_number() OVER (PARTITION BY c."group" ORDER BY round(best, 10) DESC, c.model_name) AS r FROM candidates c
+    JOIN originals o ON c."group" = o."group" WHERE round(c.best, 10) > round(o.baseline, 10)"""
+B.VIEWS["best_rows"] = f"""SELECT s."group", s.o_orderkey, s.actual, s.capacity, s.half, c.r, CASE c.kind WHEN 'raw' THEN s.pred WHEN 'by_hour' THEN s.by_hour ELSE s.flat END AS best_pred
+    FROM stored_lines s JOIN ranked_candidates c ON s."group" = c."group" AND s.model_name = c.model_name WHERE c.r <= 2"""
+B.VIEWS["blend_pairs"] = """SELECT a."group", a.actual, a.capacity, a.half, a.best_pred AS pred_a, b.best_pred AS pred_b FROM best_rows a
+    JOIN best_rows b ON a."group" = b."group" AND a.o_orderkey = b.o_orderkey AND a.r = 1 AND b.r = 2"""
+B.VIEWS["blend_pairs_tune"] = "SELECT * FROM blend_pairs WHERE half = 'tune'"
+B.VIEWS["blend_pairs_audit"] = "SELECT * FROM blend_pairs WHERE half = 'audit'"
+B.VIEWS["blend_tune"] = _blend_sql("blend_pairs_tune", '"group"')
+B.VIEWS["blend_audit"] = _blend_sql("blend_pairs_audit", '"group"')
+B.VIEWS["blend_choice"] = """SELECT x."group", a.model_name AS a, b.model_name AS b, x.w, x.score AS ensemble_score, a.best AS solo_best, round(x.score, 10) > round(a.best, 10) AS adopt
+    FROM blend_audit x JOIN (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY round(score, 10) DESC, wi) AS r FROM blend_tune) t
+    ON x."group" = t."group" AND x.wi = t.wi AND t.r = 1 JOIN ranked_candidates a ON a."group" = x."group" AND a.r = 1
+    JOIN ranked_candidates b ON b."group" = x."group" AND b.r = 2"""
+
+
+def decisions(spark, d):
+    rows = Sp.tune_audit(B.store(spark, d), GM, ["ts", "o_orderkey"], min_audit=AUDIT_ROWS)
+    # the least exact of the three stands for what an earlier experiment had found best
+    earlier = M.group_summary(B.store(spark, d).filter("model_name = 'gamma'"), GM)
+    return D.decide(stable(rows), GM, ["o_orderkey"], "hour", earlier)
+
+
+@query("blend_weight", f"""SELECT "group", a, b, {rnds('w', 'ensemble_score', 'solo_best')}, adopt FROM blend_choice""")
 def blend_weight(spark, d):
-    return rounded(D.audited_blend(stable(pair_halves(spark, d)), ["group"]))
+    return rounded(decisions(spark, d)[1], "group", "a", "b", "w", "ensemble_score", "solo_best", "adopt")
 
 
-@query("final_choice", f"""WITH solo AS (SELECT "group", model_name, CASE WHEN use_calibrated THEN 'calibrated' ELSE 'raw' END AS kind,
-        greatest(before_, after_) AS score, 0 AS late FROM audited),
-    cand AS (SELECT * FROM solo UNION ALL SELECT "group", 'alpha+beta', 'ensemble', ensemble_score, 1 FROM blend_choice WHERE adopt),
-    top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY round(score, 10) DESC, late, model_name) AS r FROM cand) WHERE r = 1),
-    base AS (SELECT "group", model_name, score FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY score DESC, model_name) AS r FROM result_rows) WHERE r = 1)
-    SELECT b."group", CASE WHEN round(t.score, 10) > round(a.best, 10) THEN t.model_name ELSE b.model_name END AS model_name, CASE WHEN round(t.score, 10) > round(a.best, 10) THEN t.kind ELSE 'raw' END AS kind,
-    {rnd('CASE WHEN round(t.score, 10) > round(a.best, 10) THEN t.score ELSE b.score END')} AS score FROM base b JOIN top t ON b."group" = t."group"
-    JOIN (SELECT "group", model_name, greatest(before_, after_) AS best FROM audited) a ON a."group" = b."group" AND a.model_name = b.model_name""")
+@query("final_choice", f"""WITH cand AS (SELECT "group", model_name, kind, best AS score, 0 AS late FROM candidates UNION ALL
+        SELECT "group", a || '+' || b, 'ensemble', ensemble_score, 1 FROM blend_choice WHERE adopt),
+    top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY round(score, 10) DESC, late, model_name) AS r FROM cand) WHERE r = 1)
+    SELECT o."group", CASE WHEN round(t.score, 10) > round(o.baseline, 10) THEN t.model_name ELSE o.model_name END AS model_name,
+    CASE WHEN round(t.score, 10) > round(o.baseline, 10) THEN t.kind ELSE 'raw' END AS kind,
+    {rnd('CASE WHEN round(t.score, 10) > round(o.baseline, 10) THEN t.score ELSE o.score END')} AS score FROM originals o JOIN top t ON o."group" = t."group" """)
 def final_choice(spark, d):
-    audited = stable(D.calibration_audit(stable(halves(spark, d)), GM))
-    candidates = audited.select(*GM, F.col("score_before").alias("score_raw"), F.col("score_after").alias("score_calibrated"))
-    ensembles = D.audited_blend(stable(pair_halves(spark, d)), ["group"]).withColumn("label", F.lit("alpha+beta"))
-    first = Q.best_by(result_rows(spark, d), ["group"], "score", "model_name")
-    originals = first.join(audited.select(*GM, F.col("best_score").alias("baseline_score")), GM).select(
-        "group", F.col("model_name").alias("original_name"), F.col("score").alias("original_score"), "baseline_score")
-    return rounded(D.final_choice(candidates, ensembles, originals))
+    return rounded(decisions(spark, d)[2])
 
 
 @query("apply_calibration", f"""SELECT h.o_orderkey, {rnd('least(greatest(f.a * h.pred + f.b_ratio * h.capacity, 0), h.capacity)')} AS pred_global,
@@ -271,11 +291,12 @@ def final_choice(spark, d):
     JOIN fitted_by_hour g ON h."group" = g."group" AND h.model_name = g.model_name AND h.hour_bucket = g.hour_bucket""")
 def apply_calibration(spark, d):
     rows = stable(halves(spark, d))
-    tune = rows.filter("half = 'tune'")
-    df = rows.withColumn("hour_bucket", S.hour_bucket("hour"))
-    df = D.apply_calibration(df, stable(D.fit_affine(tune, GM)), GM, out="pred_global")
-    df = D.apply_calibration(df, stable(D.fit_diurnal(tune, GM, "hour")), [*GM, "hour_bucket"], out="pred_by_hour")
-    df = D.pick_calibrated(df, stable(D.calibration_audit(rows, GM)), GM, calibrated="pred_global")
+    flat, hourly = D.calibrations(rows.filter("half = 'tune'"), GM, "hour")
+    df = stable(D.calibrated_rows(rows, GM, flat, hourly, "hour"))
+    audited = D.candidate_audit(df.filter("half = 'audit'"), GM).withColumn(
+        "use_calibrated", F.round("score_flat", 10) > F.round("score_raw", 10))
+    df = D.pick_calibrated(df, stable(audited), GM, calibrated="pred_flat").withColumnsRenamed(
+        {"pred_flat": "pred_global"})
     return rounded(df, "o_orderkey", "pred_global", "pred_by_hour", "pred_final")
 
 
