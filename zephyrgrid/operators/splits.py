@@ -40,6 +40,29 @@ def warmup_trim(df: DataFrame, keys: list[str], order: list[str], rows: int = K.
     return numbered(df, keys, order, slice_by, position="_pos").filter(F.col("_pos") > rows).drop("_pos")
 
 
+def fold_number(ts: str, origin: str, months: int = 3) -> Column:
+    """The window of ``months`` that a stamp falls into, counted from ``origin``; negative before it."""
+    start = F.lit(origin).cast("timestamp_ntz")
+    elapsed = (F.year(ts) - F.year(start)) * 12 + F.month(ts) - F.month(start)
+    return F.floor(elapsed / F.lit(months))
+
+
+def fold_rows(df: DataFrame, ts: str, origin: str, months: int = 3, folds: int | None = None) -> DataFrame:
+    """Each row with every ``fold`` it belongs to, and its ``side``: valid in the window it falls into, train in all later ones.
+
+    Validation windows begin at ``origin``; rows before it train in every fold. A row is repeated once per fold, of which there
+    are as many as windows with rows, or ``folds``: the folds are named by one aggregation and a row meets those whose window is not
+    before its own.
+    """
+    numbered_rows = df.withColumn("_own", fold_number(ts, origin, months))
+    known = numbered_rows.filter("_own >= 0").groupBy("_own").agg(F.count(F.lit(1)).alias("n"))
+    found = sorted(r["_own"] for r in known.collect())[:folds]  # one row per window of months
+    names = F.lit(found) if found else F.array().cast("array<bigint>")
+    later = F.filter(names, lambda f: f >= F.col("_own"))
+    return (numbered_rows.withColumn("fold", F.explode(later))
+            .withColumn("side", F.when(F.col("fold") == F.col("_own"), "valid").otherwise("train")).drop("_own"))
+
+
 def rolling_folds(df: DataFrame, ts: str, value: str, origin: str, months: int = 3,
                   keys: list[str] = ()) -> DataFrame:
     """Per fold of ``months``: rows and mean of the window and of everything before it.
@@ -48,9 +71,7 @@ def rolling_folds(df: DataFrame, ts: str, value: str, origin: str, months: int =
     rows are not repeated for every later fold.
     """
     keys = list(keys)
-    start = F.lit(origin).cast("timestamp_ntz")
-    elapsed = (F.year(ts) - F.year(start)) * 12 + F.month(ts) - F.month(start)
-    windows = df.withColumn("fold", F.floor(elapsed / F.lit(months))).groupBy(*keys, "fold").agg(
+    windows = df.withColumn("fold", fold_number(ts, origin, months)).groupBy(*keys, "fold").agg(
         F.count(F.lit(1)).alias("n_valid"), F.count(value).alias("_c"), F.sum(value).alias("_s"))
     earlier = Window.partitionBy(*keys).orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
     return windows.select(

@@ -155,7 +155,7 @@ def time_split(spark, d):
                                          a="tune", b="audit", name="half"))
 def tune_audit_split(spark, d):
     rows = B.predictions(spark, d).select("group", "model_name", "ts", "o_orderkey")
-    return Sp.tune_audit(rows, ["group", "model_name"], ["ts", "o_orderkey"], min_audit=1).select("o_orderkey", "half")
+    return Sp.tune_audit(rows, ["group", "model_name"], ["ts", "o_orderkey"], min_audit=20).select("o_orderkey", "half")
 
 
 @query("warmup_trim", """SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY "group" ORDER BY ts, o_orderkey) AS rn
@@ -164,14 +164,42 @@ def warmup_trim(spark, d):
     return Sp.warmup_trim(B.predictions(spark, d).select("group", "ts", "o_orderkey"), ["group"], ["ts", "o_orderkey"]).select("o_orderkey")
 
 
-@query("rolling_origin_folds", f"""WITH w AS (SELECT "group", CAST(floor(((year(forecast_kst_dtm) - 1996) * 12 + month(forecast_kst_dtm) - 1) / 3.0) AS BIGINT) AS fold,
-    target / 1e6 AS target FROM labels_long), f AS (SELECT DISTINCT "group", fold FROM w)
-    SELECT f."group", f.fold, (SELECT count(*) FROM w v WHERE v."group" = f."group" AND v.fold = f.fold) AS n_valid,
-    (SELECT {rnd('avg(target)')} FROM w v WHERE v."group" = f."group" AND v.fold = f.fold) AS valid_mean,
-    count(*) AS n_train, {rnd('avg(w.target)')} AS train_mean FROM f JOIN w ON w."group" = f."group" AND w.fold < f.fold GROUP BY f."group", f.fold""")
+B.VIEWS["fold_labels"] = f"""SELECT "group", forecast_kst_dtm, target / 1e6 AS target,
+    CAST(floor(((year(forecast_kst_dtm) - 1996) * 12 + month(forecast_kst_dtm) - 1) / 3.0) AS BIGINT) AS own FROM labels_long"""
+B.VIEWS["folds"] = """SELECT w."group", w.forecast_kst_dtm, w.target, f.fold, CASE WHEN w.own = f.fold THEN 'valid' ELSE 'train' END AS side
+    FROM fold_labels w JOIN (SELECT DISTINCT own AS fold FROM fold_labels WHERE own >= 0) f ON w.own <= f.fold"""
+ORIGIN = "1996-01-01 00:00:00"
+
+
+def fold_labels(spark, d):
+    labels = C.labels_long(B.labels_wide(spark, d)).withColumn("target", F.col("target") / F.lit(1e6))
+    return Sp.fold_rows(labels, "forecast_kst_dtm", ORIGIN)
+
+
+@query("rolling_origin_folds", f"""SELECT "group", forecast_kst_dtm, fold, side, {rnd('target')} AS target FROM folds""")
 def rolling_origin_folds(spark, d):
+    return rounded(fold_labels(spark, d), "group", "forecast_kst_dtm", "fold", "side", "target")
+
+
+@query("fold_windows", f"""SELECT "group", fold, n_valid, {rnds('valid_mean')}, n_train, {rnds('train_mean')} FROM (SELECT "group", fold,
+    count(CASE WHEN side = 'valid' THEN 1 END) AS n_valid, avg(CASE WHEN side = 'valid' THEN target END) AS valid_mean,
+    count(CASE WHEN side = 'train' THEN 1 END) AS n_train, avg(CASE WHEN side = 'train' THEN target END) AS train_mean FROM folds GROUP BY 1, 2)
+    WHERE n_valid > 0 AND n_train > 0""")
+def fold_windows(spark, d):
     labels = C.labels_long(B.labels_wide(spark, d)).withColumn("target", F.col("target") / F.lit(1e6))
-    return rounded(Sp.rolling_folds(labels, "forecast_kst_dtm", "target", "1996-01-01 00:00:00", 3, ["group"]))
+    return rounded(Sp.rolling_folds(labels, "forecast_kst_dtm", "target", ORIGIN, 3, ["group"]).filter("fold >= 0"))
+
+
+@query("fold_report", f"""SELECT "group", count(*) AS folds, {rnd('avg(e)')} AS fold_mean, {rnd('stddev_samp(e)')} AS fold_std FROM (SELECT v."group", v.fold, avg(abs(v.target - t.m)) AS e
+    FROM folds v JOIN (SELECT "group", fold, avg(target) AS m FROM folds WHERE side = 'train' GROUP BY 1, 2) t ON v."group" = t."group" AND v.fold = t.fold
+    WHERE v.side = 'valid' GROUP BY 1, 2) GROUP BY 1""")
+def fold_report(spark, d):
+    """Mean and spread over the folds of the error of the train mean."""
+    rows = fold_labels(spark, d)
+    means = rows.filter("side = 'train'").groupBy("group", "fold").agg(F.avg("target").alias("m"))
+    errors = rows.filter("side = 'valid'").join(F.broadcast(means), ["group", "fold"]).groupBy("group", "fold").agg(
+        F.avg(F.abs(F.col("target") - F.col("m"))).alias("e"))
+    return rounded(Sp.fold_report(errors, "e", ["group"]))
 
 
 # --- C: scalar functions -----------------------------------------------------
