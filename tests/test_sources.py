@@ -55,6 +55,23 @@ def test_results(spark, folder):
     assert [(r["model_id"], r["mae"]) for r in out] == [("baseline_1_results/m", None), ("baseline_2_results/m", 2.0)]
     with pytest.raises(Ca.SourceError):
         St.read_results(spark, f"{folder}/none_*")
+    with pytest.raises(Ca.SourceError):
+        St.read_results(spark, f"{folder}/baseline_3_results.csv")
+
+
+def test_a_hundred_result_files_in_one_scan(spark, folder):
+    import os
+    os.makedirs(f"{folder}/many")
+    for i in range(100):
+        with open(f"{folder}/many/run_{i}_results.csv", "w", encoding="utf-8") as f:
+            f.write(("\ufeff" if i == 3 else "") + ("group,ficr,nmae,model_name,extra\r\n" if i % 2 else "model_name,nmae,group,ficr\n"))
+            for g in ("g1", "g2"):
+                f.write(f'{g},{i},0.5,"m, {i}",x\r\n' if i % 2 else f"m{i},0.5,{g},\n")
+    out = St.read_results(spark, f"{folder}/many/run_*_results.csv")
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 1
+    rows = {(r["baseline"], r["group"]): r for r in out.collect()}
+    assert len(rows) == 200 and rows["run_3_results", "g2"]["model_name"] == "m, 3" and rows["run_3_results", "g1"]["ficr"] == 3.0
+    assert rows["run_4_results", "g1"]["ficr"] is None and rows["run_4_results", "g1"]["model_id"] == "run_4_results/m4"
 
 
 def test_feature_cache(spark, folder):
@@ -66,6 +83,20 @@ def test_feature_cache(spark, folder):
     part = cache.load("g1", "train")
     assert part.first()["x"] == 2.0 and part.count() == 1
     assert "PartitionFilters: [" in part._jdf.queryExecution().toString()
+    assert cache.versions() == [1, 2] and {r["n_rows"] for r in cache.manifest().collect()} == {1}
+    some = St.FeatureCache(spark, f"{folder}/some", ["g1", "g2"])
+    assert some.build(lambda: rows.filter("group = 'g2' AND split = 'train'")) and some.is_complete() and not some.build(lambda: rows)
+    assert {(r["split"], r["group"]): r["n_rows"] for r in some.manifest().collect()} == {
+        ("train", "g1"): 0, ("train", "g2"): 1, ("test", "g1"): 0, ("test", "g2"): 0}
+    assert some.load("g1", "test").columns == ["x", "split", "group"] and some.load("g1", "test").count() == 0
+    none = St.FeatureCache(spark, f"{folder}/none", ["g1"])
+    assert none.build(lambda: rows.limit(0)) and none.is_complete() and none.load().count() == 0
+
+    def broken():
+        raise RuntimeError("lost")
+    with pytest.raises(RuntimeError):
+        cache.build(broken, force=True)
+    assert cache.versions() == [1, 2] and cache.load("g1", "train").first()["x"] == 2.0
     wider = St.FeatureCache(spark, f"{folder}/cache", ["g1", "g2", "g3"])
     assert not wider.is_complete()
     with pytest.raises(Ca.SourceError):

@@ -90,16 +90,6 @@ def scan_any_kinds(spark, d):
                    .select(F.lit(k).alias("kind"), "n_rows") for k, x in kinds.items()])
 
 
-@query("dataset_cache", f"""SELECT "group", 'train' AS split, forecast_kst_dtm, {rnds('target')} FROM labels_long
-    WHERE "group" = 'kpx_group_2' AND year(forecast_kst_dtm) < 1998""")
-def dataset_cache(spark, d):
-    cache = St.FeatureCache(spark, new_folder(spark, "features"), list(K.GROUPS))
-    split = F.when(F.year("forecast_kst_dtm") < 1998, "train").otherwise("test").alias("split")
-    cache.build(lambda: C.labels_long(B.labels_wide(spark, d)).select("*", split))
-    assert cache.is_complete() and not cache.build(lambda: None)
-    return rounded(cache.load("kpx_group_2", "train"))
-
-
 _SUMMARY = """SELECT {keys}, avg(abs(pred - actual) / capacity) AS nmae,
     CASE WHEN sum(4 * actual) > 0 THEN sum(CASE WHEN abs(pred - actual) / capacity <= 0.06e0 THEN 4 WHEN abs(pred - actual) / capacity <= 0.08e0
     THEN 3 ELSE 0 END * actual) / sum(4 * actual) ELSE 0 END AS ficr,
