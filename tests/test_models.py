@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from zephyrgrid.models import boosting as Bo
 from zephyrgrid.models import experiments as X
 from zephyrgrid.models import regress as R
 from zephyrgrid.models import selection as Se
@@ -79,14 +80,17 @@ def test_information_and_mrmr(data):
 
 def test_importances(data):
     train, valid = parts(data)
-    model = R.boosted_l1(train, COLUMNS, "target", rounds=5, depth=3)
-    found = Se.permutation_importance(model, valid, COLUMNS, ["id"])
-    assert max(found["a"], found["b"]) > found["c"] > found["d"]
+    model = Bo.Booster(COLUMNS, "target", least_rows=5).fit(train, rounds=5)
+    for found in X.swapped_importance(model, valid, ["id"]).values():
+        assert max(found["a"], found["b"]) > found["c"] > found["d"]
     partner = Se.shuffled_partner(valid, ["a"], ["id"])
     assert partner.count() == 150 and partner.select("other.a").distinct().count() == 150
     assert partner.filter(F.col("other.a") == F.col("a")).count() == 0
-    kept, floor = X.noise_floor_importance(train, valid, COLUMNS, "target", ["id"], rounds=5)
-    assert max(kept["a"], kept["b"]) > floor > 0 or floor == 0
+    own = Se.shuffled_partner(valid, ["a", "group"], ["id"], keys=["group"])
+    assert own.count() == 150 and own.filter(F.col("other.group") != F.col("group")).count() == 0
+    kept, floor = X.noise_floor_importance(train, valid, COLUMNS, "target", ["id"], rounds=5, least_rows=5)
+    for g in ("kpx_group_1", "kpx_group_2"):
+        assert max(kept[g]["a"], kept[g]["b"]) > floor[g] >= 0 and set(kept[g]) == set(COLUMNS)
     forest = R.forest_importance(train, COLUMNS, "target", trees=5)
     assert sum(forest.values()) == pytest.approx(1.0) and forest["d"] < 0.1
     assert len(Se.top_features(dict.fromkeys(map(str, range(40)), 1.0))) == 14
@@ -98,47 +102,64 @@ def test_regressors_beat_the_mean(data):
     middle = train.agg(F.avg("actual")).first()[0]
     floor = M.group_summary(valid.withColumn("pred", F.lit(middle)), []).first()["mae"]
     evaluator = R.SettlementEvaluator()
-    for model in (R.boosted_l1(train, COLUMNS, "target", valid, rounds=10), R.KernelBaseline(COLUMNS, "target").fit(train),
-                  R.SettlementBooster(COLUMNS, "target", warmup=8, steps=4).fit(train)):
-        scored = R.predicted(model, valid, COLUMNS)
+    trees = Bo.Booster(COLUMNS, "target", least_rows=5).fit(train, valid, 30, 10)
+    settled = Bo.settlement_booster(train, valid, COLUMNS, "target", 15, 5, least_rows=5)
+    kernel = R.predicted(R.KernelBaseline(COLUMNS, "target").fit(train), valid, COLUMNS)
+    for scored in (trees.energy(valid), settled.energy(valid), kernel):
         assert M.group_summary(scored, []).first()["mae"] < floor * 0.6
         assert 0 < evaluator.evaluate(scored) <= 1
     assert R.SettlementEvaluator(metric="neg_mae").evaluate(scored) < 0 and evaluator.isLargerBetter()
 
 
+def test_kernel_features_are_cosines(data):
+    df, x = data
+    kernel = R.KernelBaseline(COLUMNS, "target", width=5)
+    kernel.params = {c: (float(x[:, i].mean()), float(x[:, i].std())) for i, c in enumerate(COLUMNS)}
+    got = np.array([r["features"].toArray() for r in kernel._expand(df).orderBy("id").collect()])
+    waves = np.array(kernel.waves)
+    z = (x - x.mean(0)) / x.std(0)
+    np.testing.assert_allclose(got, np.cos(z @ waves[:, :4].T + waves[:, 4]) * np.sqrt(2 / 5), atol=1e-9)
+
+
 def test_experiments(data):
     df, _ = data
-    out = X.experiment_matrix(df, ["kpx_group_1"], COLUMNS, "target", {"all": {}, "corr_filtered": {}}, ["trees"])
-    assert {r["feature_version"]: r["n_features"] for r in out.collect()} == {"all": 4, "corr_filtered": 3}
+    groups = ["kpx_group_1", "kpx_group_2"]
+    out = X.experiment_matrix(df, groups, COLUMNS, "target", {"all": {}, "corr_filtered": {}, "pca": {}}, ["trees", "kernel"], rounds=10, least_rows=5)
+    rows = {(r["group"], r["model_version"], r["feature_version"]): r for r in out.collect()}
+    assert len(rows) == 12 and {v: rows["kpx_group_1", "trees", v]["n_features"] for v in ("all", "corr_filtered", "pca")} == {
+        "all": 4, "corr_filtered": 3, "pca": 3}
+    alone = Bo.Booster(["a", "c", "d"], "target", least_rows=5).fit(*parts(data), rounds=10)
+    score = {r["group"]: r["score"] for r in M.group_summary(alone.energy(parts(data)[1]), ["group"]).collect()}
+    for g in groups:
+        assert rows[g, "trees", "corr_filtered"]["score"] == pytest.approx(score[g], abs=0.01)  # quantile cuts are approximate
+    with pytest.raises(ValueError, match="unknown models"):
+        X.experiment_matrix(df, groups, COLUMNS, "target", {"all": {}}, ["forest"])
     train, valid = parts(data)
-    tried = X.search_settlement(valid, valid, train, COLUMNS, "target", draws=2, warmup=2, steps=1, depth=2).collect()
-    best = max(tried, key=lambda r: r["tune_score"])
-    assert best["chosen"] and best["audit_score"] == pytest.approx(best["tune_score"])
-    before, after, adopt = X.feature_gate(train, valid, ["d"], ["a"], "target", rounds=4)
-    assert after > before and adopt == (after - before >= 0.005)
+    gate = {r["group"]: r for r in X.feature_gate(train, valid, ["d"], ["a"], "target", rounds=10, least_rows=5).collect()}
+    assert set(gate) == set(groups)
+    for r in gate.values():
+        assert r["score_after"] > r["score_before"] and r["adopt"] == (r["score_after"] - r["score_before"] >= 0.005)
+    table = X.gain_table(train, COLUMNS, "target", rounds=5, least_rows=5).collect()
+    assert table[0]["feature"] in "ab" and sum(r["kpx_group_1"] for r in table) == pytest.approx(1.0)
     with pytest.raises(ValueError, match="unknown variant"):
         X.make_variant("none")
     assert type(X.make_variant(" PCA ")).__name__ == "Compressed"
 
 
+def test_search_halves_the_draws(data):
+    train, valid = parts(data)
+    tried = X.search_settlement(valid, valid, train, COLUMNS, "target", draws=6, warmup=3, steps=4, halve_every=2, depth=2, least_rows=5).collect()
+    for g in ("kpx_group_1", "kpx_group_2"):
+        own = [r for r in tried if r["group"] == g]
+        best = max(own, key=lambda r: r["tune_score"])
+        assert 3 <= len(own) <= 6 and [r["chosen"] for r in own].count(True) == 1
+        assert best["chosen"] and best["audit_score"] == pytest.approx(best["tune_score"])
+        alone = Bo.settlement_booster(train, None, COLUMNS, "target", 3, 4, None, [Bo.Settlement(best["steepness"], best["weight"])], depth=2, least_rows=5)
+        score = M.group_summary(alone.energy(valid.filter(F.col("group") == g)), []).first()["score"]
+        assert score == pytest.approx(best["tune_score"])
+
+
 def test_median_fill_uses_train_rows(spark):
     train = spark.createDataFrame([(1.0,), (None,), (3.0,), (9.0,)], "x double")
     fitted = X.make_variant("all").fit(train, ["x"], "x")
     assert fitted.transform(spark.createDataFrame([(None,)], "x double")).first()["x"] == 3.0
-
-
-def test_leaf_values_are_newton_steps(spark):
-    """One step on a feature with two values: each leaf moves by -sum(g) / (sum(h) + penalty)."""
-    rows = [(float(i % 2), 0.3 + 0.4 * (i % 2) + 0.01 * (i % 5)) for i in range(60)]
-    df = spark.createDataFrame(rows, "x double, target double")
-    fitted = R.SettlementBooster(["x"], "target", warmup=1, steps=1, depth=1, rate=1.0, penalty=0.5).fit(df)
-    model, values = fitted.trees[0]
-    start = {r["x"]: r["prediction"] for r in fitted.start.transform(R.assemble(df, ["x"])).collect()}
-    from pyspark.sql import functions as F
-    from zephyrgrid.functions import scalars as S
-    for x in (0.0, 1.0):
-        errors = spark.createDataFrame([(start[x] - t,) for v, t in rows if v == x], "e double")
-        g, h = S.settlement_gradient(F.col("e"), fitted.steepness, fitted.weight)
-        s = errors.agg(F.sum(g).alias("g"), F.sum(h).alias("h")).first()
-        got = fitted.transform(R.assemble(df.filter(df.x == x), ["x"])).first()["prediction"]
-        assert abs(got - start[x] - -s["g"] / (s["h"] + 0.5)) < 1e-9

@@ -26,6 +26,7 @@ ROWS = "model int, target double, side tinyint, bins binary, known binary"
 TRAIN, VALID = 0, 1
 SPLIT = "slot int, feature int, cut int, gain double, g double, h double, n double, gl double, hl double, nl double"
 RESIDUAL_BINS = 4096
+TASK_ROWS = 100_000  # rows of a task at least, so that its sums are fewer than its rows
 
 
 @dataclass(frozen=True)
@@ -118,7 +119,8 @@ class Booster:
     """Settings of the growth; ``fit`` fills the rest.
 
     ``least_rows`` and ``least_curvature`` hold for both sides of a split. A row with a missing value goes to
-    the lower side. ``key`` is null or unknown: the row is not learned from, and predicted as null.
+    the lower side. ``key`` is null or unknown: the row is not learned from, and predicted as null. ``allowed`` names
+    the features that a (group, setting) may test, where that is not all of them.
     """
 
     columns: list[str]
@@ -131,6 +133,7 @@ class Booster:
     least_rows: int = 20
     least_curvature: float = 1e-3
     cut_every: int = 10
+    allowed: dict[tuple[str, int], list[str]] = field(default_factory=dict)
     keys: list[str] = field(default_factory=list)
     losses: list = field(default_factory=list)
     trees: list[tuple[Trees, float]] = field(default_factory=list)
@@ -145,7 +148,7 @@ class Booster:
         self.checked = valid is not None
         starts = train.filter(F.col(self.key).isNotNull() & F.col(self.target).isNotNull()).groupBy(self.key).agg(
             F.percentile_approx(F.col(self.target).cast("double"), 0.5, 10_000).alias("middle"),
-            F.max(F.abs(F.col(self.target).cast("double"))).alias("reach")).collect()  # one row per group
+            F.max(F.abs(F.col(self.target).cast("double"))).alias("reach"), F.count(F.lit(1)).alias("n")).collect()  # one row per group
         self.keys = sorted(r[self.key] for r in starts)
         self.edges = edges_of(train, self.columns, self.bins)
         self.start = np.array([r.middle for r in sorted(starts, key=lambda r: r[self.key])], float)
@@ -169,7 +172,8 @@ class Booster:
                      pa.array([v.tobytes() for v in x[keep]], pa.binary()),
                      pa.array([v.tobytes() for v in start[ensemble[keep]]], pa.binary())],
                     names=["model", "target", "side", "bins", "known"])
-        self.rows = stable(both.mapInArrow(write, ROWS))
+        self.parts = max(1, sum(r.n for r in starts) // TASK_ROWS)
+        self.rows = stable(both.mapInArrow(write, ROWS).repartition(self.parts))
         self._written = 0
         return self
 
@@ -212,6 +216,11 @@ class Booster:
         settings, nodes = len(losses), 2 ** level
         slots = len(self.keys) * settings * nodes
         penalty, least_rows, least_curvature = self.penalty, self.least_rows, self.least_curvature
+        may = np.ones((slots, width), bool)
+        for (key, setting), names in self.allowed.items():
+            if key in self.keys:
+                at = (self.keys.index(key) * settings + setting) * nodes
+                may[at:at + nodes] = [c in set(names) for c in self.columns]
 
         def add(batches):
             total = np.zeros((width, 3, slots * most))
@@ -246,7 +255,7 @@ class Booster:
                 open_ = (nl >= least_rows) & (na - nl >= least_rows) & (hl >= least_curvature) & (ha - hl >= least_curvature)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     gain = gl ** 2 / (hl + penalty) + (ga - gl) ** 2 / (ha - hl + penalty) - ga ** 2 / (ha + penalty)
-                gain = np.where(open_, gain, -np.inf)
+                gain = np.where(open_ & may[:, f, None], gain, -np.inf)
                 cut = gain.argmax(axis=1)
                 for s in range(slots):
                     c = int(cut[s])
@@ -261,7 +270,8 @@ class Booster:
 
         sums = self.rows.select("model", "target", "side", "bins", "known").mapInArrow(add, "feature int, sums binary")
         found: dict[int, tuple] = {}
-        for r in sums.repartition("feature").mapInArrow(scan, SPLIT).collect():  # one row per slot and task
+        whole = sums if self.parts == 1 else sums.repartition("feature")  # one task's sums are whole already
+        for r in whole.mapInArrow(scan, SPLIT).collect():  # one row per slot and task
             rank = (r.gain, -r.feature, -r.cut)
             if r.slot not in found or rank > found[r.slot][0]:
                 found[r.slot] = rank, r
@@ -411,6 +421,16 @@ class Booster:
         self.best = self.best_rounds()[:, 0] if valid is not None else np.full(len(self.keys), len(self.trees))
         return self
 
+    def fit_settings(self, train: DataFrame, valid: DataFrame, settings: int, rounds: int = 100, patience: int | None = 80,
+                     loss=Absolute()) -> np.ndarray:
+        """As :meth:`fit` for settings that differ in ``allowed`` only; gives the best rounds per (group, setting)."""
+        self.begin(train, valid)
+        while len(self.trees) < rounds:
+            self.grow(min(self.cut_every, rounds - len(self.trees)), [loss] * settings)
+            if patience is not None and (len(self.trees) - self.best_rounds() >= patience).all():
+                break
+        return self.best_rounds()
+
     # --- use ------------------------------------------------------------------
     def _upto(self, ensemble_rounds: np.ndarray | None) -> np.ndarray:
         return np.full(len(self.keys), len(self.trees)) if ensemble_rounds is None else ensemble_rounds
@@ -487,22 +507,26 @@ class Booster:
     def swap_effects(self, paired: DataFrame, other: str = "other") -> dict[str, dict[str, float]]:
         """Per group the mean absolute change of the prediction when one feature comes from another row.
 
-        ``paired`` holds the key, the features and a struct ``other`` with those of the other row. Only trees that
+        ``paired`` holds the key, the features and a struct ``other`` with some or all of those of the other row. Only trees that
         test a feature are walked again for it, and only by rows whose value changes: the work is rows times
         the features that each tree tests. A feature that no tree tests has no effect.
         """
         ship(paired.sparkSession)
         columns, edges, groups, trees = self.columns, self.edges, len(self.keys), self.trees
+        held = set(paired.schema[other].dataType.names)
+        swapped = [i for i, c in enumerate(columns) if c in held]
         upto = self._upto(getattr(self, "best", None))
         place = {k: i for i, k in enumerate(self.keys)}
-        flat = paired.select(self.key, *columns, *[F.col(f"{other}.`{c}`").alias(f"_other_{i}") for i, c in enumerate(columns)])
+        flat = paired.select(self.key, *columns, *[F.col(f"{other}.`{columns[i]}`").alias(f"_other_{i}") for i in swapped])
 
         def add(batches):
             total, rows = np.zeros((groups, len(columns))), np.zeros(groups)
             for batch in batches:
                 group = np.array([place.get(k, -1) for k in batch.column(0).to_pylist()], np.int64)
                 keep = group >= 0
-                x, o = binned(batch, columns, edges)[keep], binned(batch, [f"_other_{i}" for i in range(len(columns))], edges)[keep]
+                x = binned(batch, columns, edges)[keep]
+                o = x.copy()  # features that are not swapped
+                o[:, swapped] = binned(batch, [f"_other_{i}" for i in swapped], [edges[i] for i in swapped])[keep]
                 group = group[keep]
                 rows += np.bincount(group, minlength=groups)
                 moved: dict[int, np.ndarray] = {}

@@ -6,9 +6,10 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zephyrgrid.models import boosting as Bo
 from zephyrgrid.models import regress as R
 from zephyrgrid.models import selection as Se
 from zephyrgrid.operators import metrics as M
@@ -68,95 +69,161 @@ def make_variant(name: str, **options) -> Variant:
     return VARIANTS[key](**options)
 
 
-def train_trees(train: DataFrame, valid: DataFrame, columns: list[str], target: str):
-    return R.boosted_l1(train, columns, target, None, rounds=5, depth=3)
-
-
-def train_kernel(train: DataFrame, valid: DataFrame, columns: list[str], target: str):
-    return R.KernelBaseline(columns, target, width=16).fit(train)
+def fitted_variants(train: DataFrame, groups: list[str], columns: list[str], target: str, variants: dict[str, dict],
+                    workers: int = 4) -> dict[tuple[str, str], Variant]:
+    """Each variant fitted on the train rows of each group; fits are independent jobs, so a few are in flight at once."""
+    def one(task: tuple[str, str]) -> Variant:
+        group, name = task
+        return make_variant(name, **variants[name]).fit(train.filter(F.col("group") == group), columns, target)
+    tasks = [(g, v) for g in groups for v in variants]
+    with ThreadPoolExecutor(workers) as pool:
+        return dict(zip(tasks, pool.map(one, tasks)))
 
 
-MODELS = {"trees": train_trees, "kernel": train_kernel}
+MODELS = ("trees", "kernel")
+RESULTS = """group string, model_version string, feature_version string, n_features bigint, nmae double, ficr double, score double,
+    mae double, rmse double"""
 
 
 def experiment_matrix(data: DataFrame, groups: list[str], columns: list[str], target: str, variants: dict[str, dict],
-                      models: list[str], workers: int = 4) -> DataFrame:
+                      models: list[str], workers: int = 4, rounds: int = 100, patience: int | None = 80, **booster) -> DataFrame:
     """One result row per group, variant and model.
 
-    ``data`` holds group, split (train or valid), the columns, target (utilisation), actual and
-    capacity. Fits are independent Spark jobs, so a few are in flight at once.
+    ``data`` holds group, split (train or valid), the columns, target (utilisation), actual and capacity. The boosted trees of all
+    groups and variants grow together, as ensembles that may test the features of their variant only.
     """
+    if set(models) - set(MODELS):
+        raise ValueError(f"unknown models; known: {MODELS}")
     spark = data.sparkSession
-
-    def run(task: tuple[str, str]) -> list[tuple]:
-        group, name = task
-        rows = data.filter(F.col("group") == group)
-        train, valid = rows.filter("split = 'train'"), rows.filter("split = 'valid'")
-        variant = make_variant(name, **variants[name]).fit(train, columns, target)
-        ready_train, ready_valid = variant.transform(train), variant.transform(valid)
-        out = []
-        for model in models:
-            fitted = MODELS[model](ready_train, ready_valid, variant.columns, target)
-            scored = R.predicted(fitted, ready_valid, variant.columns)
-            s = M.group_summary(scored, ["group"]).first()
-            out.append((group, model, name, len(variant.columns), s["nmae"], s["ficr"], s["score"], s["mae"], s["rmse"]))
-        return out
-    tasks = [(g, v) for g in groups for v in variants]
-    with ThreadPoolExecutor(workers) as pool:
-        rows = [r for part in pool.map(run, tasks) for r in part]
-    return spark.createDataFrame(rows, """group string, model_version string, feature_version string, n_features bigint,
-        nmae double, ficr double, score double, mae double, rmse double""")
+    fitted = fitted_variants(data.filter("split = 'train'"), groups, columns, target, variants, workers)
+    keep = ["group", "split", "actual", "capacity", target]
+    out = []
+
+    def row(group, model, name, s):
+        return group, model, name, len(fitted[group, name].columns), s["nmae"], s["ficr"], s["score"], s["mae"], s["rmse"]
+
+    if "trees" in models:
+        wide, names = None, list(columns)
+        for group in groups:
+            part = data.filter(F.col("group") == group).select(*keep, *columns)
+            ready = Variant.transform(fitted[group, next(iter(variants))], part)
+            for v in variants:
+                # compressed parts stand beside the columns they come from
+                extra = [c for c in fitted[group, v].columns if c not in columns]
+                if extra:
+                    ready = fitted[group, v].parts.transform(ready, ready.columns)
+                    names += [c for c in extra if c not in names]
+            wide = ready if wide is None else wide.unionByName(ready, allowMissingColumns=True)
+        wide = stable(wide)
+        model = Bo.Booster(names, target, allowed={(g, k): fitted[g, v].columns for g in groups for k, v in enumerate(variants)}, **booster)
+        best = model.fit_settings(wide.filter("split = 'train'"), wide.filter("split = 'valid'"), len(variants), rounds, patience)
+        valid = wide.filter("split = 'valid'")
+        for k, v in enumerate(variants):
+            summary = M.group_summary(model.energy(valid, setting=k, rounds=best[:, k]), ["group"])
+            out += [row(s["group"], "trees", v, s) for s in summary.collect()]  # one row per group
+    if "kernel" in models:
+        def kernel(task: tuple[str, str]) -> tuple:
+            group, name = task
+            rows, variant = data.filter(F.col("group") == group), fitted[task]
+            ready = variant.transform(rows.select(*keep, *columns))
+            line = R.KernelBaseline(variant.columns, target).fit(ready.filter("split = 'train'"))
+            scored = R.predicted(line, ready.filter("split = 'valid'"), variant.columns)
+            return row(group, "kernel", name, M.group_summary(scored, ["group"]).first())
+        with ThreadPoolExecutor(workers) as pool:
+            out += list(pool.map(kernel, fitted))
+    return spark.createDataFrame(out, RESULTS)
+
+
+def normal_noise(index: int, identity: list[str], seed: int = 42) -> Column:
+    """A normal value from the hash of the row's identity, the same however rows are partitioned."""
+    part = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(index), F.lit(k), *identity), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    return F.sqrt(F.log(part(0)) * -2.0) * F.cos(part(1) * (2 * math.pi))
+
+
+def swapped_importance(model: Bo.Booster, df: DataFrame, identity: list[str], seed: int = 42) -> dict[str, dict[str, float]]:
+    """Per group the mean effect on predictions when a feature comes from another row of the group.
+
+    Only features that some tree tests are paired and swapped; the others have no effect.
+    """
+    tested = [c for c in model.columns if any(c in names for names in model.used().values())]
+    if not tested:
+        return {k: dict.fromkeys(model.columns, 0.0) for k in model.keys}
+    paired = Se.shuffled_partner(df.select(*dict.fromkeys([model.key, *identity, *model.columns])), tested, identity, seed, [model.key])
+    return model.swap_effects(paired)
 
 
 def noise_floor_importance(train: DataFrame, valid: DataFrame, columns: list[str], target: str, identity: list[str],
-                           noise: int = 3, seed: int = 42, rounds: int = 10) -> tuple[dict[str, float], float]:
-    """Importance next to random columns, and the best importance a random column reached."""
+                           noise: int = 3, seed: int = 42, rounds: int = 100, **booster) -> tuple[dict[str, dict[str, float]], dict[str, float]]:
+    """Per group the importance next to random columns, and the best importance a random column reached."""
     names = [f"noise_{i}" for i in range(noise)]
-    def normal(i: int):
-        """A normal value from the hash of the row's identity, the same however rows are partitioned."""
-        part = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(i), F.lit(k), *identity), F.lit(1 << 30)) + 0.5) / (1 << 30)
-        return F.sqrt(F.log(part(0)) * -2.0) * F.cos(part(1) * (2 * math.pi))
+    add = lambda df: df.withColumns({n: normal_noise(i, identity, seed) for i, n in enumerate(names)})
+    model = Bo.Booster([*columns, *names], target, **booster).fit(add(train), rounds=rounds)
+    found = swapped_importance(model, add(valid), identity, seed)
+    return ({g: {c: found[g][c] for c in columns} for g in found}, {g: max(found[g][n] for n in names) for g in found})
 
-    add = lambda df, shift: df.withColumns({n: normal(shift + i) for i, n in enumerate(names)})
-    model = R.boosted_l1(add(train, 0), [*columns, *names], target, None, rounds=rounds)
-    found = Se.permutation_importance(model, add(valid, 100), [*columns, *names], identity, seed)
-    return {c: found.get(c, 0.0) for c in columns}, max(found.get(n, 0.0) for n in names)
 
+def search_settlement(tune: DataFrame, audit: DataFrame, train: DataFrame, columns: list[str], target: str, draws: int = 20,
+                      seed: int = 42, warmup: int = 10, steps: int = 10, halve_every: int = 3, **booster) -> DataFrame:
+    """Random (steepness, weight) draws per group; the best on the tune half is judged on the audit half.
 
-def search_settlement(tune: DataFrame, audit: DataFrame, train: DataFrame, columns: list[str], target: str,
-                      draws: int = 3, seed: int = 42, **booster) -> DataFrame:
-    """Random (steepness, weight) draws; the best on the tune half is judged on the audit half."""
+    All draws share the warm-up and advance together, one setting each. After every ``halve_every`` steps a draw
+    goes on only if it is in the better half of some group, so the number of jobs does not grow with the draws.
+    """
     rng = np.random.default_rng(seed)
-    evaluator = R.SettlementEvaluator()
-    tried = []
-    for _ in range(draws):
-        steepness, weight = float(rng.uniform(10, 100)), float(rng.uniform(0.5, 0.95))
-        model = R.SettlementBooster(columns, target, steepness=steepness, weight=weight, seed=seed, **booster).fit(train)
-        tried.append((evaluator.evaluate(R.predicted(model, tune, columns)), steepness, weight, model))
-    best = max(range(len(tried)), key=lambda i: tried[i][0])  # the first of equal scores
-    audited = evaluator.evaluate(R.predicted(tried[best][3], audit, columns))
-    rows = [(s, w, float(t), i == best, float(audited) if i == best else None) for i, (t, s, w, _) in enumerate(tried)]
+    drawn = [(float(rng.uniform(10, 100)), float(rng.uniform(0.5, 0.95))) for _ in range(draws)]
+    model = Bo.settlement_booster(train, None, columns, target, warmup, 0, None, [], **booster)
+    alive, done, scores = list(range(draws)), 0, {}
+    model.grow(min(halve_every, steps), [Bo.Settlement(*d) for d in drawn])
+    while True:
+        done = len(model.trees) - warmup
+        scores = setting_scores(model, tune)
+        if done >= steps:
+            break
+        wanted = set()
+        for g in model.keys:
+            order = sorted(range(len(alive)), key=lambda k: (-scores[g, k], k))
+            wanted |= set(order[:max(1, math.ceil(len(alive) / 2))])
+        if len(wanted) < len(alive):
+            model.keep(sorted(wanted))
+            alive = [alive[k] for k in sorted(wanted)]
+        model.grow(min(halve_every, steps - done), model.losses)
+    audited = setting_scores(model, audit)
+    rows = []
+    for g in model.keys:
+        best = max(range(len(alive)), key=lambda k: (scores[g, k], -k))  # the first of equal scores
+        rows += [(g, *drawn[alive[k]], float(scores[g, k]), k == best, float(audited[g, k]) if k == best else None)
+                 for k in range(len(alive))]
     return tune.sparkSession.createDataFrame(
-        rows, "steepness double, weight double, tune_score double, chosen boolean, audit_score double")
+        rows, "group string, steepness double, weight double, tune_score double, chosen boolean, audit_score double")
+
 
+def setting_scores(model: Bo.Booster, df: DataFrame) -> dict[tuple[str, int], float]:
+    """The score of every group and setting, in one aggregation."""
+    value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("col")))
+    cells = model.transform_settings(df).select("group", "actual", "capacity", F.posexplode("predictions")).withColumn(
+        "pred", value * F.col("capacity"))
+    return {(r["group"], r["pos"]): r["score"] for r in M.group_summary(cells, ["group", "pos"]).collect()}  # groups x settings
 
-def feature_gate(train: DataFrame, valid: DataFrame, base: list[str], extra: list[str], target: str,
-                 gain: float = 0.005, rounds: int = 10) -> tuple[float, float, bool]:
-    """Scores without and with the extra features; they are adopted for a clear gain only."""
-    evaluator = R.SettlementEvaluator()
-    scores = []
-    for columns in (base, [*base, *extra]):
-        model = R.boosted_l1(train, columns, target, None, rounds=rounds)
-        scores.append(evaluator.evaluate(R.predicted(model, valid, columns)))
-    return scores[0], scores[1], scores[1] - scores[0] >= gain
+
+def feature_gate(train: DataFrame, valid: DataFrame, base: list[str], extra: list[str], target: str, gain: float = 0.005,
+                 rounds: int = 100, patience: int | None = 80, **booster) -> DataFrame:
+    """Scores per group without and with the extra features; they are adopted for a clear gain only.
+
+    Both ensembles grow together; one may not test the extra features.
+    """
+    groups = sorted(r[0] for r in train.select("group").distinct().collect())  # plant groups
+    model = Bo.Booster([*base, *extra], target, allowed={(g, 0): base for g in groups}, **booster)
+    best = model.fit_settings(train, valid, 2, rounds, patience)
+    scores = [{r["group"]: r["score"] for r in M.group_summary(model.energy(valid, setting=k, rounds=best[:, k]), ["group"]).collect()}
+              for k in (0, 1)]
+    rows = [(g, float(scores[0][g]), float(scores[1][g]), scores[1][g] - scores[0][g] >= gain) for g in scores[0]]
+    return train.sparkSession.createDataFrame(rows, "group string, score_before double, score_after double, adopt boolean")
 
 
-def gain_table(data: DataFrame, groups: list[str], columns: list[str], target: str, top: int = 20, rounds: int = 10) -> DataFrame:
+def gain_table(data: DataFrame, columns: list[str], target: str, top: int = 20, rounds: int = 100, **booster) -> DataFrame:
     """Importance share per group side by side, the mean over groups, largest first."""
-    shares = {}
-    for g in groups:
-        model = R.boosted_l1(data.filter(F.col("group") == g), columns, target, None, rounds=rounds)
-        shares[g] = R.gain_shares(model, columns)
+    shares = Bo.Booster(columns, target, **booster).fit(data, rounds=rounds).gain_shares()
+    groups = list(shares)
     rows = [(c, *[shares[g][c] for g in groups], float(np.mean([shares[g][c] for g in groups]))) for c in columns]
     schema = "feature string, " + ", ".join(f"{g} double" for g in groups) + ", mean_share double"
     return data.sparkSession.createDataFrame(rows, schema).orderBy(F.col("mean_share").desc(), "feature").limit(top)

@@ -1,4 +1,4 @@
-"""Regressors on MLlib: boosted trees, settlement boosting, kernel features and sequences."""
+"""Regressors on MLlib: forests, kernel features and sequences. Boosted trees are in :mod:`boosting`."""
 
 from __future__ import annotations
 
@@ -7,28 +7,13 @@ import math
 import numpy as np
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zephyrgrid.functions import scalars as S
 from zephyrgrid.models.selection import assemble
 from zephyrgrid.operators import metrics as M
 from zephyrgrid.operators.contracts import clip_between
-from zephyrgrid.session import stable
-
-
-def boosted_l1(train: DataFrame, columns: list[str], target: str, valid: DataFrame | None = None,
-               rounds: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 42):
-    """Boosted trees on absolute error; with validation rows training stops when they stop gaining."""
-    gbt = GBTRegressor(featuresCol="features", labelCol=target, lossType="absolute", maxIter=rounds,
-                       maxDepth=depth, stepSize=rate, seed=seed)
-    rows = train.select(*columns, target)
-    if valid is None:
-        return gbt.fit(assemble(rows, columns))
-    both = rows.withColumn("_valid", F.lit(False)).unionByName(
-        valid.select(*columns, target).withColumn("_valid", F.lit(True)))
-    return gbt.setValidationIndicatorCol("_valid").fit(assemble(both, columns))
 
 
 def forest_importance(train: DataFrame, columns: list[str], target: str, trees: int = 200, depth: int = 5,
@@ -39,11 +24,6 @@ def forest_importance(train: DataFrame, columns: list[str], target: str, trees:
     return dict(zip(columns, model.featureImportances.toArray().tolist()))
 
 
-def gain_shares(model, columns: list[str]) -> dict[str, float]:
-    gains = model.featureImportances.toArray()
-    return dict(zip(columns, (gains / (gains.sum() or 1.0)).tolist()))
-
-
 def predicted(model, df: DataFrame, columns: list[str], capacity: str | None = "capacity", out: str = "pred") -> DataFrame:
     """Predicted utilisation as energy within the capacity, or as it is without one."""
     scored = model.transform(assemble(df, columns)).drop("features")
@@ -53,54 +33,6 @@ def predicted(model, df: DataFrame, columns: list[str], capacity: str | None = "
     return scored.withColumn(out, value).drop("prediction")
 
 
-class SettlementBooster:
-    """L1 trees first, then Newton steps on the smoothed settlement loss.
-
-    Each step fits a tree to -gradient / curvature with the curvature as weight, for its leaves only; the value of
-    a leaf is the Newton step of its rows, -sum(gradient) / (sum(curvature) + penalty), from one aggregation by
-    leaf. The running prediction is a column; writing it out every few steps keeps the plan short.
-    """
-
-    def __init__(self, columns: list[str], target: str, warmup: int = 10, steps: int = 10, depth: int = 4,
-                 rate: float = 0.1, steepness: float = 40.0, weight: float = 0.7, seed: int = 42, cut_every: int = 3,
-                 penalty: float = 1.0):
-        self.columns, self.target, self.warmup, self.steps = columns, target, warmup, steps
-        self.depth, self.rate, self.steepness, self.weight = depth, rate, steepness, weight
-        self.seed, self.cut_every, self.penalty = seed, cut_every, penalty
-
-    def fit(self, train: DataFrame) -> SettlementBooster:
-        self.start = boosted_l1(train, self.columns, self.target, None, self.warmup, self.depth, self.rate, self.seed)
-        rows = assemble(train.select(*self.columns, self.target), self.columns)
-        rows = stable(self.start.transform(rows).withColumnRenamed("prediction", "_f"))
-        self.trees = []
-        tree = DecisionTreeRegressor(featuresCol="features", labelCol="_step", weightCol="_hess",
-                                     maxDepth=self.depth, minWeightFractionPerNode=0.0, seed=self.seed)
-        for step in range(self.steps):
-            gradient, curve = S.settlement_gradient(F.col("_f") - F.col(self.target), self.steepness, self.weight)
-            rows = rows.withColumns({"_hess": curve, "_grad": gradient})
-            model = tree.fit(rows.withColumn("_step", -F.col("_grad") / F.col("_hess"))).setLeafCol("_leaf")
-            leaves = model.transform(rows).groupBy("_leaf").agg(
-                F.sum("_grad").alias("g"), F.sum("_hess").alias("h")).collect()  # at most 2 ** depth rows
-            self.trees.append((model, {r["_leaf"]: -r["g"] / (r["h"] + self.penalty) for r in leaves}))
-            rows = self._move(rows.drop("_grad", "_hess"), *self.trees[-1])
-            if (step + 1) % self.cut_every == 0:
-                rows = stable(rows)
-        return self
-
-    def _move(self, df: DataFrame, model, values: dict[float, float]) -> DataFrame:
-        """Add the step of each row's leaf to the running prediction; an empty leaf adds nothing."""
-        step = F.create_map(*[F.lit(x) for pair in sorted(values.items()) for x in pair])[F.col("_leaf")]
-        return model.transform(df).withColumn("_f", F.col("_f") + F.coalesce(step, F.lit(0.0)) * self.rate).drop(
-            "prediction", "_leaf")
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Expects ``features``; adds ``prediction``."""
-        scored = self.start.transform(df).withColumnRenamed("prediction", "_f")
-        for model, values in self.trees:
-            scored = self._move(scored, model, values)
-        return scored.withColumnRenamed("_f", "prediction")
-
-
 class KernelBaseline:
     """Random Fourier features (Rahimi and Recht, 2007) of an RBF kernel with a Huber line."""
 
@@ -109,18 +41,15 @@ class KernelBaseline:
         self.columns, self.target, self.width, self.epsilon, self.reg = columns, target, width, epsilon, reg
         rng = np.random.default_rng(seed)
         spread = math.sqrt(2 * (gamma or 1.0 / len(columns)))
-        self.waves = rng.normal(0.0, spread, (width, len(columns))).tolist()
-        self.phases = rng.uniform(0.0, 2 * math.pi, width).tolist()
+        waves, phases = rng.normal(0.0, spread, (width, len(columns))), rng.uniform(0.0, 2 * math.pi, width)
+        self.waves = np.c_[waves, phases].tolist()  # the last place of each meets a constant
 
     def _expand(self, df: DataFrame) -> DataFrame:
-        made = []
-        for wave, phase in zip(self.waves, self.phases):
-            angle = F.lit(phase)
-            for c, w in zip(self.columns, wave):
-                mean, std = self.params[c]
-                angle = angle + (F.col(c) - mean) / std * w
-            made.append(F.cos(angle) * math.sqrt(2.0 / self.width))
-        return df.withColumn("features", array_to_vector(F.array(*made)))
+        place = [(F.col(c) - self.params[c][0]) / self.params[c][1] for c in self.columns]
+        scaled = F.array(*[p.cast("double") for p in place], F.lit(1.0))
+        angle = lambda wave: F.aggregate(F.zip_with(scaled, wave, lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+        made = F.transform(F.lit(self.waves), lambda wave: F.cos(angle(wave)) * math.sqrt(2.0 / self.width))
+        return df.withColumn("features", array_to_vector(made))
 
     def fit(self, train: DataFrame) -> KernelBaseline:
         from zephyrgrid.models.selection import population_params

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zephyrgrid.operators import stats
-from zephyrgrid.operators.ordering import exact_quantiles, long_form, numbered
+from zephyrgrid.operators.ordering import average_ranks, exact_quantiles, long_form, numbered
 from zephyrgrid.session import stable
 
 
@@ -97,33 +97,20 @@ class PrincipalParts:
         return parts.select(*keep, *[F.col("_a")[i].alias(n) for i, n in enumerate(self.names)])
 
 
-def shuffled_partner(df: DataFrame, columns: list[str], identity: list[str], seed: int = 42) -> DataFrame:
-    """Each row with the columns of another row, as ``other``: a shift by half in random order.
+def shuffled_partner(df: DataFrame, columns: list[str], identity: list[str], seed: int = 42, keys: list[str] = ()) -> DataFrame:
+    """Each row with the columns of another row of its key, as ``other``: a shift by half in random order.
 
     Positions come from hash slices and are unique, so the self-join has no heavy key and all
     features share it.
     """
+    keys = list(keys)
     digest = F.xxhash64(*[F.col(c) for c in identity], F.lit(seed))
     mixed = df.withColumn("_h", digest)
-    placed = stable(numbered(mixed, [], ["_h", *identity], F.shiftright("_h", 50), position="_p", total="_t").drop("_h"))
+    placed = stable(numbered(mixed, keys, ["_h", *identity], F.shiftright("_h", 50), position="_p", total="_t").drop("_h"))
     half = F.floor(F.col("_t") / 2)
-    other = placed.select(((F.col("_p") + half - 1) % F.col("_t") + 1).alias("_p"),
+    other = placed.select(*keys, ((F.col("_p") + half - 1) % F.col("_t") + 1).alias("_p"),
                           F.struct(*columns).alias("other"))
-    return placed.join(other, "_p").drop("_p", "_t")
-
-
-def permutation_importance(model, df: DataFrame, columns: list[str], identity: list[str],
-                           seed: int = 42) -> dict[str, float]:
-    """Mean absolute change of the prediction when one feature comes from another row."""
-    paired = shuffled_partner(df.select(*dict.fromkeys([*identity, *columns])), columns, identity, seed)
-    base = model.transform(assemble(paired, columns)).withColumnRenamed("prediction", "_base").drop("features")
-    swaps = F.array(*[F.struct(F.lit(c).alias("_f"), F.array(*[
-        (F.col(f"other.{x}") if x == c else F.col(x)).cast("double") for x in columns]).alias("_x")) for c in columns])
-    from pyspark.ml.functions import array_to_vector
-    rows = base.select("_base", F.inline(swaps)).withColumn("features", array_to_vector("_x"))
-    effect = F.avg(F.abs(F.col("prediction") - F.col("_base")))
-    table = model.transform(rows).groupBy("_f").agg(effect.alias("e")).collect()  # one row per feature
-    return {r["_f"]: float(r["e"]) for r in table}
+    return placed.join(other, [*keys, "_p"]).drop("_p", "_t")
 
 
 def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int = 10) -> DataFrame:
@@ -162,8 +149,23 @@ def relevance_is_flat(relevance: dict[str, float], tolerance: float = 1e-6) -> b
     return max(relevance.values()) - min(relevance.values()) <= tolerance
 
 
+def spearman(df: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """(column, spearman): the correlation of average ranks with those of the target, over rows that have both.
+
+    Rows are counted per pair of values first; ranks come from the counted values and meet these counts.
+    """
+    cells = long_form(df, columns, [F.col(target).cast("double").alias("_y")], "column", "_x").dropna(subset=["_x", "_y"])
+    pairs = stable(cells.groupBy("column", "_x", "_y").agg(F.count(F.lit(1)).alias("_c")))
+    side = lambda v, out: average_ranks(pairs.groupBy("column", v).agg(F.sum("_c").alias("_n")), ["column"], v, "_n").select(
+        "column", v, (F.col("rank") - (F.col("n") + 1) / 2.0).alias(out))
+    both = pairs.join(side("_x", "_rx"), ["column", "_x"]).join(side("_y", "_ry"), ["column", "_y"])
+    total = lambda a, b: F.sum(F.col(a) * F.col(b) * F.col("_c"))
+    return both.groupBy("column").agg(
+        F.try_divide(total("_rx", "_ry"), F.sqrt(total("_rx", "_rx") * total("_ry", "_ry"))).alias("spearman"))
+
+
 def normality_checks(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """Fit, moments and outliers per column, with advice on the kind of correlation."""
+    """Fit, moments, outliers and rank correlation per column, with advice on the kind of correlation."""
     cells = long_form(df, columns, [target], "column", "value").filter(F.col("value").isNotNull())
     moments = cells.groupBy("column").agg(
         F.count("value").alias("n"), F.regr_r2(F.col(target), F.col("value")).alias("r2"),
@@ -176,7 +178,7 @@ def normality_checks(df: DataFrame, columns: list[str], target: str) -> DataFram
     # one row of fences per column
     marked = cells.join(F.broadcast(fences), "column").groupBy("column").agg(
         F.sum(outside.cast("bigint")).alias("outliers"), F.first("q1").alias("q1"), F.first("q3").alias("q3"))
-    joined = moments.join(marked, "column")
+    joined = moments.join(marked, "column").join(F.broadcast(spearman(df, columns, target)), "column", "left")  # one row per column
     jb = F.col("n") / 6.0 * (F.col("skew") * F.col("skew") + F.col("kurt") * F.col("kurt") / 4.0)
     normal = (F.col("jarque_bera") < 5.991) & (F.col("outliers") == 0)
     return joined.withColumn("jarque_bera", jb).withColumn(

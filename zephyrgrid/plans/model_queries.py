@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zephyrgrid import constants as K
+from zephyrgrid.models import boosting as Bo
 from zephyrgrid.models import experiments as X
 from zephyrgrid.models import regress as R
 from zephyrgrid.models import selection as Se
@@ -12,48 +18,75 @@ from zephyrgrid.operators import contracts as C
 from zephyrgrid.operators import metrics as M
 from zephyrgrid.operators import series as Sr
 from zephyrgrid.operators import splits as Sp
-from zephyrgrid.operators import stats as Q
-from zephyrgrid.operators.ordering import time_slice
+from zephyrgrid.operators.ordering import exact_quantiles, long_form, time_slice
 from zephyrgrid.plans import bindings as B
 from zephyrgrid.plans import features as Ft
 from zephyrgrid.plans.bindings import rnd, rnds, rounded
 from zephyrgrid.plans.registry import query
-from zephyrgrid.plans.series_queries import SEQ, TS, dataset, weights
-from zephyrgrid.session import stable
+from zephyrgrid.plans.series_queries import DAY, SEQ, TS, weights
+from zephyrgrid.session import new_folder, stable
+from zephyrgrid.sources import store as St
+from zephyrgrid.sources.catalog import file_versions
 
-COLUMNS = ["u10", "v10", "ws10", "air_density", "t2m", "sp", "blws", "ldaps_ws_diff_1h", "ldaps_ws_next3h_max", "doy_cos"]
 TARGET = "utilisation"
 IDENTITY = ["group", TS]
+GROUPS = list(K.GROUPS)
+# labels are sums of order prices; so many units stand for one kWh of the turbines
+UNITS_PER_KWH = 20.0
+ROUNDS, PATIENCE = 100, 80
 _GT = f'"group", {TS}'
-_ready: dict[tuple[str, str], object] = {}
+_ready: dict[tuple, tuple] = {}
+
 
+def model_data(spark, d) -> tuple:
+    """(rows, columns): the features of both sources for every group and stamp, with label, utilisation and split.
 
-def model_rows(spark, d):
-    """Labelled features with a time split, written once for all fits of a session; a capacity per group."""
-    key = (spark.sparkContext.applicationId, d)
+    The split is by time over the labelled stamps; the stamps after the last label are the season to come, ``test``.
+    A missing value is filled by the median of the group's train rows, a feature without any by 0. The capacity of
+    a group is that of its turbines. Written once for all fits of a session, until a file changes.
+    """
+    key = spark.sparkContext.applicationId, d, file_versions(spark, [f"{d}/{t}.parquet" for t in ("lineitem", "orders", "supplier")])
     if key not in _ready:
-        rows = stable(Sp.time_split(dataset(spark, d).select("group", TS, *COLUMNS, "target"), ["group"], [TS],
-                                    slice_by=time_slice(TS)))
-        # only train rows tell the scale of a group and what stands in for a missing value
-        train = rows.filter("split = 'train'")
-        middle = {c: m for c, (m,) in Q.as_dict(Q.medians(train, COLUMNS)).items() if m is not None}
-        tops = train.groupBy("group").agg(F.max("target").cast("double").alias("capacity"))  # one row per group
-        filled = rows.fillna(middle).join(F.broadcast(tops), "group")
-        _ready[key] = stable(filled.withColumns({"actual": F.col("target"), TARGET: F.col("target") / F.col("capacity")}))
+        w = weights(spark, d)
+        sides = [Sr.forecast_ramps(stable(Ft.area_table(s, raw(spark, d), w)), s) for s, raw in (("ldaps", B.ldaps_raw), ("gfs", B.gfs_raw))]
+        both = stable(C.join_by_key(*sides, IDENTITY, "inner"))
+        columns = [c for c in C.feature_columns(both, targets=(*K.GROUPS, "target"))]
+        labels = C.labels_long(B.labels_wide(spark, d))
+        rows = stable(both.select(*IDENTITY, *[F.col(c).cast("double") for c in columns]).join(labels, IDENTITY, "left"))
+        labelled = Sp.time_split(rows.filter("target IS NOT NULL").select(*IDENTITY), ["group"], [TS], slice_by=time_slice(TS))
+        ends = labels.groupBy("group").agg(F.max(TS).alias("_end"))  # one row per group
+        tops = B.turbines(spark, d).groupBy("group").agg((F.sum("cap_kw") * UNITS_PER_KWH).alias("capacity"))
+        season = F.when(F.col(TS) > F.col("_end"), "test")
+        marked = rows.join(labelled, IDENTITY, "left").join(F.broadcast(ends), "group").join(F.broadcast(tops), "group").withColumn(
+            "split", F.coalesce("split", season)).filter("split IS NOT NULL")
+        marked = stable(marked.withColumns({"actual": F.col("target"), TARGET: C.to_utilisation("target", "capacity")}))
+        found = exact_quantiles(long_form(marked.filter("split = 'train'"), columns, ["group"]), ["group", "column"], "value", [0.5])
+        middle = {(r["group"], r["column"]): r["quantile"] for r in found.collect()}  # groups x features
+        fill = spark.createDataFrame([(g, *[float(middle.get((g, c), 0.0)) for c in columns]) for g in GROUPS],
+                                     "group string, " + ", ".join(f"`_m_{c}` double" for c in columns))
+        filled = marked.join(F.broadcast(fill), "group").select(
+            *IDENTITY, "split", "target", "actual", "capacity", TARGET, *[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) for c in columns])
+        _ready[key] = stable(filled), columns
     return _ready[key]
 
 
 def _split(spark, d, group=None):
-    rows = C.select_group(model_rows(spark, d), group)
-    return rows.filter("split = 'train'"), rows.filter("split = 'valid'")
+    """Train rows, validation rows without the first day's worth, and the features."""
+    rows, columns = model_data(spark, d)
+    rows = C.select_group(rows, group)
+    valid = Sp.warmup_trim(rows.filter("split = 'valid'"), ["group"], [TS], slice_by=time_slice(TS))
+    return rows.filter("split = 'train'"), stable(valid), columns
 
 
-def _scores(model, valid, columns=COLUMNS):
-    return M.group_summary(R.predicted(model, valid, columns), ["group"])
+def _importance_rows(spark, values: dict[str, dict[str, float]]):
+    cells = [(g, f, v) for g, found in sorted(values.items()) for f, v in sorted(found.items(), key=lambda x: (-x[1], x[0]))]
+    return spark.createDataFrame(cells, "group string, feature string, importance double")
 
 
-def _importance_rows(spark, values: dict[str, float]):
-    return spark.createDataFrame(sorted(values.items(), key=lambda x: (-x[1], x[0])), "feature string, importance double")
+def _by_group(fit, workers: int = 3) -> dict:
+    """One fit per group; the fits are independent jobs."""
+    with ThreadPoolExecutor(workers) as pool:
+        return dict(zip(GROUPS, pool.map(fit, GROUPS)))
 
 
 # the observations of every order line, for selections that SQL can repeat
@@ -85,78 +118,96 @@ def pca_95(spark, d):
 
 @query("tree_importance")
 def tree_importance(spark, d):
-    train, _ = _split(spark, d)
-    found = R.forest_importance(train, COLUMNS, TARGET, trees=20)
-    keep = Se.top_features(found)
-    return _importance_rows(spark, found).withColumn("keep", F.col("feature").isin(keep))
+    train, _, columns = _split(spark, d)
+    found = _by_group(lambda g: R.forest_importance(train.filter(F.col("group") == g), columns, TARGET))
+    keep = {(g, c) for g in GROUPS for c in Se.top_features(found[g])}
+    kept = spark.createDataFrame(sorted(keep), "group string, feature string").withColumn("keep", F.lit(True))
+    return _importance_rows(spark, found).join(F.broadcast(kept), ["group", "feature"], "left").fillna(False, ["keep"])
 
 
 @query("null_importance")
 def null_importance(spark, d):
-    train, valid = _split(spark, d)
-    found, floor = X.noise_floor_importance(train, valid, COLUMNS, TARGET, IDENTITY, rounds=5)
-    return _importance_rows(spark, found).withColumns({"noise_floor": F.lit(floor), "keep": F.col("importance") > floor})
+    train, valid, columns = _split(spark, d)
+    found, floors = X.noise_floor_importance(train, valid, columns, TARGET, IDENTITY, rounds=20)
+    floor = spark.createDataFrame(sorted(floors.items()), "group string, noise_floor double")
+    return _importance_rows(spark, found).join(F.broadcast(floor), "group").withColumn("keep", F.col("importance") > F.col("noise_floor"))
 
 
 @query("permutation_importance")
 def permutation_importance(spark, d):
-    train, valid = _split(spark, d)
-    model = R.boosted_l1(train, COLUMNS, TARGET, rounds=5)
-    return _importance_rows(spark, Se.permutation_importance(model, valid, COLUMNS, IDENTITY))
+    train, valid, columns = _split(spark, d)
+    model = Bo.Booster(columns, TARGET).fit(train, rounds=20)
+    return _importance_rows(spark, X.swapped_importance(model, valid, IDENTITY))
+
+
+def _fit_rows(spark, model, valid, columns):
+    """The official figures of each group beside the rounds that were best for it."""
+    best = spark.createDataFrame([(g, int(n)) for g, n in zip(model.keys, model.best)], "group string, best_round long")
+    return M.group_summary(model.energy(valid), ["group"]).join(F.broadcast(best), "group").withColumn("n_features", F.lit(len(columns)).cast("long"))
 
 
 @query("newton_boost_ficr")
 def newton_boost_ficr(spark, d):
-    train, valid = _split(spark, d)
-    return _scores(R.SettlementBooster(COLUMNS, TARGET, warmup=3, steps=3, depth=3).fit(train), valid)
+    train, valid, columns = _split(spark, d)
+    return _fit_rows(spark, Bo.settlement_booster(train, valid, columns, TARGET), valid, columns)
 
 
 @query("gbt_l1")
 def gbt_l1(spark, d):
-    train, valid = _split(spark, d)
-    return _scores(R.boosted_l1(train, COLUMNS, TARGET, valid, rounds=8, depth=3), valid)
+    train, valid, columns = _split(spark, d)
+    return _fit_rows(spark, Bo.Booster(columns, TARGET).fit(train, valid, ROUNDS, PATIENCE), valid, columns)
 
 
 @query("refit_full")
 def refit_full(spark, d):
-    train, valid = _split(spark, d)
-    best = R.boosted_l1(train, COLUMNS, TARGET, valid, rounds=8, depth=3).getNumTrees
-    model = R.boosted_l1(train.unionByName(valid), COLUMNS, TARGET, rounds=best, depth=3)
-    test = model_rows(spark, d).select("group", TS, "capacity", *COLUMNS)
-    return R.predicted(model, test, COLUMNS).select("group", TS, "pred")
+    """The season to come, by models of all labelled rows with the rounds that validation found best."""
+    train, valid, columns = _split(spark, d)
+    best = Bo.Booster(columns, TARGET).fit(train, valid, ROUNDS, PATIENCE).best
+    rows, _ = model_data(spark, d)
+    model = Bo.Booster(columns, TARGET).fit(rows.filter("split IN ('train', 'valid')"), rounds=int(best.max()))
+    model.best = best
+    return model.energy(rows.filter("split = 'test'")).select("group", TS, "pred")
 
 
 @query("kernel_baseline")
 def kernel_baseline(spark, d):
-    train, valid = _split(spark, d)
-    return _scores(R.KernelBaseline(COLUMNS, TARGET).fit(train), valid)
+    train, valid, columns = _split(spark, d)
+
+    def fit(group):
+        own = lambda df: df.filter(F.col("group") == group)
+        line = R.KernelBaseline(columns, TARGET).fit(own(train))
+        return M.group_summary(R.predicted(line, own(valid), columns), ["group"])
+    return reduce(DataFrame.unionByName, _by_group(fit).values())
 
 
 @query("sequence_regressor")
 def sequence_regressor(spark, d):
-    rows = model_rows(spark, d)
-    seqs = stable(Sr.sequences(rows, SEQ, TARGET, next_step=True))
-    seqs = R.sequence_features(seqs.join(rows.select("group", TS, "split", "actual", "capacity"), ["group", TS]))
-    from pyspark.ml.regression import LinearRegression
-    model = LinearRegression(featuresCol="features", labelCol="target", loss="huber", regParam=1e-3, maxIter=30).fit(
-        seqs.filter("split = 'train'"))
-    scored = model.transform(seqs.filter("split = 'valid'")).withColumn("pred", C.to_energy("prediction", "capacity"))
-    return M.group_summary(scored, ["group"])
+    """Unbroken histories of a day's worth of stamps, one line per group."""
+    rows, _ = model_data(spark, d)
+    seqs = Sr.sequences(rows, SEQ, TARGET, next_step=True, step_seconds=DAY)
+    seqs = stable(seqs.join(rows.select(*IDENTITY, "split", "actual", "capacity"), IDENTITY))
+    ready = R.sequence_features(seqs)
+
+    def fit(group):
+        own = ready.filter(F.col("group") == group)
+        line = LinearRegression(featuresCol="features", labelCol="target", loss="huber", regParam=1e-3, maxIter=30).fit(own.filter("split = 'train'"))
+        scored = line.transform(own.filter("split = 'valid'")).withColumn("pred", C.to_energy("prediction", "capacity"))
+        return M.group_summary(scored, ["group"])
+    return reduce(DataFrame.unionByName, _by_group(fit).values())
 
 
 @query("experiment_matrix")
 def experiment_matrix(spark, d):
-    variants = {"all": {}, "corr_filtered": {}, "pca": {}, "tree_importance": {"minimum": 4}}
-    rows = model_rows(spark, d).select("group", "split", "actual", "capacity", TARGET, *COLUMNS)
-    return X.experiment_matrix(rows, list(K.GROUPS), COLUMNS, TARGET, variants, ["trees", "kernel"])
+    train, valid, columns = _split(spark, d)
+    return X.experiment_matrix(train.unionByName(valid), GROUPS, columns, TARGET, {v: {} for v in X.VARIANTS}, ["trees", "kernel"], rounds=20)
 
 
 @query("param_search")
 def param_search(spark, d):
-    train, valid = _split(spark, d)
-    halves = stable(Sp.tune_audit(valid, ["group"], [TS], min_audit=1, slice_by=time_slice(TS)))
-    return X.search_settlement(halves.filter("half = 'tune'"), halves.filter("half = 'audit'"), train, COLUMNS, TARGET,
-                               draws=2, warmup=2, steps=2, depth=3)
+    train, valid, columns = _split(spark, d)
+    # a season of daily stamps has fewer rows than the hours that the guard of a short audit half counts
+    halves = stable(Sp.tune_audit(valid, ["group"], [TS], min_audit=K.AUDIT_MINIMUM // 24, slice_by=time_slice(TS)))
+    return X.search_settlement(halves.filter("half = 'tune'"), halves.filter("half = 'audit'"), train, columns, TARGET)
 
 
 _BIN = "least(floor(({c} - (SELECT min({c}) FROM obs)) / ((SELECT max({c}) FROM obs) - (SELECT min({c}) FROM obs)) * 10), 9)"
@@ -178,15 +229,30 @@ def mrmr_select(spark, d):
 
 @query("feature_gate")
 def feature_gate(spark, d):
-    train, valid = _split(spark, d, "kpx_group_1")
-    before, after, adopt = X.feature_gate(train, valid, COLUMNS[:6], COLUMNS[6:], TARGET, rounds=4)
-    return spark.createDataFrame([(before, after, adopt)], "score_before double, score_after double, adopt boolean")
+    """Whether slow and fast parts of wind speed and power density help the features that say most and repeat least."""
+    train, valid, columns = _split(spark, d, "kpx_group_1")
+    rows, _ = model_data(spark, d)
+    own = C.select_group(rows, "kpx_group_1")
+    base = [c for c, _, _ in Se.mrmr(train, [c for c in columns if c not in _flat_columns(train, columns)], TARGET, 40)]
+    extra = []
+    for name in ("ws10", "gfs_ws_hub"):
+        parts = stable(Sr.causal_scales(own.select(*IDENTITY, name), name))
+        added = [f"{name}_scale_{n}" for n in (168, 24, 6, 1)]
+        train, valid = (df.join(parts.select(*IDENTITY, *added), IDENTITY) for df in (train, valid))
+        extra += added
+    return X.feature_gate(stable(train), stable(valid), base, extra, TARGET, patience=PATIENCE)
+
+
+def _flat_columns(df, columns):
+    """Features with one value: they correlate with nothing."""
+    ends = df.agg(*[F.min(c).alias(f"a{i}") for i, c in enumerate(columns)], *[F.max(c).alias(f"b{i}") for i, c in enumerate(columns)]).first()
+    return {c for i, c in enumerate(columns) if ends[f"a{i}"] == ends[f"b{i}"]}
 
 
 @query("gain_table")
 def gain_table(spark, d):
-    train, _ = _split(spark, d)
-    return X.gain_table(train, list(K.GROUPS), COLUMNS, TARGET, rounds=3)
+    train, _, columns = _split(spark, d)
+    return X.gain_table(train, columns, TARGET, rounds=20)
 
 
 _CHECKED = ["v", "t2m", "ws_high"]
@@ -194,15 +260,22 @@ _CHECKED = ["v", "t2m", "ws_high"]
 
 def _checks_sql(c: str) -> str:
     m = lambda p: f"avg(pow({c} - m, {p}))"
-    return f"""SELECT '{c}' AS "column", count({c}) AS n, {rnd(f'pow(corr(u, {c}), 2)')} AS r2, {rnd(f'{m(3)} / pow({m(2)}, 1.5)')} AS skew,
-        {rnd(f'{m(4)} / pow({m(2)}, 2) - 3')} AS kurt, {rnd('any_value(q1)')} AS q1, {rnd('any_value(q3)')} AS q3,
-        CAST(sum(CAST({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1) AS INT)) AS BIGINT) AS outliers
-        FROM obs, (SELECT avg({c}) AS m, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM obs)"""
+    ranked = lambda v: f"rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2e0"
+    return f"""SELECT *, CASE WHEN jb < 5.991e0 AND outliers = 0 THEN 'pearson' ELSE 'spearman' END AS advice,
+        {rnd('jb')} AS jarque_bera, {rnd('s')} AS skew, {rnd('k')} AS kurt FROM (SELECT *, n / 6e0 * (s * s + k * k / 4) AS jb FROM (
+        SELECT '{c}' AS "column", count({c}) AS n, {rnd(f'pow(corr(u, {c}), 2)')} AS r2, {m(3)} / pow({m(2)}, 1.5) AS s,
+        {m(4)} / pow({m(2)}, 2) - 3 AS k, {rnd('any_value(q1)')} AS q1, {rnd('any_value(q3)')} AS q3,
+        CAST(sum(CAST({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1) AS INT)) AS BIGINT) AS outliers,
+        (SELECT {rnd('corr(a, b)')} FROM (SELECT {ranked(c)} AS a, {ranked('u')} AS b FROM obs)) AS spearman
+        FROM obs, (SELECT avg({c}) AS m, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM obs)))"""
+
+
+_CHECKS = ["column", "n", "r2", "skew", "kurt", "q1", "q3", "outliers", "jarque_bera", "spearman", "advice"]
 
 
-@query("pearson_checks", " UNION ALL ".join(_checks_sql(c) for c in _CHECKED))
+@query("pearson_checks", "SELECT " + ", ".join(f'"{c}"' for c in _CHECKS) + " FROM (" + " UNION ALL ".join(_checks_sql(c) for c in _CHECKED) + ")")
 def pearson_checks(spark, d):
-    return rounded(Se.normality_checks(B.obs(spark, d), _CHECKED, "u"), "column", "n", "r2", "skew", "kurt", "q1", "q3", "outliers")
+    return rounded(Se.normality_checks(B.obs(spark, d), _CHECKED, "u"), *_CHECKS)
 
 
 @query("correlation_matrix", f"SELECT a, b, {rnd('r')} AS r FROM pair_corr")
@@ -230,10 +303,9 @@ def source_registry(spark, d):
 
 @query("variant_factory")
 def variant_factory(spark, d):
-    train, _ = _split(spark, d)
-    options = {"tree_importance": {"trees": 5, "minimum": 4}}
-    fitted = {n: X.make_variant(n, **options.get(n, {})).fit(train, COLUMNS, TARGET).columns for n in X.VARIANTS}
-    return spark.createDataFrame([(n, c) for n, cols in fitted.items() for c in cols], "variant string, feature string")
+    train, _, columns = _split(spark, d)
+    fitted = X.fitted_variants(train, GROUPS, columns, TARGET, {n: {} for n in X.VARIANTS})
+    return spark.createDataFrame([(g, n, c) for (g, n), v in fitted.items() for c in v.columns], "group string, variant string, feature string")
 
 
 _BUILT = ["u10", "ws10_3", "ldaps_ws_next3h_max", "gfs_ws_hub", "gfs_wd_rotation", "hour_cos_gfs"]
@@ -244,13 +316,35 @@ _BUILT = ["u10", "ws10_3", "ldaps_ws_next3h_max", "gfs_ws_hub", "gfs_wd_rotation
     CAST(127 AS BIGINT) AS n_features FROM ldaps_ramps l JOIN gfs_ramps g ON l."group" = g."group" AND l.{TS} = g.{TS}
     JOIN labels_long t ON l."group" = t."group" AND l.{TS} = t.{TS}""")
 def dataset_builder(spark, d):
-    w = weights(spark, d)
-    sides = [Sr.forecast_ramps(Ft.area_table(s, raw(spark, d), w), s) for s, raw in (("ldaps", B.ldaps_raw), ("gfs", B.gfs_raw))]
-    built = Ft.build_dataset(*sides, B.labels_wide(spark, d))
+    built = built_dataset(spark, d)
     n = len(Ft.dataset_features(built))
     return rounded(built.select("group", TS, *_BUILT, (F.col("target") / F.lit(1e6)).alias("target"), F.lit(n).alias("n_features")))
 
 
+def built_dataset(spark, d):
+    """The training table of both sources; each area table is written once, as its ramps read it twice."""
+    w = weights(spark, d)
+    sides = [Sr.forecast_ramps(stable(Ft.area_table(s, raw(spark, d), w)), s) for s, raw in (("ldaps", B.ldaps_raw), ("gfs", B.gfs_raw))]
+    return Ft.build_dataset(*sides, B.labels_wide(spark, d))
+
+
+_CACHED = ["u10", "ws10_3", "gfs_ws_hub", "gfs_wd_rotation", "hour_cos_gfs"]
+
+
+@query("dataset_cache", f"""SELECT l."group", CASE WHEN year(l.forecast_kst_dtm) < 1998 THEN 'train' ELSE 'test' END AS split, l.forecast_kst_dtm,
+    {rnd('l.u10')} AS u10, {rnd('l.ws10_3')} AS ws10_3, {rnd('g.gfs_ws_hub')} AS gfs_ws_hub, {rnd('g.gfs_wd_rotation')} AS gfs_wd_rotation,
+    {rnd('g.hour_cos')} AS hour_cos_gfs, {rnd('t.target / 1e6')} AS target FROM ldaps_ramps l JOIN gfs_ramps g ON l."group" = g."group" AND l.forecast_kst_dtm = g.forecast_kst_dtm
+    JOIN labels_long t ON l."group" = t."group" AND l.forecast_kst_dtm = t.forecast_kst_dtm WHERE l."group" <> 'kpx_group_3'""")
+def dataset_cache(spark, d):
+    """The feature tables of all groups and splits, one of them without rows, written and read again."""
+    cache = St.FeatureCache(spark, new_folder(spark, "features"), list(K.GROUPS))
+    split = F.when(F.year("forecast_kst_dtm") < 1998, "train").otherwise("test").alias("split")
+    cache.build(lambda: built_dataset(spark, d).filter(F.col("group") != K.GROUPS[2]).select("*", split))
+    assert cache.is_complete() and not cache.build(lambda: None)
+    rows = reduce(DataFrame.unionByName, [cache.load(g, s) for g in K.GROUPS for s in ("train", "test")])
+    return rounded(rows.select("group", "split", "forecast_kst_dtm", *_CACHED, (F.col("target") / F.lit(1e6)).alias("target")))
+
+
 @query("score_monitor", f"SELECT {rnd('0.5e0 * (1 - avg(nmae)) + 0.5e0 * avg(ficr)')} AS score FROM result_rows WHERE model_name = '2-HIGH'")
 def score_monitor(spark, d):
     rows = B.predictions(spark, d).filter("model_name = '2-HIGH'")
