@@ -51,7 +51,8 @@ def ranked_selection(df: DataFrame, importance: dict[str, float], noise: dict[st
     r = np.abs(correlation(df, alive)) if alive else np.zeros((0, 0))
     kept: list[str] = []
     reason = {c: "noise" for c in importance if c not in place}
-    for c in sorted(alive, key=lambda x: (-importance[x], x)):
+    # equal to twelve places is a tie, which goes by name
+    for c in sorted(alive, key=lambda x: (-round(importance[x], 12), x)):
         twin = next((k for k in kept if r[place[c], place[k]] > threshold), None)
         if twin is None:
             kept.append(c)

@@ -226,14 +226,16 @@ def final_choice(candidates: DataFrame, ensembles: DataFrame, originals: DataFra
                        pick("_t.score", F.col("original_score")).alias("score"))
 
 
-def decide(rows: DataFrame, keys: list[str], on: list[str], hour: str, earlier: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def decide(rows: DataFrame, keys: list[str], on: list[str], hour: str, earlier: DataFrame | None = None,
+           params: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(candidates, blends, choice) for the stored predictions of all models, ``rows`` with their ``half``.
 
     ``keys`` are group and model, ``on`` names a row of a group. The best model of ``earlier`` results (group, model, score), by default of
     the raw scores over all rows, is the original of its group; its raw score on the audit half is the baseline that a decision has to beat.
+    ``params`` are the results of :func:`calibrations`, where they are known already.
     """
     group, model = keys
-    flat, hourly = calibrations(rows.filter("half = 'tune'"), keys, hour)
+    flat, hourly = params or calibrations(rows.filter("half = 'tune'"), keys, hour)
     ready = stable(calibrated_rows(rows, keys, flat, hourly, hour))
     candidates = stable(candidate_audit(ready.filter("half = 'audit'"), keys))
     whole = M.group_summary(rows, keys) if earlier is None else earlier

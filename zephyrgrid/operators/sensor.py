@@ -10,7 +10,7 @@ from zephyrgrid.functions import scalars as S
 from zephyrgrid.operators import flags, series
 from zephyrgrid.operators.contracts import join_turbines
 from zephyrgrid.operators.ordering import BLOCK_ROWS, framed, time_slice
-from zephyrgrid.session import attach
+from zephyrgrid.session import attach, stable
 
 TURBINE_COLUMNS = ["turbine", "group", "model", "cap_kwh10m", "cut_out_ms", "swept_area_m2"]
 
@@ -103,7 +103,11 @@ def group_members(hourly: DataFrame) -> DataFrame:
 
 
 def group_hourly(hourly: DataFrame, groups: list[str] = K.GROUPS) -> DataFrame:
-    """One row per group and hour for every hour seen; a missing member makes the sum null."""
+    """One row per group and hour for every hour seen; a missing member makes the sum null.
+
+    ``hourly`` is written first: it is read for the sums, the hours and the members.
+    """
+    hourly = stable(hourly)
     full = F.col("n_valid") >= K.SAMPLES_PER_HOUR
     sums = hourly.groupBy("group", "hour_end").agg(
         F.count("power_sum_strict").alias("_n_strict"), F.sum("power_sum_strict").alias("_strict"),
@@ -113,7 +117,7 @@ def group_hourly(hourly: DataFrame, groups: list[str] = K.GROUPS) -> DataFrame:
         F.avg("u_mean").alias("scada_u"), F.avg("v_mean").alias("scada_v"))
     hours = hourly.filter(F.col("hour_end").isNotNull()).select("hour_end").distinct()
     wanted = F.explode(F.array(*[F.lit(g) for g in groups])).alias("group")
-    axis = attach(hours.select("hour_end", wanted), group_members(hourly), ["group"], "inner")
+    axis = attach(hours.select("hour_end", wanted), group_members(hourly), ["group"], "inner", counted=len(groups))
     rows = axis.join(sums, ["group", "hour_end"], "left")
     samples = float(K.SAMPLES_PER_HOUR)
     strict = F.when(F.col("_n_strict") == F.col("n_members"), F.col("_strict"))

@@ -115,7 +115,7 @@ def check_weights(weights: DataFrame) -> DataFrame:
 
 def area_means(df: DataFrame, features: list[str], weights: DataFrame, ts: str = "forecast_kst_dtm",
                ranges: dict[str, str] | None = None, first: list[str] = ()) -> DataFrame:
-    """Weighted mean per (stamp, group) of all features: one scan, one shuffle of partial sums.
+    """Weighted mean per (stamp, group) of all features: one scan, one shuffle of the rows as they are.
 
     A point that is absent or null makes the mean null, also where its weight is zero.
     ``ranges`` adds the spread over the points of a stamp as a feature, and ``first`` the first
@@ -126,7 +126,8 @@ def area_means(df: DataFrame, features: list[str], weights: DataFrame, ts: str =
     side = weights.join(points, "group")
     spread = ranges or {}
     needed = list(dict.fromkeys([*features, *spread.values(), *first]))
-    rows = attach(df.select(ts, "grid_id", *needed), side, ["grid_id"], "inner", counted=weights)
+    # dealt by stamp once, the rows meet the groups where their sums are taken
+    rows = attach(df.select(ts, "grid_id", *needed).repartition(ts), side, ["grid_id"], "inner", counted=weights)
     # a null turns its sum into NaN, so one row count serves all features
     total = lambda c: F.sum(F.coalesce(F.col("w") * F.col(c), F.lit(float("nan")))).alias(c)
     known_first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("grid_id"))).alias(c)

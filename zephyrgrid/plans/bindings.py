@@ -288,6 +288,8 @@ def sql(body: str) -> str:
     if not needed:
         return body
     parts = ", ".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in needed)
+    if body.lstrip()[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {parts}, {body.lstrip()[15:]}"
     if body.lstrip()[:5].upper() == "WITH ":
         return f"WITH {parts}, {body.lstrip()[5:]}"
     return f"WITH {parts} {body}"

@@ -508,8 +508,8 @@ def signal_guard(spark, d):
 
 
 @query("submission_checks", """SELECT count(*) AS n_rows, CAST(sum((kpx_group_1 IS NULL)::INT + (kpx_group_2 IS NULL)::INT + (kpx_group_3 IS NULL)::INT) AS BIGINT) AS n_null,
-    CAST(0 AS BIGINT) AS n_negative, CAST(sum((coalesce(kpx_group_1, 0) > 1000000)::INT + (coalesce(kpx_group_2, 0) > 1000000)::INT + (coalesce(kpx_group_3, 0) > 1000000)::INT) AS BIGINT) AS n_above_capacity,
-    TRUE AS varies_kpx_group_1, TRUE AS varies_kpx_group_2, TRUE AS varies_kpx_group_3, (SELECT count(DISTINCT l_shipdate) FROM lineitem) AS n_expected,
+    CAST(sum((coalesce(kpx_group_1, 0) < 0)::INT + (coalesce(kpx_group_2, 0) < 0)::INT + (coalesce(kpx_group_3, 0) < 0)::INT) AS BIGINT) AS n_negative, CAST(sum((coalesce(kpx_group_1, 0) > 1000000)::INT + (coalesce(kpx_group_2, 0) > 1000000)::INT + (coalesce(kpx_group_3, 0) > 1000000)::INT) AS BIGINT) AS n_above_capacity,
+    count(DISTINCT kpx_group_1) > 1 AS varies_kpx_group_1, count(DISTINCT kpx_group_2) > 1 AS varies_kpx_group_2, count(DISTINCT kpx_group_3) > 1 AS varies_kpx_group_3, (SELECT count(DISTINCT l_shipdate) FROM lineitem) AS n_expected,
     TRUE AS columns_equal FROM labels_wide""")
 def submission_checks(spark, d):
     labels = B.labels_wide(spark, d)

@@ -102,12 +102,44 @@ def corr_filter_order(spark, d):
     return spark.createDataFrame([(c,) for c in kept], "feature string")
 
 
-@query("corr_filter_ranked")
+_BIN = "least(floor(({c} - (SELECT min({c}) FROM obs)) / ((SELECT max({c}) FROM obs) - (SELECT min({c}) FROM obs)) * 10), 9)"
+
+
+def _information_sql(columns: list[str], target: str) -> str:
+    joint = " UNION ALL ".join(f"SELECT '{c}' AS feature, {_BIN.format(c=c)} AS x, {_BIN.format(c=target)} AS y, count(*) AS n FROM obs GROUP BY ALL" for c in columns)
+    return f"""SELECT feature, sum(n / t * ln(n * t / (nx * ny))) AS relevance FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY feature) AS DOUBLE) AS t,
+        CAST(sum(n) OVER (PARTITION BY feature, x) AS DOUBLE) AS nx, CAST(sum(n) OVER (PARTITION BY feature, y) AS DOUBLE) AS ny FROM ({joint})) GROUP BY 1"""
+
+
+B.VIEWS["information_u"] = _information_sql(PLAIN[1:], "u")
+B.VIEWS["information_wd"] = _information_sql(PLAIN[:-1], "wd")
+# the greedy walk meets features by importance; those it kept make later ones redundant
+_RANKED = f"""WITH RECURSIVE met AS (SELECT i.feature, i.relevance, row_number() OVER (ORDER BY round(i.relevance, 12) DESC, i.feature) AS i,
+        (SELECT coalesce(list(p.b), []) FROM pair_corr p WHERE p.a = i.feature AND p.a <> p.b AND abs(p.r) > 0.95) AS near FROM information_wd i WHERE i.relevance > 0),
+    walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS kept, CAST(NULL AS VARCHAR) AS feature, CAST(NULL AS VARCHAR) AS twin
+        UNION ALL SELECT m.i, CASE WHEN len(list_filter(w.kept, lambda k: list_contains(m.near, k))) = 0 THEN list_append(w.kept, m.feature) ELSE w.kept END,
+        m.feature, list_filter(w.kept, lambda k: list_contains(m.near, k))[1] FROM walk w JOIN met m ON m.i = w.i + 1),
+    kept AS (SELECT w.feature, sum(f.relevance) OVER (ORDER BY w.i ROWS UNBOUNDED PRECEDING) - f.relevance AS before, sum(f.relevance) OVER () AS whole
+        FROM walk w JOIN information_wd f ON w.feature = f.feature WHERE w.i > 0 AND w.twin IS NULL)
+    SELECT f.feature, {rnd('f.relevance')} AS importance, CASE WHEN w.feature IS NULL THEN 'noise' WHEN w.twin IS NOT NULL THEN 'duplicate(' || w.twin || ')'
+        WHEN k.before / k.whole >= 0.999 THEN 'tail' ELSE 'selected' END AS decision
+    FROM information_wd f LEFT JOIN walk w ON w.feature = f.feature LEFT JOIN kept k ON k.feature = f.feature"""
+_PICKED = f"""WITH RECURSIVE close AS (SELECT map(list(a || '|' || b), list(abs(r))) AS near FROM pair_corr WHERE a <> 'u' AND b <> 'u'),
+    told AS (SELECT map(list(feature), list(relevance)) AS rel, list_sort(list(feature)) AS every FROM information_u),
+    walk AS (SELECT 0 AS i, CAST([] AS VARCHAR[]) AS picked, CAST(NULL AS STRUCT(neg DOUBLE, feature VARCHAR, score DOUBLE)) AS best
+        UNION ALL SELECT i + 1, list_append(picked, best.feature), best FROM (SELECT w.i, w.picked, list_sort(list_transform(
+            list_filter(t.every, lambda f: NOT list_contains(w.picked, f)), lambda f: {{'neg': -round(t.rel[f] - coalesce(list_avg(list_transform(w.picked, lambda k: c.near[f || '|' || k])), 0), 12),
+            'feature': f, 'score': t.rel[f] - coalesce(list_avg(list_transform(w.picked, lambda k: c.near[f || '|' || k])), 0)}}))[1] AS best
+            FROM walk w, close c, told t WHERE w.i < 5))
+    SELECT best.feature AS feature, {rnd('t.rel[best.feature]')} AS relevance, {rnd('best.score')} AS score FROM walk, told t WHERE i > 0"""
+
+
+@query("corr_filter_ranked", _RANKED)
 def corr_filter_ranked(spark, d):
     rows = B.obs(spark, d)
     importance = {r["column"]: r["relevance"] for r in Se.mutual_information(rows, PLAIN[:-1], "wd").collect()}
     report = Se.ranked_selection(rows, importance, noise_floor=0.0, cumulative=0.999)
-    return spark.createDataFrame(report, "feature string, importance double, decision string")
+    return rounded(spark.createDataFrame(report, "feature string, importance double, decision string"))
 
 
 @query("pca_95")
@@ -210,21 +242,15 @@ def param_search(spark, d):
     return X.search_settlement(halves.filter("half = 'tune'"), halves.filter("half = 'audit'"), train, columns, TARGET)
 
 
-_BIN = "least(floor(({c} - (SELECT min({c}) FROM obs)) / ((SELECT max({c}) FROM obs) - (SELECT min({c}) FROM obs)) * 10), 9)"
-_JOINT = " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, {_BIN.format(c=c)} AS x, {_BIN.format(c='u')} AS y, count(*) AS n FROM obs GROUP BY ALL" for c in PLAIN[1:])
-
-
-@query("mutual_information", f"""SELECT feature, {rnd('sum(n / t * ln(n * t / (nx * ny)))')} AS relevance FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY feature) AS DOUBLE) AS t,
-    CAST(sum(n) OVER (PARTITION BY feature, x) AS DOUBLE) AS nx, CAST(sum(n) OVER (PARTITION BY feature, y) AS DOUBLE) AS ny FROM ({_JOINT})) GROUP BY 1""")
+@query("mutual_information", f"SELECT feature, {rnd('relevance')} AS relevance FROM information_u")
 def mutual_information(spark, d):
     return rounded(Se.mutual_information(B.obs(spark, d), PLAIN[1:], "u").withColumnRenamed("column", "feature"))
 
 
-@query("mrmr_select")
+@query("mrmr_select", _PICKED)
 def mrmr_select(spark, d):
     picked = Se.mrmr(B.obs(spark, d), PLAIN[1:], "u", 5)
-    return spark.createDataFrame(picked, "feature string, relevance double, score double")
+    return rounded(spark.createDataFrame(picked, "feature string, relevance double, score double"))
 
 
 @query("feature_gate")
