@@ -54,10 +54,10 @@ def model_data(spark, d) -> tuple:
         labels = C.labels_long(B.labels_wide(spark, d))
         rows = stable(both.select(*IDENTITY, *[F.col(c).cast("double") for c in columns]).join(labels, IDENTITY, "left"))
         labelled = Sp.time_split(rows.filter("target IS NOT NULL").select(*IDENTITY), ["group"], [TS], slice_by=time_slice(TS))
-        ends = labels.groupBy("group").agg(F.max(TS).alias("_end"))  # one row per group
+        end = labels.agg(F.max(TS)).first()[0]  # of all groups: the season begins for all at once
         tops = B.turbines(spark, d).groupBy("group").agg((F.sum("cap_kw") * UNITS_PER_KWH).alias("capacity"))
-        season = F.when(F.col(TS) > F.col("_end"), "test")
-        marked = rows.join(labelled, IDENTITY, "left").join(F.broadcast(ends), "group").join(F.broadcast(tops), "group").withColumn(
+        season = F.when(F.col(TS) > F.lit(end).cast("timestamp_ntz"), "test")
+        marked = rows.join(labelled, IDENTITY, "left").join(F.broadcast(tops), "group").withColumn(
             "split", F.coalesce("split", season)).filter("split IS NOT NULL")
         marked = stable(marked.withColumns({"actual": F.col("target"), TARGET: C.to_utilisation("target", "capacity")}))
         found = exact_quantiles(long_form(marked.filter("split = 'train'"), columns, ["group"]), ["group", "column"], "value", [0.5])
@@ -266,7 +266,7 @@ def feature_gate(spark, d):
         added = [f"{name}_scale_{n}" for n in (168, 24, 6, 1)]
         train, valid = (df.join(parts.select(*IDENTITY, *added), IDENTITY) for df in (train, valid))
         extra += added
-    return X.feature_gate(stable(train), stable(valid), base, extra, TARGET, patience=PATIENCE)
+    return X.feature_gate(stable(train), stable(valid), base, extra, TARGET, rounds=40, patience=20)
 
 
 def _flat_columns(df, columns):
