@@ -38,6 +38,19 @@ def test_same_as_all_pairs(spark, scale, monkeypatch):
     assert run(spark, rows) == brute(rows, 5, lambda q: q % 3 == 0)
 
 
+def test_exact_with_a_far_pivot(spark, monkeypatch):
+    """A vector a million times longer is among the pivots; distances to it hardly tell near copies apart."""
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 200)
+    random = np.random.default_rng(8)
+    rows = [(1000, (1e6 * random.normal(size=8)).tolist())]
+    for g in range(6):
+        centre = random.normal(size=8)
+        rows += [(40 * g + i, (centre + 1e-3 * random.normal(size=8)).tolist()) for i in range(40)]
+    pivots = topk.choose_pivots(topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert 1000 in pivots[8][0]
+    assert run(spark, rows) == brute(rows, 5, lambda q: q % 3 == 0)
+
+
 def test_defined_cases(spark):
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [0.5, 9.0]), (3, None), (6, [None, 1.0]), (9, [float("nan"), 1.0]),
             (12, [float("inf"), 0.0]), (None, [1.0, 1.0]), (15, [0.1, -0.1]), (1, [0.0, 0.0]), (18, [1.0]), (21, [])]

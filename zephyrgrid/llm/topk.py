@@ -96,7 +96,7 @@ def search_block(q: pd.DataFrame, c: pd.DataFrame, k: int, pivots: dict[int, tup
     table = np.array(c["vector"].tolist(), np.int64).reshape(len(c), dim)
     exact = _exact_type(queries, table)
     queries, table = queries.astype(exact), table.astype(exact)
-    near = lambda pdf: np.frombuffer(b"".join(pdf["dist"]), float).reshape(len(pdf), -1).astype(np.float32)
+    near = lambda pdf: np.frombuffer(b"".join(pdf["dist"]), float).reshape(len(pdf), -1)
     q_dist, c_dist = near(q), np.ascontiguousarray(near(c).T)
     q_norm, c_norm = q["norm2"].to_numpy(), c["norm2"].to_numpy()
     q_ids, c_ids = q["vec_id"].to_numpy(), c["vec_id"].to_numpy()
@@ -104,12 +104,14 @@ def search_block(q: pd.DataFrame, c: pd.DataFrame, k: int, pivots: dict[int, tup
     out = {"query_id": [], "vec_id": [], "score": []}
     for start in range(0, len(q), 16):
         rows = range(start, min(start + 16, len(q)))
-        bound = np.zeros((len(rows), len(c)), np.float32)
+        bound = np.zeros((len(rows), len(c)))
         for p in range(len(c_dist)):
-            np.maximum(bound, np.abs(q_dist[rows.start:rows.stop, p, None] - c_dist[p]), out=bound)
+            own = q_dist[rows.start:rows.stop, p, None]
+            # distances are rounded in proportion to their size, which a far pivot makes large
+            np.maximum(bound, np.abs(own - c_dist[p]) - 1e-12 * (own + c_dist[p]), out=bound)
         sizes = q_norm[rows.start:rows.stop, None] + c_norm
-        # the slack covers the rounding of distances
-        upper = (sizes - bound.astype(float) ** 2) / 2 + 1 + 1e-5 * sizes
+        # the slack covers the rounding of norms
+        upper = (sizes - bound ** 2) / 2 + 1 + 1e-5 * sizes
         for i, row in enumerate(rows):
             query = queries[row]
             known = sorted((cut(sum(a * int(b) for a, b in zip(v, query))) for v, j in zip(pivot_vectors, pivot_ids)
