@@ -93,3 +93,13 @@ def test_components_of_a_chain(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(61)) and got[200] == got[150] == got[100] == 100
+
+
+def test_one_row_of_each_component_stays(spark, docs):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    other = "a b c d e f g h i j k l m n"
+    rows = [(None, text)] * 20 + [(None, text + " thirteen")] * 3 + [(7, other), (7, other + " o"), (7, other), (None, other)]
+    rows += [(None, "")] * 2 + [(9, ""), (9, ""), (3, "only this text stands alone here now")]
+    kept = J.keep_one(docs(rows), J.Rule(5, 80, 100)).collect()
+    assert sorted((r.doc_id, r.text[:1]) for r in kept if r.doc_id is not None) == [(3, "o"), (7, "a"), (9, "")]
+    assert sorted(r.text[:3] for r in kept if r.doc_id is None) == ["", "", "one"]

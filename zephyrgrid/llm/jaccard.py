@@ -376,7 +376,10 @@ def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, rul
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id) of every row; see the text of the module."""
+    """(doc_id, text_hash, n_shingles, component_id, root) of every row; see the text of the module.
+
+    ``root`` names the component also where none of its rows has an id; it is null for rows without shingles.
+    """
     ship(docs.sparkSession)
     rows = summaries(docs, rule)
     classes = stable(rows.filter("n > 0").groupBy("key").agg(
@@ -386,10 +389,10 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     named = classes.select("key", "first_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "root", F.coalesce("root", "key"))
     names = stable(named.join(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "root")
-                   .select("key", "component_id"))
+                   .select("key", "component_id", "root"))
     joined = rows.select("doc_id", "text_hash", "n", "key").join(names, "key", "left")
     return joined.select("doc_id", "text_hash", F.col("n").alias("n_shingles"),
-                         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+                         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
 
 
 def report(docs: DataFrame, rule: Rule = Rule(3, 90, 100)) -> DataFrame:
@@ -397,23 +400,27 @@ def report(docs: DataFrame, rule: Rule = Rule(3, 90, 100)) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """One document of each component, that with the smallest id, with all columns; those without shingles stay.
+    """One row of each component, with all columns: the smallest id, rows without one last, then the smallest hash of the text.
 
-    Of rows with the same id and text one stays, of rows with the same smallest id and different texts each.
-    Rows without an id go where a linked row has one. Texts are moved only where the rows to leave out are too
-    many for a broadcast.
+    Rows without shingles stay, but of those with the same id and text one. Texts are moved only where the rows to
+    leave out are too many for a broadcast.
     """
     found = stable(near_duplicates(docs, rule).select(
-        F.col("doc_id").alias("_llm_id"), F.col("text_hash").alias("_llm_hash"),
-        ((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_keep")))
+        F.col("doc_id").alias("_llm_id"), F.col("text_hash").alias("_llm_hash"), F.col("root").alias("_root")))
+    # null comes last in this order, and hashes decide among equal ids
+    place = F.struct(F.col("_llm_id").isNull().alias("x"), F.col("_llm_id").alias("id"), F.col("_llm_hash").alias("hash"))
+    best = found.filter("_root IS NOT NULL").groupBy("_root").agg(F.min(place).alias("_best"))
+    chosen = F.col("_llm_id").eqNullSafe(F.col("_best.id")) & (F.col("_llm_hash") == F.col("_best.hash"))
+    marked = stable(found.join(best, "_root", "left").select(
+        "_llm_id", "_llm_hash", (F.col("_root").isNull() | chosen).alias("_keep"), F.col("_root").isNotNull().alias("_linked")))
     same = docs["doc_id"].eqNullSafe(F.col("_llm_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_llm_hash"))
 
     def where(rows: DataFrame, how: str) -> DataFrame:
         return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, same, how)
 
-    repeated = stable(found.filter("_keep AND _llm_id IS NOT NULL").groupBy("_llm_id", "_llm_hash").count()
+    repeated = stable(marked.filter("_keep AND (_linked OR _llm_id IS NOT NULL)").groupBy("_llm_id", "_llm_hash").count()
                       .filter("count > 1").drop("count"))
-    gone = found.filter("NOT _keep").select("_llm_id", "_llm_hash").distinct().unionByName(repeated)
+    gone = marked.filter("NOT _keep").select("_llm_id", "_llm_hash").distinct().unionByName(repeated)
     kept = where(stable(gone), "left_anti")
     if not repeated.head(1):
         return kept
