@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zephyrgrid.llm.ship import ship
-from zephyrgrid.llm.texts import pieces
+from zephyrgrid.llm.texts import pieces, small_batches
 from zephyrgrid.llm.tokens import encoder
 from zephyrgrid.session import attach, stable
 
@@ -164,6 +164,8 @@ def write(docs: DataFrame, path: str) -> DataFrame:
     ranged = narrow.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn(
         "part", F.spark_partition_id().cast("long"))
 
+    small_batches(docs.sparkSession)
+
     def encode(batches):
         encode_texts = encoder(path).encode
         end = np.array([0], "<u4").tobytes()

@@ -1,9 +1,10 @@
 """Token ids of whole texts by a public tokenizer file, with repeated words encoded once.
 
 Texts are cut into units at places where the tokenizer of the file never joins two sides: around white space.
-The ids of a unit are kept in memory, for all tasks of a worker, up to a fixed number of units, and joined as
-bytes. New units of plain letters are cut into words by the file's own pattern and given to its BPE model; units with other characters,
-or with the text of a special token, go through the whole tokenizer. Ids are 32-bit little-endian integers.
+The units of a batch of texts are numbered first, so that each different one is looked up once, and the ids of all
+are gathered by array operations. Looked-up units are kept in memory, for all tasks of a worker, up to a fixed number. New units of plain letters
+are cut into words by the file's own pattern and given to its BPE model; units with other characters, or with the text
+of a special token, go through the whole tokenizer. Ids are 32-bit little-endian integers.
 """
 
 from __future__ import annotations
@@ -13,17 +14,22 @@ import os
 import re
 import sys
 from array import array
-from functools import cache
 
+import numpy as np
+import pyarrow as pa
 import regex
 
+from zephyrgrid.llm.texts import held
+
 PLAIN = "ſ"  # up to here normal forms, cases and letter classes are the same in all Unicode versions
 CHUNK = 1_000_000
-MEMO_UNITS, MEMO_WORDS = 250_000, 150_000
+MEMO_UNITS, MEMO_WORDS = 500_000, 200_000
+BATCH = 2_000_000  # characters whose units are numbered together
 BREAK = re.compile(r"(?<=\S) (?=\S)")
 SPACED = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
-# a space before white space or the end: there the pieces between single spaces are not units
-UNEVEN = re.compile(r"^[^\S\x1c-\x1f]| (?=[^\S\x1c-\x1f]|\Z)")
+# white space at an end, next to other white space, or other than space and line feed: there the pieces between are not units
+UNEVEN = re.compile(r"^\s|\s\Z|\s\s|[^\S \n]")
+LINE = "\x1e"  # stands before a unit that follows a line feed, in texts that don't hold it
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
 # fixed values: the word patterns that the two kinds of files state or imply
 BYTE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -86,6 +92,7 @@ class Encoder:
         self.library.no_padding()
         self.model = self.library.model
         special = [re.escape(t["content"]) for t in spec["added_tokens"]]
+        self.special = re.compile("|".join(special) or r"(?!)").search
         self.odd = re.compile("|".join([f"[\x1c-\x1f]|[^\x00-{PLAIN}]", *special])).search
         steps = spec["pre_tokenizer"]
         if spec["normalizer"] is None and steps.get("type") == "ByteLevel" and steps["use_regex"] \
@@ -99,7 +106,9 @@ class Encoder:
         self.alphabet = byte_alphabet()
         self.space = chr(self.alphabet[32])
         self.units = Memo(self._unit, MEMO_UNITS)
-        self.later = Memo(lambda unit: self._unit(" " + unit), MEMO_UNITS)  # units that follow a space
+        if self.lower:
+            self.units.make = lambda unit: self._plain(unit.lower(), unit) if unit.isascii() and "<" not in unit else self._unit(unit)
+        self.later = Memo(self._later, MEMO_UNITS)  # units that follow a space or a line feed
         self.words = Memo(self._word, MEMO_WORDS)
 
     def _word(self, word: str) -> bytes:
@@ -111,25 +120,76 @@ class Encoder:
     def _unit(self, unit: str) -> bytes:
         if self.pattern is None or self.odd(unit):
             return pack(self.library.encode(unit, add_special_tokens=False).ids)
-        found = self.pattern.findall(unit.lower() if self.lower else unit)
-        return b"".join(map(self.words.__getitem__, found))
+        unit = unit.lower() if self.lower else unit
+        return self._plain(unit, unit.removeprefix(" "))
+
+    def _plain(self, unit: str, core: str) -> bytes:
+        """The ids of a unit of plain characters; ``core`` is what follows the space before it."""
+        if core.isalpha():  # one word, most often as rare as the unit
+            return self._word(unit)
+        return b"".join(map(self.words.__getitem__, self.pattern.findall(unit)))
+
+    def _later(self, unit: str) -> bytes:
+        if unit[:1] == LINE:
+            return self._unit("\n" + unit[1:])
+        if unit.isascii():  # the text holds no separator and no special token
+            return self._plain(" " + unit, unit)
+        return self._unit(" " + unit)
 
     def _chunk(self, text: str) -> bytes:
-        if self.pattern is None or self.lower and SEPARATORS.search(text):
-            return self._unit(text)
+        if self.pattern is None or self.lower or self.special(text):
+            return pack(self.library.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.units.__getitem__, SPACED.findall(text)))
+
+    def _cut(self, text: str) -> list[str] | None:
+        """The units of a chunk, the first of them without a space before it; None where they are not plain to see."""
+        if self.pattern is None:
+            return None
         if self.lower:
-            return b"".join(map(self.units.__getitem__, text.split()))
-        if UNEVEN.search(text):
-            return b"".join(map(self.units.__getitem__, SPACED.findall(text)))
-        first, *later = text.split(" ")
-        return self.units[first] + b"".join(map(self.later.__getitem__, later))
+            return None if SEPARATORS.search(text) else text.split()
+        if UNEVEN.search(text) or self.special(text):
+            return None
+        return text.replace("\n", " " + LINE).split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes; a null text has none."""
-        return [b"".join([self._chunk(c) for c in chunks(t)]) if t else b"" for t in texts]
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting, size = [], 0
+        for i, text in enumerate(texts):
+            for chunk in chunks(text or ""):
+                units = self._cut(chunk) if chunk else []
+                if units is None:
+                    out[i].append(self._chunk(chunk))
+                    continue
+                waiting.append((i, len(out[i]), units))
+                out[i].append(b"")
+                size += len(chunk)
+                if size >= BATCH:
+                    self._gather(waiting, out)
+                    waiting, size = [], 0
+        self._gather(waiting, out)
+        return [b"".join(parts) for parts in out]
+
+    def _gather(self, waiting: list, out: list[list[bytes]]) -> None:
+        """Fill in the ids of chunks (text, place, units)."""
+        first = 0 if self.lower else 1
+        flat = pa.array([u for _, _, units in waiting for u in units[first:]], pa.string()).dictionary_encode()
+        look = (self.units if self.lower else self.later).__getitem__
+        known = list(map(look, flat.dictionary.to_pylist()))
+        sizes = np.array([len(k) // 4 for k in known], np.int64)
+        starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(known), "<u4")
+        code = flat.indices.to_numpy(zero_copy_only=False)
+        length = sizes[code]
+        ends = np.cumsum(length)
+        total = int(ends[-1]) if len(ends) else 0
+        made = ids[np.repeat(starts[code] - (ends - length), length) + np.arange(total)]
+        counts = np.cumsum([0] + [max(len(units) - first, 0) for _, _, units in waiting])
+        bounds = np.concatenate([[0], ends])[counts]
+        for (i, place, units), a, b in zip(waiting, bounds, bounds[1:]):
+            head = b"" if self.lower or not units else self.units[units[0]]
+            out[i][place] = head + made[a:b].tobytes()
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    """One encoder per worker, so that later tasks find what earlier ones have kept."""
-    return Encoder(path)
+    """One encoder per worker, so that later tasks find what earlier ones have kept, until another operator's task starts."""
+    return held(("encoder", path), lambda: Encoder(path))
