@@ -1,6 +1,8 @@
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,12 +41,68 @@ def test_language_cases(spark):
     kept = langid.reject(labelled(spark).unionByName(df.select("doc_id", "text"), allowMissingColumns=True))
     assert kept.columns == labelled(spark).columns
     ids = {r.doc_id for r in kept.collect()}
-    assert not ids & set() and len(ids) >= 240
+    assert ids >= set(range(240)) and not ids & {r.doc_id for r in kept.filter("text IS NULL OR text = ''").collect()}
+    twice = langid.predict(labelled(spark, 30).union(labelled(spark, 30)))
+    assert twice.count() == 60 and twice.distinct().count() == 30 and langid.predict(labelled(spark).limit(0)).count() == 0
+    long = df.limit(1).withColumn("text", F.repeat(F.lit("der und die "), 100_000))
+    assert langid.identify(long, model, ["doc_id"]).first().lang_pred == "de"
+
+
+def plain_language(rows, texts):
+    """The language and score of texts by dictionaries and loops."""
+    langs = sorted({l for _, l in rows})
+    counts = {}
+    for text, lang in rows:
+        for w in langid.words_of(text):
+            marked = f"^{w}$"
+            keys = [(0, w)] + [(n, marked[i:i + n]) for n in range(1, 6) for i in range(len(marked) - n + 1)]
+            for key in keys:
+                counts.setdefault(key, dict.fromkeys(langs, 0))[lang] += 1
+    whole = {(n, l): sum(c[l] + 0.1 for k, c in counts.items() if k[0] == n) for n in range(6) for l in langs}
+    logs = {k: [math.log((c[l] + 0.1) / whole[k[0], l]) for l in langs] for k, c in counts.items()}
+    floor = min(min(v) for k, v in logs.items() if k[0]) - 5
+    out = []
+    for text in texts:
+        total, words = [0.0] * len(langs), langid.words_of(text)
+        for w in words:
+            marked, score = f"^{w}$", logs.get((0, w))
+            if score is None:
+                spots = []
+                for i in range(len(marked)):
+                    found = next(((5 - n, logs[n, marked[i:i + n]]) for n in range(5, 0, -1)
+                                  if i + n <= len(marked) and (n, marked[i:i + n]) in logs), None)
+                    spots.append([v - found[0] for v in found[1]] if found else [floor] * len(langs))
+                score = [sum(s[l] for s in spots) / len(spots) for l in range(len(langs))]
+            total = [t + s for t, s in zip(total, score)]
+        total = [t / math.sqrt(len(words)) for t in total]
+        best = max(range(len(langs)), key=lambda l: (total[l], -l))
+        out.append((langs[best], 1 / sum(math.exp(t - total[best]) for t in total)))
+    return out
+
+
+def test_same_as_plain_scorer(spark):
+    rows = [(r.text, r.lang) for r in labelled(spark, 60).collect()]
+    texts = ["der lexfrfr und xx", "the notde", "quy zz", "unseenen лес word", "la", "estest dass", "a b c d e f g"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = langid.identify(df, langid.learn(labelled(spark, 60)), ["doc_id"]).orderBy("doc_id").collect()
+    for r, (lang, score) in zip(got, plain_language(rows, texts)):
+        assert (r.lang_pred, r.score) == (lang, pytest.approx(score, rel=1e-4))
+
+
+def test_rare_words_are_counted(spark):
+    rows = [(i, f"die und seltenwort{'abcdefghij'[i]}q", "de") for i in range(10)] + [(20 + i, "the and of", "en") for i in range(10)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.keys[0]) == 15 and model.find(0, langid.word_keys(["seltenwortcq", "the", "thee"]))[1].tolist() == [True, True, False]
 
 
 def test_shorter_grams_are_tried_last():
-    import pandas as pd
-    model = langid.Model(["a", "b"], pd.DataFrame({"lang": ["a", "b"], "word": ["abcdef", "uvwxyz"], "n": [5, 5]}))
+    codes, owner = langid._codes(["abcdef", "uvwxyz"])
+    found = {}
+    for n in range(1, 6):
+        keys, inside = langid._grams(codes, owner, n)
+        known, index = np.unique(keys[inside], return_inverse=True)
+        found[n] = known, np.stack([np.bincount(index, 5.0 * (owner[inside] == l), len(known)) for l in (0, 1)], 1)
+    model = langid.Model(["a", "b"], found)
     scores = model.unseen(["abcdez", "uvwxya", "q"])
     assert scores[0, 0] > scores[0, 1] and scores[1, 1] > scores[1, 0] and scores[2, 0] == scores[2, 1]
 
@@ -108,10 +166,11 @@ def test_terms_that_disclose(spark, docs):
     rows += [(10 + i, f"please ask about the plain weather number {'abcdefghijklmnop'[i]}") for i in range(15)]
     rows += [(40, "Mustermann was here"), (41, None), (42, ""), (42, "")]
     got = {r.doc_id: r for r in pii.report(docs(rows)).collect()}
-    assert got[0].n_email == 1 and got[0].spans.count("term") == 1 and got[40].spans == "term:0:10"
+    # "line" and the name are in exactly the texts that hold the entity, anywhere in them
+    assert got[0].n_email == 1 and got[0].spans == "email:29:52,term:0:4,term:18:28" and got[40].spans == "term:0:10"
     assert all(got[i].spans == "" for i in (10, 41, 42))
     clean = {r.doc_id: r for r in pii.sanitise(docs(rows)).collect()}
-    assert clean[0].text == "line 0\nplease ask [TERM] [EMAIL] about worda" and clean[0].n_chars == len(clean[0].text)
+    assert clean[0].text == "[TERM] 0\nplease ask [TERM] [EMAIL] about worda" and clean[0].n_chars == len(clean[0].text)
     assert clean[41].text is None and clean[42].text == "" and clean[10].text == rows[5][1]
     assert pii.sanitise(docs(rows)).columns == docs(rows).columns and pii.sanitise(docs(rows)).count() == len(rows)
     assert pii.report(docs([])).count() == 0

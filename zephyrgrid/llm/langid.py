@@ -1,7 +1,7 @@
 """Language identification: known words by frequency, unseen words by backoff to character n-grams.
 
-The model holds log frequencies per language of words and of character n-grams of lengths 1 to 5, counted over
-a bounded sample of labelled documents. A word of the model scores its log frequency in each language. An
+The model holds log frequencies per language of words and of character n-grams of lengths 1 to 5, counted over all
+words of a bounded sample of labelled documents, which is read once. Words and n-grams are 64-bit keys, sorted, with a row of 32-bit numbers each. A word of the model scores its log frequency in each language. An
 unseen word scores, at each of its positions, the longest n-gram that the model knows; shorter n-grams
 are tried only where the longer one is unknown, and each step down costs a constant.
 
@@ -13,21 +13,22 @@ are read whole. Rows without an id are predicted but not learned from. Other col
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zephyrgrid.llm.ship import ship
-from zephyrgrid.llm.texts import map_texts
+from zephyrgrid.llm.texts import let_go, map_texts, pieces, small_batches
 
 SAMPLE_DOCS = 4000  # labelled documents per language that counts are taken from, in expectation
-MOST_WORDS = 25_000  # words per language in the model
 GRAM = 5
 STEP_DOWN = -1.0
 WORDS = re.compile(r"[^\W\d_]+")
-MEMO = 300_000
+MEMO = 200_000
+HELD_WORDS = 200_000  # words that a task counts before it passes them on
 
 
 def remainder(doc_id: Column, divisor: int) -> Column:
@@ -67,32 +68,51 @@ def _grams(codes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np
     return keys * np.uint64(8) + np.uint64(n), inside
 
 
+def word_keys(words: list[str]) -> np.ndarray:
+    """A 64-bit key of each whole word."""
+    codes, owner = _codes(words)
+    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(codes) else np.zeros(0, int)
+    place = np.arange(len(codes)) - starts[owner] if len(codes) else np.zeros(0, int)
+    powers = np.cumprod(np.full(place.max(initial=0) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    mixed = (codes + np.uint64(7)) * powers[place]
+    keys = np.add.reduceat(mixed, starts) if len(codes) else np.zeros(0, np.uint64)
+    return keys ^ (keys >> np.uint64(29))
+
+
 class Model:
-    """Log frequencies: ``words`` maps a word to its row in ``table``; n-grams are sorted keys with rows."""
+    """Log frequencies: sorted keys with rows, of words at size 0 and of n-grams at their size."""
 
-    def __init__(self, langs: list[str], counts: pd.DataFrame):
+    def __init__(self, langs: list[str], found: dict[int, tuple[np.ndarray, np.ndarray]]):
         self.langs = langs
-        place = {l: i for i, l in enumerate(langs)}
-        names, rows = pd.factorize(counts["word"])[::-1] if len(counts) else ([], np.zeros(0, int))
-        table = np.zeros((len(names), len(langs)))
-        np.add.at(table, (rows, counts["lang"].map(place).to_numpy(int)), counts["n"].to_numpy(float))
-        self.words = {w: i for i, w in enumerate(names)}
-        self.table = self._log(table)
-        codes, owner = _codes(list(names))
         self.keys, self.rows = [], []
-        for n in range(1, GRAM + 1):
-            keys, inside = _grams(codes, owner, n)
-            known, index = np.unique(keys[inside], return_inverse=True)
-            grams = np.zeros((len(known), len(langs)))
-            for l in range(len(langs)):
-                grams[:, l] = np.bincount(index, table[owner[inside], l], len(known))
-            self.keys.append(known)
-            self.rows.append(self._log(grams))
-        self.unknown = np.full(len(langs), min([t.min() for t in self.rows if t.size] or [0.0]) + STEP_DOWN * GRAM)
+        for size in range(GRAM + 1):
+            keys, counts = found.get(size, (np.zeros(0, np.uint64), np.zeros((0, len(langs)))))
+            order = np.argsort(keys)
+            self.keys.append(keys[order])
+            self.rows.append(self._log(counts[order]))
+        self.unknown = np.full(len(langs), min([t.min() for t in self.rows[1:] if t.size] or [0.0]) + STEP_DOWN * GRAM)
+
+    def find(self, size: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of keys, and which of them the model holds."""
+        known = self.keys[size]
+        if not len(known):
+            return np.zeros(len(keys), int), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return at, known[at] == keys
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """Scores of words, known or not."""
+        at, known = self.find(0, word_keys(words))
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        out[known] = self.rows[0][at[known]]
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            out[fresh] = self.unseen([words[i] for i in fresh])
+        return out
 
     @staticmethod
     def _log(counts: np.ndarray) -> np.ndarray:
-        smooth = counts + 0.1
+        smooth = counts.astype(float) + 0.1
         return np.log(smooth / smooth.sum(0)).astype(np.float32) if counts.size else counts.astype(np.float32)
 
     def unseen(self, words: list[str]) -> np.ndarray:
@@ -103,11 +123,8 @@ class Model:
         for down, n in enumerate(range(GRAM, 0, -1)):
             keys, inside = _grams(codes, owner, n)
             todo = np.flatnonzero(open_ & inside)
-            if not len(self.keys[n - 1]):
-                continue
-            at = np.minimum(np.searchsorted(self.keys[n - 1], keys[todo]), len(self.keys[n - 1]) - 1)
-            hit = self.keys[n - 1][at] == keys[todo]
-            scores[todo[hit]] = self.rows[n - 1][at[hit]] + STEP_DOWN * down
+            at, hit = self.find(n, keys[todo])
+            scores[todo[hit]] = self.rows[n][at[hit]] + STEP_DOWN * down
             open_[todo[hit]] = False
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         return np.add.reduceat(scores, starts, axis=0) / np.diff(np.r_[starts, len(codes)])[:, None]
@@ -121,7 +138,7 @@ class Scorer:
         self._start()
 
     def _start(self) -> None:
-        self.memo, self.parts = dict(self.model.words), [self.model.table]
+        self.memo, self.parts = {}, [np.zeros((0, len(self.model.langs)), np.float32)]
 
     def scores(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         langs = self.model.langs
@@ -130,13 +147,13 @@ class Scorer:
         full = [i for i, w in enumerate(split) if w and has_letter(texts[i], w)]
         if not langs or not full:
             return named.tolist(), sure
-        if len(self.memo) > MEMO + len(self.model.words):
+        if len(self.memo) > MEMO:
             self._start()
         fresh = list(set().union(*[split[i] for i in full]).difference(self.memo))
         if fresh:
             size = sum(map(len, self.parts))
             for at in range(0, len(fresh), 20_000):
-                self.parts.append(self.model.unseen(fresh[at:at + 20_000]).astype(np.float32))
+                self.parts.append(self.model.of_words(fresh[at:at + 20_000]))
             self.memo.update(zip(fresh, range(size, size + len(fresh))))
             self.parts = [np.concatenate(self.parts)]
         for i in full:
@@ -147,34 +164,64 @@ class Scorer:
         return named.tolist(), sure
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most_words: int = MOST_WORDS) -> Model:
-    """Count words per language over a bounded sample of ``docs`` (doc_id, text, lang), whole texts each.
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+    """Count words and n-grams per language over a bounded sample of ``docs`` (doc_id, text, lang), whole texts each.
 
     A document is in the sample by the hash of its id; each language has about ``sample_docs`` of them,
-    all where it has fewer. Counting is distributed; the driver receives the model only.
+    all where it has fewer. Counting is distributed, over all words of the sample; the driver receives the model only.
     """
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     labelled = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], pd.DataFrame({"lang": [], "word": [], "n": []}))
+        return Model([], {})
     share = F.create_map(*[F.lit(x) for l in langs for x in (l, min(1.0, sample_docs / sizes[l]))])
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(1_000_000) * share[F.col("lang")]
+    names = [f"n{i}" for i in range(len(langs))]
+    columns = ", ".join(f"{n} long" for n in names)
+
+    place = {l: i for i, l in enumerate(langs)}
+
+    def table_of(words: list[str], counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array(c) for c in counts.T]], names=["word", *names])
 
     def count(batches):
-        for pdf in batches:
-            for lang, texts in pdf.groupby("lang")["text"]:
-                found = pd.Series([w for t in texts for w in words_of(t)], dtype=object).value_counts()
-                yield pd.DataFrame({"lang": lang, "word": found.index, "n": found.to_numpy()})
-
-    counts = (labelled.filter(drawn).select("lang", "text").mapInPandas(count, "lang string, word string, n long")
-              .groupBy("lang", "word").agg(F.sum("n").alias("n")).filter("n > 1"))
-    most = [counts.filter(F.col("lang") == l).orderBy(F.desc("n"), "word").limit(most_words) for l in langs]
-    table = most[0]
-    for more in most[1:]:
-        table = table.unionByName(more)
-    return Model(langs, table.toPandas().sort_values(["lang", "word"], ignore_index=True))
+        let_go(all_kept=True)
+        found: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
+                    for word, n in Counter(words_of(text)).items():
+                        if word not in found:
+                            found[word] = np.zeros(len(langs), np.int64)
+                        found[word][place[lang]] += n
+                if len(found) >= HELD_WORDS:
+                    yield table_of(list(found), np.stack(list(found.values())))
+                    found = {}
+        if found:
+            yield table_of(list(found), np.stack(list(found.values())))
+
+    def keyed(batches):
+        let_go(all_kept=True)
+        for batch in batches:
+            words, counts = batch.column(0).to_pylist(), np.stack([batch.column(n).to_numpy() for n in names], 1).astype(float)
+            codes, owner = _codes(words)
+            for size in range(GRAM + 1):
+                keys, inside = _grams(codes, owner, size) if size else (word_keys(words), np.ones(len(words), bool))
+                known, index = np.unique(keys[inside], return_inverse=True)
+                of = counts[owner[inside]] if size else counts
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(known), size, np.int32)), pa.array(known.view(np.int64)), *[
+                    pa.array(np.bincount(index, of[:, i], len(known)).astype(np.int64)) for i in range(len(names))]], names=["size", "key", *names])
+        let_go()
+
+    sums = [F.sum(n).alias(n) for n in names]
+    words = labelled.filter(drawn).select("lang", "text").mapInArrow(count, f"word string, {columns}").groupBy("word").agg(*sums)
+    table = words.mapInArrow(keyed, f"size int, key long, {columns}").groupBy("size", "key").agg(*sums).toArrow()
+    size, key = table.column("size").to_numpy(), table.column("key").to_numpy().view(np.uint64)
+    counts = np.stack([table.column(n).to_numpy() for n in names], 1).astype(np.float32)
+    return Model(langs, {n: (key[size == n], counts[size == n]) for n in range(GRAM + 1)})
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
