@@ -61,7 +61,7 @@ def stored(models: dict[str, Bo.Booster], kernel: DataFrame, rows: DataFrame, ro
     return rows.sparkSession.read.parquet(root).withColumn("hour", F.hour(TS))
 
 
-def season(spark, d, rounds: int = 40, patience: int = 20, audit_rows: int = 100) -> tuple[DataFrame, DataFrame]:
+def season(spark, d, rounds: int = 20, patience: int = 20, audit_rows: int = 100) -> tuple[DataFrame, DataFrame]:
     """(submission, choice): energy of every group and stamp of the season to come, and what each group's values come from."""
     rows, columns = model_data(spark, d)
     train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
