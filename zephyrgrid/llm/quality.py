@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from zephyrgrid.llm.bitmap import in_bitmap
 from zephyrgrid.llm.langid import held_out, remainder
 from zephyrgrid.llm.texts import map_texts
 from zephyrgrid.session import stable
@@ -175,10 +176,11 @@ def predict(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataF
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Documents that score at least ``threshold``, with their columns.
 
-    Texts are read twice and not moved: once for the statistics of labelled rows, once for the scores.
+    Texts are read twice and not moved: once for the statistics of rows that may be labelled, as a bitmap of the labels' ids
+    tells, once for the scores.
     """
-    known = labels.select("doc_id").distinct()
-    sample = measured(docs.select("doc_id", "text").join(known, "doc_id", "left_semi"), ["doc_id"])
-    model = fit(labelled(sample, labels))
+    entry = F.xxhash64("doc_id").alias("entry")
+    known = in_bitmap(docs.filter("doc_id IS NOT NULL").select("doc_id", "text", entry), labels.filter("doc_id IS NOT NULL").select(entry))
+    model = fit(labelled(stable(measured(known, ["doc_id"])), labels))
     marked = scored(measured(docs, docs.columns), model, "_llm_score")
     return marked.filter(F.col("_llm_score") >= threshold).select(*docs.columns)
