@@ -133,3 +133,34 @@ def test_pieces_and_sequences(spark, docs):
     assert [r.start for r in long] == list(range(0, len(ids), 16))
     assert all(r.length == len(r.ids) // 4 <= 16 for r in packing.sequences(packed).collect())
     assert packing.pack(packing.token_pieces(docs([]), path)).count() == 0
+
+def test_units_and_merges_of_a_batch_are_the_library():
+    """Different units of one batch are encoded together, words of all lengths too, whatever the memo keeps."""
+    r = random.Random(9)
+    letters = "abcdeè'ÀÉİŸſßñ×÷ªZ.,-<_09\x00\x7f"
+    words = ["".join(r.choice(letters) for _ in range(n)) for n in [*range(1, 60)] * 8] + ["aaaa" * 30, "I'LL", "they're'", "'tis", "12345", "a\x1db"]
+    texts = [(" " if i % 3 else "\n").join(r.sample(words, 25)) for i in range(60)] + words + ["", None, "x" * 300]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        whole = Tokenizer.from_file(public_tokenizers.path(name))
+        want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+        encoder = tokens.Encoder(public_tokenizers.path(name))
+        for low in (0, 20, 0, 0):
+            made = encoder.encode(texts[low:])
+            assert [np.frombuffer(m, "<u4").tolist() for m in made] == want[low:]
+
+
+def test_memo_stays_small(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_UNITS", 50)
+    encoder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for i in range(30):
+        text = " ".join(f"word{j}" for j in range(i * 7, i * 7 + 20))
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library("byte_bpe_50k.json", text)
+        assert len(encoder.units) == len(encoder.ids) <= 50
+
+
+def test_words_of_all_alphabets_use_merges(monkeypatch):
+    """No word of Latin letters costs a call of the file's model."""
+    encoder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(encoder, "_word", lambda word: pytest.fail(f"{word} went through the model"))
+    text = "Größe, naïveté (Çok) it's 12.5% ÀÉÎ"
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library("word_bpe_49k.json", text)

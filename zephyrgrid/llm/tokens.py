@@ -1,10 +1,11 @@
-"""Token ids of whole texts by a public tokenizer file, with repeated words encoded once.
+"""Token ids of whole texts by a public tokenizer file, with the units of a batch encoded together.
 
 Texts are cut into units at places where the tokenizer of the file never joins two sides: around white space.
 The units of a batch of texts are numbered first, so that each different one is looked up once, and the ids of all
-are gathered by array operations. Looked-up units are kept in memory, for all tasks of a worker, up to a fixed number. New units of plain letters
-are cut into words by the file's own pattern and given to its BPE model; units with other characters, or with the text
-of a special token, go through the whole tokenizer. Ids are 32-bit little-endian integers.
+are gathered by array operations. The ids of units are kept in memory, for all tasks of a worker, up to a fixed number. New units
+of ASCII and Latin letters are cut into words by the classes of their bytes, others of plain letters by the file's own pattern, and
+all their words go through the merges of the file together. Units with other characters, or with the text of a special token,
+go through the whole tokenizer. Ids are 32-bit little-endian integers.
 """
 
 from __future__ import annotations
@@ -17,31 +18,27 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+from zephyrgrid.llm.merges import LONGEST, Merges, byte_alphabet, plain
 from zephyrgrid.llm.texts import held
 
 PLAIN = "ſ"  # up to here normal forms, cases and letter classes are the same in all Unicode versions
 CHUNK = 1_000_000
-MEMO_UNITS, MEMO_WORDS = 500_000, 200_000
+MEMO_UNITS = 200_000
 BATCH = 2_000_000  # characters whose units are numbered together
 BREAK = re.compile(r"(?<=\S) (?=\S)")
 SPACED = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
-# white space at an end, next to other white space, or other than space and line feed: there the pieces between are not units
-UNEVEN = re.compile(r"^\s|\s\Z|\s\s|[^\S \n]")
-LINE = "\x1e"  # stands before a unit that follows a line feed, in texts that don't hold it
-SEPARATORS = re.compile(r"[\x1c-\x1f]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+# white space next to other white space, or other than space and line feed: there the pieces between are not units
+UNEVEN = ["  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n")]
+# stand before a unit at the start, after a line feed or after a space, in texts that don't hold them
+FIRST, LINE, SPACE = "\x1d", "\x1e", "\x1f"
 # fixed values: the word patterns that the two kinds of files state or imply
 BYTE_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def byte_alphabet() -> dict[int, int]:
-    """The printable character that stands for each byte in the vocabulary of a byte-level file."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
-
-
 def chunks(text: str):
     """Pieces of about ``CHUNK`` characters; a tokenizer gives the same ids for them as for the whole."""
     at = 0
@@ -61,22 +58,20 @@ def pack(ids: list[int]) -> bytes:
     return made.tobytes()
 
 
-class Memo(dict):
-    """Values made on demand; of those not used since the memo was last full, only one generation is kept."""
+def classes(digits: bool) -> np.ndarray:
+    """The class of each byte of ASCII: letters, digits, white space, other characters; 0 for the apostrophe and all that is not ASCII.
+
+    A run of one class is a word. Without ``digits`` every digit is a word of its own.
+    """
+    out = np.zeros(256, np.uint8)
+    for b in range(128):
+        c = chr(b)
+        out[b] = 1 if c.isalpha() else (2 if digits else 3) if c.isdigit() else 4 if c.isspace() else 5
+    out[ord("'")] = 0
+    return out
 
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
 
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+ALONE = 3
 
 
 class Encoder:
@@ -102,54 +97,137 @@ class Encoder:
                 "NFC", "Replace", "Lowercase"]:
             self.lower, self.pattern = True, regex.compile(steps["pretokenizers"][0]["pattern"]["Regex"])
         else:
-            self.pattern = None
+            self.lower, self.pattern = False, None
         self.alphabet = byte_alphabet()
-        self.space = chr(self.alphabet[32])
-        self.units = Memo(self._unit, MEMO_UNITS)
+        self.merges = Merges(spec["model"]) if self.pattern and plain(spec["model"]) else None
+        self.special_texts = [t["content"] for t in spec["added_tokens"]]
+        self.classes = classes(digits=not self.lower)
+        self.may_be_special = np.isin(np.arange(256), [t.encode()[0] for t in self.special_texts if t])
+        self.bytes = np.arange(256, dtype=np.uint8)
         if self.lower:
-            self.units.make = lambda unit: self._plain(unit.lower(), unit) if unit.isascii() and "<" not in unit else self._unit(unit)
-        self.later = Memo(self._later, MEMO_UNITS)  # units that follow a space or a line feed
-        self.words = Memo(self._word, MEMO_WORDS)
+            self.bytes[65:91] += 32
+        else:
+            self.bytes[[ord(LINE), ord(SPACE)]] = 10, 32
+        # letters of two bytes, in lower case if the file wants it; 0 for others
+        letters = [chr(c).lower() if self.lower else chr(c) for c in range(0x180)]
+        self.of_code = np.array([ord(c) if i >= 0xC0 and len(c) == 1 and c.isalpha() else 0 for i, c in enumerate(letters)])
+        self.units, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
 
     def _word(self, word: str) -> bytes:
-        # printable ASCII stands for itself
-        shown = word.replace(" ", self.space) if word.isascii() and word.isprintable() \
-            else word.encode().decode("latin-1").translate(self.alphabet)
-        return pack([t.id for t in self.model.tokenize(shown)])
-
-    def _unit(self, unit: str) -> bytes:
-        if self.pattern is None or self.odd(unit):
-            return pack(self.library.encode(unit, add_special_tokens=False).ids)
-        unit = unit.lower() if self.lower else unit
-        return self._plain(unit, unit.removeprefix(" "))
-
-    def _plain(self, unit: str, core: str) -> bytes:
-        """The ids of a unit of plain characters; ``core`` is what follows the space before it."""
-        if core.isalpha():  # one word, most often as rare as the unit
-            return self._word(unit)
-        return b"".join(map(self.words.__getitem__, self.pattern.findall(unit)))
-
-    def _later(self, unit: str) -> bytes:
-        if unit[:1] == LINE:
-            return self._unit("\n" + unit[1:])
-        if unit.isascii():  # the text holds no separator and no special token
-            return self._plain(" " + unit, unit)
-        return self._unit(" " + unit)
+        return pack([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))])
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        """The ids of units as they stand in their texts."""
+        cut: list[list[str] | bytes] = [
+            pack(self.library.encode(unit, add_special_tokens=False).ids) if self.pattern is None or self.odd(unit)
+            else self.pattern.findall(unit.lower() if self.lower else unit) for unit in units]
+        words = list(dict.fromkeys(w for found in cut if isinstance(found, list) for w in found))
+        made = dict(zip(words, self._words(words)))
+        return [b"".join(map(made.__getitem__, found)) if isinstance(found, list) else found for found in cut]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        raw = [w.encode() for w in words]
+        if self.merges is None or not raw:
+            return list(map(self._word, words))
+        if max(map(len, raw)) > LONGEST:
+            short = iter(self._words([w for w, r in zip(words, raw) if len(r) <= LONGEST]))
+            return [next(short) if len(r) <= LONGEST else self._word(w) for w, r in zip(words, raw)]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        ids, lengths = self.merges.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes, sizes)
+        flat, ends = ids.tobytes(), (4 * np.cumsum(lengths)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, units: pa.Array) -> pa.Array:
+        """The ids of units, with their marks if the file is a byte-level one."""
+        starts = np.frombuffer(units.buffers()[1], np.int64, len(units) + 1, 8 * units.offset)
+        raw = np.frombuffer(units.buffers()[2] or b"", np.uint8)[starts[0]:starts[-1]]
+        starts, ends = (starts - starts[0])[:-1], (starts - starts[0])[1:]
+        if self.merges is None or not len(raw):
+            plain_ = np.zeros(len(units), bool)
+        else:
+            shown, mark = self.bytes[raw], raw == ord(FIRST)
+            kind = self.classes[shown]
+            two = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC5))  # À to ſ
+            code = self.of_code[(raw[two] & 31).astype(np.int64) << 6 | raw[two + 1] & 63]
+            shown[two], shown[two + 1] = 0xC0 | code >> 6, 0x80 | code & 63
+            kind[two] = kind[two + 1] = code > 0
+            upto = np.r_[0, np.cumsum((kind == 0) | self.may_be_special[raw])]
+            plain_ = (upto[ends] == upto[starts]) & (ends - starts <= LONGEST) & (ends > starts)
+        other = np.flatnonzero(~plain_)
+        texts = units.take(pa.array(other)).to_numpy(zero_copy_only=False).tolist()
+        rest = pa.array(self._units([self._meant(t) if t else t for t in texts]), pa.large_binary())
+        if not plain_.any():
+            return rest
+        own = np.flatnonzero(plain_)
+        if not self.lower:
+            # a space belongs to the word behind it; the mark of a first unit is left out
+            kind[starts[own]] = np.where(shown[starts[own]] == 32, kind[np.minimum(starts[own] + 1, len(kind) - 1)], kind[starts[own]])
+            kind[starts[own]] = np.where((shown[starts[own]] == 32) & (ends[own] - starts[own] == 1), 4, kind[starts[own]])
+        begins = np.zeros(len(raw) + 1, bool)
+        begins[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == ALONE)
+        begins[starts[own]] = True
+        begins[ends[own]] = True
+        inside = np.zeros(len(raw) + 1, np.int8)
+        inside[starts[own]] += 1
+        inside[ends[own]] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool) if len(own) < len(units) else np.ones(len(raw), bool)
+        at = np.flatnonzero(begins)
+        low, high = at[:-1], at[1:]
+        keep = inside[low] & ~(mark[low] & (high - low == 1))
+        low, high = low[keep], high[keep]
+        ids, lengths = self.merges.encode(shown, low, high - low)
+        before = np.r_[0, np.cumsum(lengths)]
+        # the ids of a unit are those of the words that begin in it
+        cuts = before[np.searchsorted(low, np.r_[starts[own], len(raw)])]
+        offsets = np.r_[cuts[:-1], cuts[-1]] * 4
+        made = pa.Array.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.tobytes())])
+        if not len(other):
+            return made
+        place = np.zeros(len(units), np.int64)
+        place[own], place[other] = np.arange(len(own)), len(own) + np.arange(len(other))
+        return pa.concat_arrays([made, rest]).take(pa.array(place))
+
+    def _known(self, units: pa.Array) -> pa.Array:
+        """The ids of different units; those of the last units are kept."""
+        found = pc.index_in(units, value_set=self.units)
+        new = found.is_null()
+        if not pc.any(new).as_py():
+            return self.ids.take(found)
+        fresh = units.filter(new)
+        learnt = self._learn(fresh)
+        at = found.to_numpy(zero_copy_only=False)
+        missing = new.to_numpy(zero_copy_only=False)
+        place = np.where(missing, len(self.ids) + np.cumsum(missing) - 1, np.nan_to_num(at)).astype(np.int64)
+        self.units, self.ids = pa.concat_arrays([self.units, fresh]), pa.concat_arrays([self.ids, learnt])
+        ids = self.ids.take(pa.array(place))
+        if len(self.units) > MEMO_UNITS:  # those of this batch stay, and of the others the last
+            used = np.zeros(len(self.units), bool)
+            used[place] = True
+            spare = np.flatnonzero(~used)
+            left = pa.array(np.r_[spare[max(0, len(spare) - max(0, MEMO_UNITS // 2 - len(place))):], np.flatnonzero(used)])
+            self.units, self.ids = self.units.take(left), self.ids.take(left)
+        return ids
 
     def _chunk(self, text: str) -> bytes:
         if self.pattern is None or self.lower or self.special(text):
             return pack(self.library.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.units.__getitem__, SPACED.findall(text)))
+        units = SPACED.findall(text)
+        different = list(dict.fromkeys(units))
+        return b"".join(map(dict(zip(different, self._units(different))).__getitem__, units))
 
-    def _cut(self, text: str) -> list[str] | None:
-        """The units of a chunk, the first of them without a space before it; None where they are not plain to see."""
+    def _marked(self, text: str) -> str | None:
+        """A chunk whose units lie between white space, with marks before those that follow no space; None where they are not plain to see."""
         if self.pattern is None:
             return None
         if self.lower:
-            return None if SEPARATORS.search(text) else text.split()
-        if UNEVEN.search(text) or self.special(text):
+            return None if any(c in text for c in SEPARATORS) else text
+        if text[0].isspace() or text[-1].isspace() or any(c in text for c in UNEVEN) or self.special(text):
             return None
-        return text.replace("\n", " " + LINE).split(" ")
+        return FIRST + text.replace(" ", " " + SPACE).replace("\n", " " + LINE)
+
+    def _meant(self, unit: str) -> str:
+        """A unit as it stands in its text, with the white space before it."""
+        return unit if self.lower else {FIRST: "", LINE: "\n", SPACE: " "}[unit[0]] + unit[1:]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as bytes; a null text has none."""
@@ -157,11 +235,13 @@ class Encoder:
         waiting, size = [], 0
         for i, text in enumerate(texts):
             for chunk in chunks(text or ""):
-                units = self._cut(chunk) if chunk else []
-                if units is None:
+                if not chunk:
+                    continue
+                marked = self._marked(chunk)
+                if marked is None:
                     out[i].append(self._chunk(chunk))
                     continue
-                waiting.append((i, len(out[i]), units))
+                waiting.append((i, len(out[i]), marked))
                 out[i].append(b"")
                 size += len(chunk)
                 if size >= BATCH:
@@ -171,23 +251,17 @@ class Encoder:
         return [b"".join(parts) for parts in out]
 
     def _gather(self, waiting: list, out: list[list[bytes]]) -> None:
-        """Fill in the ids of chunks (text, place, units)."""
-        first = 0 if self.lower else 1
-        flat = pa.array([u for _, _, units in waiting for u in units[first:]], pa.string()).dictionary_encode()
-        look = (self.units if self.lower else self.later).__getitem__
-        known = list(map(look, flat.dictionary.to_pylist()))
-        sizes = np.array([len(k) // 4 for k in known], np.int64)
-        starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(known), "<u4")
-        code = flat.indices.to_numpy(zero_copy_only=False)
-        length = sizes[code]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        made = ids[np.repeat(starts[code] - (ends - length), length) + np.arange(total)]
-        counts = np.cumsum([0] + [max(len(units) - first, 0) for _, _, units in waiting])
-        bounds = np.concatenate([[0], ends])[counts]
-        for (i, place, units), a, b in zip(waiting, bounds, bounds[1:]):
-            head = b"" if self.lower or not units else self.units[units[0]]
-            out[i][place] = head + made[a:b].tobytes()
+        """Fill in the ids of chunks (text, place, marked chunk)."""
+        if not waiting:
+            return
+        marked = pa.array([text for _, _, text in waiting], pa.large_string())
+        cut = pc.utf8_split_whitespace(marked) if self.lower else pc.split_pattern(marked, " ")
+        units = cut.flatten().dictionary_encode()
+        ids = self._known(units.dictionary).take(units.indices)
+        ends = pa.Array.from_buffers(pa.int64(), len(ids) + 1, [None, ids.buffers()[1]]).take(cut.offsets).to_pylist()
+        made = memoryview(ids.buffers()[2] or b"")
+        for (i, place, _), a, b in zip(waiting, ends, ends[1:]):
+            out[i][place] = made[a:b]
 
 
 def encoder(path: str) -> Encoder:
