@@ -103,3 +103,26 @@ def test_one_row_of_each_component_stays(spark, docs):
     kept = J.keep_one(docs(rows), J.Rule(5, 80, 100)).collect()
     assert sorted((r.doc_id, r.text[:1]) for r in kept if r.doc_id is not None) == [(3, "o"), (7, "a"), (9, "")]
     assert sorted(r.text[:3] for r in kept if r.doc_id is None) == ["", "", "one"]
+
+
+def test_blocks_are_bounded_by_shingles(spark):
+    """Few classes of long texts make as many blocks as their shingles need, as one task holds two blocks whole."""
+    classes = spark.createDataFrame([(k, k, 500 if k < 60 else 1) for k in range(100)], "key long, text_hash long, n long")
+    clusters = spark.createDataFrame([(k, 0 if k < 60 else 60) for k in range(100)], "node long, root long")
+    rows = J.in_blocks(classes, clusters, block=1000, shingles=5000).collect()
+    assert len(rows) == 100
+    assert {r.cluster: r.blocks for r in rows} == {0: 6, 60: 1}
+    assert max(sum(r.n for r in rows if (r.cluster, r.block) == (0, b)) for b in range(6)) <= 3 * 5000
+
+
+@pytest.mark.parametrize("columns", [3, 2048])
+def test_shared_counts_in_parts(columns, monkeypatch):
+    monkeypatch.setattr(J, "COLUMNS", columns)
+    r = np.random.default_rng(5)
+    sets = [np.unique(r.integers(0, 40, r.integers(0, 30))).astype(np.uint64) for _ in range(25)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert (J.shared_counts(sets[:10], sets[10:]) == want[:10, 10:]).all()
+    made = J.shared_counts(sets, sets, True)
+    apart = ~np.eye(len(sets), dtype=bool)
+    assert (made[apart] == want[apart]).all()
+    assert not J.shared_counts(sets[:5] + [np.zeros(0, np.uint64)] * 3, [np.array([99], np.uint64)] * 6).any()

@@ -37,15 +37,16 @@ from pyspark.sql import functions as F
 from zephyrgrid.llm.bitmap import in_bitmap
 from zephyrgrid.llm.components import components
 from zephyrgrid.llm.ship import ship
-from zephyrgrid.llm.texts import map_texts
+from zephyrgrid.llm.texts import let_go, map_texts
 from zephyrgrid.session import BROADCAST_ROWS, attach, stable
 
 FREQUENT_FROM = 16  # prefixes that hold a frequent shingle
 COUNTED = 64  # a list of singles up to this length has its pairs counted
 MOST_FREQUENT = 200_000  # the frequent shingles that are told to all tasks
 DIVISION = 8  # prefix shingles per division of the frequent ones, about
-BLOCK = 1024  # classes in a block of a cluster
-MEMO = 500_000
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000  # classes in a block of a cluster, and the shingles of all of them, about
+COLUMNS = 2048  # shingles of one product of matrices
+MEMO = 100_000
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -299,30 +300,39 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray], same: bool =
     if len(left) * len(right) <= 16:
         return np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in right] for a in left]).reshape(
             len(left), len(right))
-    tokens_l, tokens_r = np.concatenate(left), np.concatenate(right)
     if same:  # a shingle of one set only is in no intersection
-        values, held = np.unique(tokens_l, return_counts=True)
+        values, held = np.unique(np.concatenate(left), return_counts=True)
         both = values[held > 1]
     else:
-        both = np.intersect1d(tokens_l, tokens_r)
+        both = np.intersect1d(np.concatenate(left), np.concatenate(right))
     out = np.zeros((len(left), len(right)), np.float32)
-
-    def cells(sets, tokens):
-        at = np.minimum(np.searchsorted(both, tokens), max(0, len(both) - 1))
-        keep = both[at] == tokens if len(both) else np.zeros(len(tokens), bool)
-        return np.repeat(np.arange(len(sets)), [len(s) for s in sets])[keep], at[keep]
-
-    row_l, col_l = cells(left, tokens_l)
-    row_r, col_r = cells(right, tokens_r)
-    for low in range(0, len(both), 8192):
-        high = min(low + 8192, len(both))
-        dense = []
-        for sets, row, col in ((left, row_l, col_l), (right, row_r, col_r)):
-            own = (col >= low) & (col < high)
-            part = np.zeros((len(sets), high - low), np.float32)
-            part[row[own], col[own] - low] = 1
-            dense.append(part)
-        out += dense[0] @ dense[1].T
+    if not len(both):
+        return out.astype(np.int64)
+
+    def cells(sets):
+        """The rows and columns of the ones, by columns."""
+        rows, columns = [], []
+        for i, tokens in enumerate(sets):
+            at = np.minimum(np.searchsorted(both, tokens), len(both) - 1)
+            at = at[both[at] == tokens].astype(np.int32)
+            rows.append(np.full(len(at), i, np.int32))
+            columns.append(at)
+        row, column = np.concatenate(rows), np.concatenate(columns)
+        order = np.argsort(column, kind="stable")
+        return row[order], column[order]
+
+    def dense(count, row, column, low, high):
+        a, b = np.searchsorted(column, [low, high])
+        part = np.zeros((count, high - low), np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        return part
+
+    of_left = cells(left)
+    of_right = of_left if same else cells(right)
+    for low in range(0, len(both), COLUMNS):
+        high = min(low + COLUMNS, len(both))
+        part = dense(len(left), *of_left, low, high)
+        out += part @ (part if same else dense(len(right), *of_right, low, high)).T
     return out.astype(np.int64)
 
 
@@ -344,16 +354,22 @@ def verify(group: pd.DataFrame, rule: Rule) -> pd.DataFrame:
         nodes.append(node)
         roots.append(root)
     join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    let_go(all_kept=True)
     return pd.DataFrame({"a": join(nodes), "b": join(roots)}).astype("int64")
 
 
+def in_blocks(classes: DataFrame, clusters: DataFrame, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(key, text_hash, n, cluster, blocks, block): the classes of clusters, in blocks bounded by classes and by shingles."""
+    held = stable(clusters.select(F.col("node").alias("key"), F.col("root").alias("cluster")).join(
+        classes.select("key", "text_hash", "n"), "key"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / shingles)).cast("int")
+    return held.join(held.groupBy("cluster").agg(blocks.alias("blocks")), "cluster").withColumn(
+        "block", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
+
+
 def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, rule: Rule, block: int = BLOCK) -> DataFrame:
     """(a, b): spanning links between the classes of each cluster (node, root)."""
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("_size"))
-    work = clusters.join(sizes, "root").select(
-        F.col("node").alias("key"), F.col("root").alias("cluster"), F.ceil(F.col("_size") / block).cast("int").alias("blocks"))
-    members = stable(work.join(classes.select("key", "text_hash"), "key").withColumn(
-        "block", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int")))
+    members = stable(in_blocks(classes, clusters, block))
 
     def start():
         shingler = Shingler(rule.words)
@@ -365,11 +381,12 @@ def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, rul
 
     texts = docs.select("text", F.xxhash64("text").alias("text_hash"))
     place = ["cluster", "blocks", "block"]
-    found = attach(texts, members.drop("key"), ["text_hash"], "inner", counted=members)
+    found = attach(texts, members.drop("key", "n"), ["text_hash"], "inner", counted=members)
     sets = map_texts(found, place, "key bigint, shingles binary", start).filter("key IS NOT NULL")
     cells = sets.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", *place, "shingles", F.least("block", "_k").alias("i"), F.greatest("block", "_k").alias("j"))
-    few = max(1, math.ceil(members.filter("blocks = 1").count() / (2 * block)))
+    small = members.filter("blocks = 1").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("shingles")).first()
+    few = max(1, math.ceil(small.classes / (2 * block)), math.ceil((small.shingles or 0) / (2 * BLOCK_SHINGLES)))
     unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(few))).otherwise(F.col("cluster"))
     return cells.withColumn("unit", unit).groupBy("blocks", "unit", "i", "j").applyInPandas(
         lambda pdf: verify(pdf, rule), "a long, b long")
@@ -383,7 +400,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     ship(docs.sparkSession)
     rows = summaries(docs, rule)
     classes = stable(rows.filter("n > 0").groupBy("key").agg(
-        F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("first_id")))
+        F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("first_id"), F.max("n").alias("n")))
     clusters = stable(components(candidate_links(docs, rows, rule)))
     roots = components(verified_links(docs, classes, clusters, rule))
     named = classes.select("key", "first_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
