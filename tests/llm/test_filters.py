@@ -180,3 +180,30 @@ def test_overlaps_are_replaced_once():
     text = "call +1 555 123 4567.1.1.1 now"
     found = pii.base_spans(text)
     assert pii.replaced(text, found).startswith("call [PHONE]") and pii.replaced("x", []) == "x"
+
+
+def test_texts_meet_one_worker_at_a_time(spark, docs):
+    """Measuring and scoring are one step, so a task needs one worker; batches are as large as a call takes."""
+    from zephyrgrid.llm import texts
+    rows = docs([(i, f"word{i} and more " * (1 + i % 5)) for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    kept = quality.reject(rows, labels)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert int(spark.conf.get(texts.BATCH_ROWS)) <= texts.ROWS
+    stats = quality.stable(quality.measured(rows, ["doc_id"]))
+    model = quality.fit(quality.labelled(stats, labels))
+    plain = {r.doc_id: r.score for r in quality.scored(stats, model).collect()}
+    assert not isinstance(model, float)
+    for r in quality.scored_texts(rows, ["doc_id"], model).collect():
+        assert abs(r.score - plain[r.doc_id]) < 1e-9
+
+
+def test_counts_of_a_task_leave_it_in_parts(spark, docs, monkeypatch):
+    """A task that meets more words than it may hold passes them on within a batch."""
+    keyed = docs([(i, " ".join(chr(97 + (i * 7 + j) % 26) * (1 + j % 9) for j in range(40))) for i in range(40)]).selectExpr("string(doc_id) AS key", "text")
+    whole = lambda: {r.term: r.n for r in pii._counted_by_task(keyed, lambda: lambda k, t: (0, 1.0, pii.words(t))).groupBy("term").sum("n").toDF("term", "n").collect()}
+    got, found = whole(), {}
+    for r in keyed.collect():
+        for w in pii.words(r.text):
+            found[w] = found.get(w, 0) + 1
+    assert got == found and pii.HELD_WORDS <= 100_000

@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zephyrgrid.llm.texts import map_texts, pieces
+from zephyrgrid.llm.texts import let_go, map_texts, pieces
 from zephyrgrid.session import attach, stable
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT, SHARE = 3, 0.8
 BITMAP = 1 << 22
+HELD_WORDS = 100_000  # words that a task keeps or counts before it begins anew
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -204,7 +205,7 @@ def _holder(shared):
         if none:
             return []
         there = words(text)
-        if len(memo) > 300_000:
+        if len(memo) > HELD_WORDS:
             memo.clear()
         for w in there.difference(memo):
             memo[w] = bool(known[_place(w)])
@@ -219,6 +220,7 @@ def _counted_by_task(keyed: DataFrame, start: Callable[[], Callable]) -> DataFra
     words. A task may give a term more than once, each time for other texts.
     """
     def count(batches):
+        let_go(all_kept=True)
         call, seen, counts, light, levels = start(), set(), Counter(), Counter(), {}
         rows = lambda: pa.RecordBatch.from_arrays(
             [pa.array(list(counts), pa.string()), pa.array([levels.get(t, 0) for t in counts], pa.int32()),
@@ -236,11 +238,13 @@ def _counted_by_task(keyed: DataFrame, start: Callable[[], Callable]) -> DataFra
                                 light[w] += 1 - weight
                         if level:
                             levels.update([(w, level) for w in found if levels.get(w, 0) < level])
-            if len(counts) > 300_000:
-                yield rows()
-                for held in (counts, light, levels):
-                    held.clear()
+                if len(counts) > HELD_WORDS:
+                    yield rows()
+                    for held in (counts, light, levels):
+                        held.clear()
         yield rows()
+        del call, seen, counts, light, levels
+        let_go()
 
     return keyed.mapInArrow(count, "term string, level int, n long, weight double")
 

@@ -165,6 +165,15 @@ def scored(stats: DataFrame, model: Kernel | float, name: str = "score") -> Data
     return source.mapInArrow(score, StructType(source.schema.fields[:-1]).add(name, "double"))
 
 
+def scored_texts(docs: DataFrame, keep: list[str], model: Kernel | float, name: str = "score") -> DataFrame:
+    """The columns ``keep`` with the score of the text; a worker measures and scores it in one go."""
+    if isinstance(model, float):
+        return docs.select(*keep, F.lit(model).alias(name))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return map_texts(docs, keep, f"{name} double", lambda: lambda texts: [
+        shared.value.score(np.array([statistics(t) for t in texts], float))])
+
+
 def predict(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
     stats = stable(measured(docs, ["doc_id"]))
@@ -182,5 +191,5 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
     entry = F.xxhash64("doc_id").alias("entry")
     known = in_bitmap(docs.filter("doc_id IS NOT NULL").select("doc_id", "text", entry), labels.filter("doc_id IS NOT NULL").select(entry))
     model = fit(labelled(stable(measured(known, ["doc_id"])), labels))
-    marked = scored(measured(docs, docs.columns), model, "_llm_score")
+    marked = scored_texts(docs, docs.columns, model, "_llm_score")
     return marked.filter(F.col("_llm_score") >= threshold).select(*docs.columns)
